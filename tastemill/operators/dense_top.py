@@ -76,10 +76,10 @@ def _score(shared, row: str, item: str, n: int, floor: float | None):
         for batch in batches:
             for start in range(0, len(batch), step):
                 part = batch.iloc[start : start + step]
-                cells = np.round(np.stack(part["vec"].to_numpy()) @ matrix.T, NOISE_DIGITS)
+                raw = np.stack(part["vec"].to_numpy()) @ matrix.T
+                cells = np.round(raw, RANK_DIGITS)
                 if floor is not None:
-                    cells[cells < floor] = -np.inf
-                cells = np.round(cells, RANK_DIGITS)
+                    cells[np.round(raw, NOISE_DIGITS) < floor] = -np.inf
                 picks = [best_positions(c, n + extra) for c, extra in zip(cells, part["extra"])]
                 sizes = [len(p) for p in picks]
                 flat = np.concatenate(picks).astype(np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -57,31 +59,80 @@ def shift_seeds(
 
 def keep_centres(centre: np.ndarray, within: np.ndarray, bandwidth: float) -> np.ndarray:
     """Strongest centres first; a centre within the bandwidth of a kept one is dropped."""
-    order = np.lexsort((-centre, -within))
-    kept: list[float] = []
-    for c in centre[order]:
-        if not kept or np.min(np.abs(np.asarray(kept) - c)) > bandwidth:
-            kept.append(c)
+    ranked = centre[np.lexsort((-centre, -within))]
+    kept = []
+    while len(ranked):
+        kept.append(ranked[0])
+        ranked = ranked[np.abs(ranked - ranked[0]) > bandwidth]
     return np.asarray(kept)
 
 
-def _cluster_user(bandwidth: float):
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        times, where = np.unique(rows["ts"].to_numpy(), return_inverse=True)
-        weights = np.bincount(where)
-        start = times.astype(float)
-        centre, within, _, _ = shift_seeds(times, weights, start, np.zeros(len(start), int), bandwidth)
-        distinct = np.unique(np.stack([centre, within], axis=1), axis=0)
-        kept = keep_centres(distinct[:, 0], distinct[:, 1], bandwidth)
-        nearest = np.argmin(np.abs(start[:, None] - kept[None, :]), axis=1)
-        return pd.DataFrame(
-            {
-                "user_id": rows["user_id"],
-                "item_id": rows["item_id"],
-                "basket_no": nearest[where].astype(np.int64) + 1,
-                "centre": kept[nearest[where]],
-            }
-        )
+def nearest_centre(times: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Position in ``kept`` of the nearest centre; the stronger one if two are as near."""
+    order = np.argsort(kept)
+    ascending = kept[order]
+    right = np.clip(np.searchsorted(ascending, times), 0, len(kept) - 1)
+    left = np.maximum(right - 1, 0)
+    to_left, to_right = np.abs(times - ascending[left]), np.abs(times - ascending[right])
+    closer = (to_left < to_right) | ((to_left == to_right) & (order[left] < order[right]))
+    return np.where(closer, order[left], order[right])
+
+
+def cluster_users(users: np.ndarray, times: np.ndarray, bandwidth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster number (from 1) and centre per row; rows are sorted by user and time.
+
+    All users go through the shifts at once: each is moved along the time axis so far
+    that no other user's points or centres can be near.
+    """
+    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+    sizes = np.diff(np.r_[starts, len(users)])
+    first = times[starts]
+    room = int(np.max(times[starts + sizes - 1] - first) + 3 * bandwidth + 1)
+    who = np.repeat(np.arange(len(starts)), sizes)
+    moved = times - first[who] + who * room
+
+    points, where = np.unique(moved, return_inverse=True)
+    seeds = points.astype(float)
+    centre, within, _, _ = shift_seeds(points, np.bincount(where), seeds, np.zeros(len(seeds), int), bandwidth)
+    owner = points // room
+    distinct = np.unique(np.stack([owner, centre, within], axis=1), axis=0)
+    bounds = np.r_[np.searchsorted(distinct[:, 0], np.arange(len(starts))), len(distinct)]
+    number, middle = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
+    edges = np.searchsorted(points, np.arange(len(starts) + 1) * room)
+    for user in range(len(starts)):
+        part = distinct[bounds[user] : bounds[user + 1]]
+        kept = keep_centres(part[:, 1], part[:, 2], bandwidth)
+        mine = slice(edges[user], edges[user + 1])
+        nearest = nearest_centre(seeds[mine], kept)
+        number[mine], middle[mine] = nearest + 1, kept[nearest] - user * room + first[user]
+    return number[where], middle[where]
+
+
+def _cluster_batches(bandwidth: float):
+    """Cluster whole users out of batches that are sorted by user."""
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows.groupby("user_id")["ts"].transform("size") > 1]
+        if rows.empty:
+            return pd.DataFrame()
+        number, centre = cluster_users(rows["user_id"].to_numpy(), rows["ts"].to_numpy(), bandwidth)
+        return rows[["user_id", "item_id"]].assign(basket_no=number, centre=centre)
+
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch])
+            last = rows["user_id"] == rows["user_id"].iloc[-1]
+            rest = rows[last]
+            out = label(rows[~last])
+            if len(out):
+                yield out
+        if rest is not None:
+            out = label(rest)
+            if len(out):
+                yield out
 
     return cluster
 
@@ -97,29 +148,14 @@ def mean_shift_labels(
     rows = ratings.select("user_id", "item_id", "ts")
     hot = hot_keys(rows, "user_id", max_user_rows)
     light = rows if hot is None else rows.join(F.broadcast(hot.select("user_id")), "user_id", "left_anti")
-    labels = light.groupBy("user_id").applyInPandas(_skip_lonely(_cluster_user(bandwidth)), LABELS)
+    ordered = light.repartition("user_id").sortWithinPartitions("user_id", "ts")
+    labels = ordered.mapInPandas(_cluster_batches(bandwidth), LABELS)
     if hot is None:
         return labels
     heavy = rows.join(F.broadcast(hot.select("user_id")), "user_id", "left_semi")
     return labels.unionByName(_slab_labels(heavy, bandwidth))
 
 
-def _skip_lonely(cluster):
-    def guarded(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2:
-            return pd.DataFrame(
-                {
-                    "user_id": pd.Series(dtype="int64"),
-                    "item_id": pd.Series(dtype="int64"),
-                    "basket_no": pd.Series(dtype="int64"),
-                    "centre": pd.Series(dtype="float64"),
-                }
-            )
-        return cluster(rows)
-
-    return guarded
-
-
 def mean_shift_baskets(
     ratings: DataFrame, bandwidth_days: float = 25.0, max_user_rows: int = MAX_USER_ROWS
 ) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tastemill.operators.skew import sizes_of
+from tastemill.session import stage
+
 SCORE_DIGITS = 6
 
 
@@ -31,33 +34,47 @@ def seen_only(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
 
 
-def zero_candidates(taken: DataFrame, users: DataFrame, items: DataFrame, n: int, width: int | None = None) -> DataFrame:
-    """For each user the ``n`` smallest item ids not among the ``taken`` (user, item) rows.
+def top_n_with_zeros(
+    candidates: DataFrame, taken: DataFrame, users: DataFrame, items: DataFrame, n: int = 10
+) -> DataFrame:
+    """Top-N where every catalogue item without a row in ``taken`` counts with score 0.
+
+    ``candidates`` (user, item, score) are the scored rows that may be listed, ``taken``
+    (user, item) all rows that are scored or must not be listed. Only users with fewer
+    than ``n`` positive candidates can need an item of score 0.
+    """
+    positive = sizes_of(candidates.where(F.round("score", SCORE_DIGITS) > 0).select("user_id"), "user_id")
+    short = users.select("user_id").distinct().join(positive.where(F.col("n") >= n), "user_id", "left_anti")
+    short = stage(short, "short-users")
+    if short.isEmpty():
+        return top_n(candidates, n)
+    held = stage(taken.select("user_id", "item_id").join(short, "user_id", "left_semi"), "held")
+    return top_n(candidates.unionByName(_zero_items(held, short, items, n)), n)
+
+
+def _zero_items(taken: DataFrame, users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """For each user the ``n`` smallest item ids not among the ``taken`` rows, with score 0.
 
-    These are the items with score 0 that can enter a top-N list. Candidates come from a
-    short prefix of the catalogue; users who have taken nearly all of the prefix go
-    through another round with one four times as long, so work stays linear in the rows.
+    Candidates come from a short prefix of the catalogue; users who have taken nearly all
+    of the prefix go through another round with one four times as long, so the work stays
+    linear in the rows.
     """
-    total = items.select("item_id").distinct().count()
-    width = width or 4 * n
-    left, found = users.select("user_id").distinct(), None
+    catalogue = items.select("item_id").distinct()
+    total, width, left, found = catalogue.count(), 4 * n, users, None
     while True:
-        first = items.select("item_id").distinct().orderBy("item_id").limit(width)
-        prefix = first.agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.max("item_id").alias("last"))
-        near = taken.select("user_id", "item_id").where(F.col("item_id") <= prefix.select("last").scalar())
+        prefix = catalogue.orderBy("item_id").limit(width).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         free = (
-            left.select("user_id", F.explode(prefix.select("ids").scalar()).alias("item_id"))
-            .join(near, ["user_id", "item_id"], "left_anti")
+            left.select("user_id", F.explode(prefix.scalar()).alias("item_id"))
+            .join(taken, ["user_id", "item_id"], "left_anti")
             .withColumn("score", F.lit(0.0))
         )
-        best = top_n(free, n).select("user_id", "item_id", "score")
+        best = stage(top_n(free, n).select("user_id", "item_id", "score"), "zero-items")
         if width >= total:
             return best if found is None else found.unionByName(best)
-        counts = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-        done = counts.where(F.col("n") == n).select("user_id")
+        done = sizes_of(best, "user_id").where(F.col("n") == n).select("user_id")
         full = best.join(done, "user_id", "left_semi")
         found = full if found is None else found.unionByName(full)
-        left = left.join(done, "user_id", "left_anti")
+        left = stage(left.join(done, "user_id", "left_anti"), "short-users")
         if left.isEmpty():
             return found
         width *= 4

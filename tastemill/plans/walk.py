@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tastemill.functions.vectors import zeros
 from tastemill.operators.index import dense_index
-from tastemill.operators.rank import top_n, unseen, zero_candidates
+from tastemill.operators.rank import top_n_with_zeros, unseen
 from tastemill.operators.skew import lookup
 from tastemill.operators.spmm import SparseMatrix
 from tastemill.session import stage, unstage
@@ -84,7 +84,7 @@ def walk_scores(
     state = (
         moves.select("user_id")
         .distinct()
-        .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        .withColumn("blk", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
         .join(index, ["blk", "user_id"], "left")
         .select("blk", "user_id", "slot", _plus_start(zeros(block), first * gamma).alias("vec"), zeros(block).alias("prev"))
     )
@@ -129,11 +129,8 @@ def recommend_walk(
 ) -> DataFrame:
     """Top-N of the walk scores; items out of reach count with score 0."""
     scores = stage(scores, "walk-scores")
-    open_ = scores if seen is None else unseen(scores, seen)
-    enough = open_.where(F.round("score", 6) > 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n)
-    short = stage(users.select("user_id").join(enough, "user_id", "left_anti"), "short-users")
     taken = scores.select("user_id", "item_id")
-    if seen is not None:
-        taken = taken.unionByName(seen.select("user_id", "item_id")).distinct()
-    taken = taken.join(short, "user_id", "left_semi")
-    return top_n(open_.unionByName(zero_candidates(taken, short, items, n)), n)
+    if seen is None:
+        return top_n_with_zeros(scores, taken, users, items, n)
+    taken = taken.unionByName(seen.select("user_id", "item_id")).distinct()
+    return top_n_with_zeros(unseen(scores, seen), taken, users, items, n)
