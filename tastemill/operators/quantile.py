@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tastemill.operators.skew import SPLIT_ROWS, hot_keys, sizes_of
+from tastemill.operators.skew import hot_keys, sizes_of
 
 
 def group_quantile(
@@ -13,7 +13,7 @@ def group_quantile(
     value: str,
     q: float,
     cell: int = 86400,
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """``(key, cut)``: linear-interpolation quantile of an integer column per group.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastemill.operators.skew import sizes_of
 from tastemill.session import stage
@@ -10,13 +10,24 @@ from tastemill.session import stage
 SCORE_DIGITS = 6
 
 
+def rounded_score(score: Column, digits: int = SCORE_DIGITS) -> Column:
+    """Round half away from zero in double arithmetic, without a detour over decimals."""
+    scale = F.lit(10.0**digits)
+    return F.signum(score) * F.floor(F.abs(score) * scale + 0.5) / scale + F.lit(0.0)
+
+
+def is_positive(score: Column, digits: int = SCORE_DIGITS) -> Column:
+    """Whether the rounded score is above 0."""
+    return score * F.lit(10.0**digits) >= 0.5
+
+
 def top_n(scores: DataFrame, n: int = 10, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """(user, rank, item, score): the ``n`` best rows per user, ties by item.
 
     The rank filter becomes a per-task group limit before the shuffle, so no user sends
     more than ``n`` rows per task however many candidates they have.
     """
-    score = F.round("score", SCORE_DIGITS) + F.lit(0.0)
+    score = rounded_score(F.col("score"))
     order = Window.partitionBy(user).orderBy(F.desc("score"), F.asc(item))
     return (
         scores.select(user, item, score.alias("score"))
@@ -43,7 +54,7 @@ def top_n_with_zeros(
     (user, item) all rows that are scored or must not be listed. Only users with fewer
     than ``n`` positive candidates can need an item of score 0.
     """
-    positive = sizes_of(candidates.where(F.round("score", SCORE_DIGITS) > 0).select("user_id"), "user_id")
+    positive = sizes_of(candidates.where(is_positive(F.col("score"))).select("user_id"), "user_id")
     short = users.select("user_id").distinct().join(positive.where(F.col("n") >= n), "user_id", "left_anti")
     short = stage(short, "short-users")
     if short.isEmpty():

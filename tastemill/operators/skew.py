@@ -24,12 +24,13 @@ def sizes_of(rows: DataFrame, key: str | list[str]) -> DataFrame:
     return rows.groupBy(*as_list(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(rows: DataFrame, key: str | list[str], split_rows: int = SPLIT_ROWS) -> DataFrame | None:
+def hot_keys(rows: DataFrame, key: str | list[str], split_rows: int | None = None) -> DataFrame | None:
     """Keys above ``split_rows`` with the number of parts (``_parts``) to cut them into.
 
     None if there are none. At most total_rows / split_rows keys can qualify (half a
     million for 10**12 rows), which is what makes this table safe to broadcast.
     """
+    split_rows = split_rows or SPLIT_ROWS
     if rows.count() <= split_rows:
         return None
     hot = sizes_of(rows, key).where(F.col("n") > split_rows)
@@ -63,7 +64,7 @@ def lookup(
     key: str | list[str],
     spread_on: list[str],
     how: str = "inner",
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Join many rows to a table on a key some of the rows may share very often."""
     keys = as_list(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.functions.vectors import sum_vectors
-from tastemill.operators.skew import SPLIT_ROWS, hot_keys, replicate, salt_rows
+from tastemill.operators.skew import hot_keys, replicate, salt_rows
 from tastemill.session import stage
 
 
@@ -17,7 +17,7 @@ class SparseMatrix:
     other keys alone. Partial sums are formed before the shuffle.
     """
 
-    def __init__(self, entries: DataFrame, row: str, col: str, value: str, split_rows: int = SPLIT_ROWS):
+    def __init__(self, entries: DataFrame, row: str, col: str, value: str, split_rows: int | None = None):
         self.row, self.col = row, col
         cells = entries.select(row, col, F.col(value).cast("double").alias("_value"))
         cells = stage(cells, "matrix")

@@ -63,58 +63,73 @@ def walk_scores(
     With C = D_u^-1/2 A D_s^-1/2 the walk matrix is similar to a symmetric one, and
 
         score(u, s) = alpha * sqrt(deg u / deg s) * [C' (I - alpha^2 C C')^-1 e_u]_s
+                    = alpha * sqrt(deg u / deg s) * [(I - alpha^2 C' C)^-1 C' e_u]_s
 
     is the reference's entry; ``corrected`` scales with sqrt(deg s / deg u) instead, which
-    is the walk from u to s. Sources are columns in blocks of vectors, so one pass over
-    the edges serves ``block`` of them.
+    is the walk from u to s. The inverse is only ever formed for the smaller side: for
+    the source users, or for the items followed by one product with C. Its columns are
+    held in blocks of vectors, so one pass over the edges serves ``block`` of them.
     """
     moves = stage(transitions(edges), "walk-edges")
-    spread = moves.withColumn("c", 1 / F.sqrt(F.col("user_degree") * F.col("item_degree")))
-    matrix = SparseMatrix(spread, "user_id", "item_id", "c")
-    starts = sources.select("user_id").join(moves.select("user_id").distinct(), "user_id", "left_semi")
+    weighted = moves.withColumn("c", 1 / F.sqrt(F.col("user_degree") * F.col("item_degree")))
+    matrix = SparseMatrix(weighted, "user_id", "item_id", "c")
+    of_user = stage(moves.select("user_id", "user_degree").distinct(), "walk-users")
+    of_item = stage(moves.select("item_id", "item_degree").distinct(), "walk-items")
+    starts = of_user.join(sources.select("user_id"), "user_id", "left_semi")
+    by_item = of_item.count() < starts.count()
+    side, columns, nodes = ("item_id", of_item, of_item) if by_item else ("user_id", starts, of_user)
+    place = dense_index(columns, side)
     index = stage(
-        dense_index(starts, "user_id").select(
-            "user_id", F.floor(F.col("pos") / block).alias("blk"), F.pmod("pos", F.lit(block)).cast("int").alias("slot")
+        columns.join(place, side).select(
+            "*", F.floor(F.col("pos") / block).alias("blk"), F.pmod("pos", F.lit(block)).cast("int").alias("slot")
         ),
-        "walk-sources",
+        "walk-columns",
     )
+    state = _inverse_columns(matrix, nodes, index.select("blk", side, "slot"), side, alpha, tolerance, block)
+    if by_item:
+        reach = matrix.times(state, block, ["blk"]).join(starts, "user_id")
+    else:
+        reach = matrix.transposed_times(state, block, ["blk"]).join(of_item, "item_id")
+    ratio = F.col("user_degree") / F.col("item_degree")
+    if semantics == "corrected":
+        ratio = F.col("item_degree") / F.col("user_degree")
+    return (
+        reach.select("*", F.posexplode("vec").alias("slot", "_value"))
+        .where(F.col("_value") > 0)
+        .join(index, ["blk", "slot"])
+        .select("user_id", "item_id", (F.lit(alpha) * F.col("_value") * F.sqrt(ratio)).alias("score"))
+    )
+
+
+def _inverse_columns(
+    matrix: SparseMatrix, nodes: DataFrame, index: DataFrame, side: str, alpha: float, tolerance: float, block: int
+) -> DataFrame:
+    """(blk, node, vec): columns of (I - alpha^2 N)^-1, N being the two-hop step on one side."""
     blocks = max(1, ceil(index.count() / block))
     gamma = 2 / (2 - alpha**2)
     first, *weights = step_weights(alpha, tolerance)
     state = (
-        moves.select("user_id")
-        .distinct()
+        nodes.select(side)
         .withColumn("blk", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-        .join(index, ["blk", "user_id"], "left")
-        .select("blk", "user_id", "slot", _plus_start(zeros(block), first * gamma).alias("vec"), zeros(block).alias("prev"))
+        .join(index, ["blk", side], "left")
+        .select("blk", side, "slot", _plus_start(zeros(block), first * gamma).alias("vec"), zeros(block).alias("prev"))
     )
     state = stage(state, "walk-step")
     for omega in weights:
-        there = matrix.transposed_times(state, block, ["blk"])
-        back = matrix.times(there, block, ["blk"]).withColumnRenamed("vec", "_back")
+        if side == "item_id":
+            back = matrix.transposed_times(matrix.times(state, block, ["blk"]), block, ["blk"])
+        else:
+            back = matrix.times(matrix.transposed_times(state, block, ["blk"]), block, ["blk"])
         known = F.zip_with("vec", "prev", lambda w, p: omega * (1 - gamma) * w + (1 - omega) * p)
         step = F.zip_with(known, "_back", lambda m, h: m + omega * gamma * alpha**2 * h)
         before, state = state, stage(
-            state.join(back, ["blk", "user_id"]).select(
-                "blk", "user_id", "slot", _plus_start(step, omega * gamma).alias("vec"), F.col("vec").alias("prev")
+            state.join(back.withColumnRenamed("vec", "_back"), ["blk", side]).select(
+                "blk", side, "slot", _plus_start(step, omega * gamma).alias("vec"), F.col("vec").alias("prev")
             ),
             "walk-step",
         )
         unstage(before)
-    reach = matrix.transposed_times(state, block, ["blk"])
-    cells = reach.select("blk", "item_id", F.posexplode("vec").alias("slot", "value")).where(F.col("value") > 0)
-    cells = stage(cells, "walk-cells")
-    of_user = moves.select("user_id", "user_degree").distinct()
-    of_item = moves.select("item_id", "item_degree").distinct()
-    ratio = F.col("user_degree") / F.col("item_degree")
-    if semantics == "corrected":
-        ratio = F.col("item_degree") / F.col("user_degree")
-    sized = index.join(of_user, "user_id")
-    return (
-        lookup(cells, of_item, "item_id", ["blk", "slot"])
-        .join(sized, ["blk", "slot"])
-        .select("user_id", "item_id", (F.lit(alpha) * F.col("value") * F.sqrt(ratio)).alias("score"))
-    )
+    return state
 
 
 def _plus_start(vec: Column, amount: float) -> Column:
