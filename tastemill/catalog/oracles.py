@@ -388,7 +388,8 @@ ORACLES: dict[str, str] = {
     "csv_scan": sql("select item_id, tag_id, relevance from scores"),
     "matrix_scan": sql("select item_id, user_id, rating from event_ratings"),
     "time_matrix": sql("select item_id, user_id, ts from event_old"),
-    "basket_scan": sql(f"select user_id, basket_no, {text('list(item_id order by item_id)')} items from gap_baskets group by 1, 2"),
+    "basket_scan": sql(f"""select user_id, basket_no, case when basket_size <= 1000 then 0 else item_id // 1000 + 1 end piece,
+        {text("list(item_id order by item_id)")} items from gap_baskets group by 1, 2, 3"""),
     "tag_scores_view": sql("select item_id, tag_id, relevance from scores"),
     "bound_filter": sql("select * from scores where item_id <= (select max(p_partkey) from part where p_type = 'SMALL')"),
     "bound_filter_corrected": sql("select * from scores where item_id in (select p_partkey from part where p_type = 'SMALL')"),

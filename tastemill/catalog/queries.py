@@ -86,10 +86,10 @@ def time_matrix(w):
 def basket_scan(w):
     """Baskets written as item lists and read back."""
     path = scratch(w, "baskets")
-    sinks.write_table(baskets.basket_arrays(w.gap_baskets, BASKET), path)
+    sinks.write_table(baskets.basket_lists(w.gap_baskets, BASKET), path)
     read = files.read_baskets(w.spark, path)
     words = F.transform("items", lambda i: i.cast("string"))
-    return read.select(*BASKET, F.array_join(words, ",").alias("items"))
+    return read.select(*BASKET, "piece", F.array_join(words, ",").alias("items"))
 
 
 @query
@@ -274,8 +274,8 @@ def item_raters(w):
 @query
 def item_similarity_buy(w):
     """The non-zero cells of the purchase similarity matrix with its diagonal."""
-    pairs = cooccur.cooccurrence(w.gap_baskets)
-    return rounded(cooccur.similarity_matrix(pairs, cooccur.item_raters(w.orders.old), w.items), "w")
+    weights = cooccur.purchase_similarity(w.gap_baskets, cooccur.item_raters(w.orders.old))
+    return rounded(cooccur.similarity_matrix(weights, w.items), "w")
 
 
 @query

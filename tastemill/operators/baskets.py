@@ -46,10 +46,16 @@ def with_size(members: DataFrame, keys: list[str]) -> DataFrame:
     return lookup(members, sizes, keys, ["item_id"])
 
 
-def basket_arrays(baskets: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per basket with its ``items`` in order, for export and for the miners.
+def basket_lists(baskets: DataFrame, keys: list[str], length: int = 1000) -> DataFrame:
+    """(keys, piece, items): baskets as item lists in catalogue order, for export.
 
-    Meant for baskets whose length is bounded by their item catalogue or an earlier filter.
+    A basket of up to ``length`` items is one list, piece 0. A longer one is cut by ranges
+    of the item id into pieces of at most ``length`` items, so no row grows with a basket.
     """
-    return baskets.groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    piece = F.when(F.col("basket_size") <= length, F.lit(0)).otherwise(F.floor(F.col("item_id") / length) + 1)
+    return (
+        baskets.withColumn("piece", piece.cast("long"))
+        .groupBy(*keys, "piece")
+        .agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.functions.vectors import unit
+from tastemill.operators.skew import lookup
+from tastemill.session import stage
 
 
 def tag_vectors(scores: DataFrame) -> DataFrame:
@@ -36,13 +38,14 @@ def impute(items: DataFrame, vectors: DataFrame, semantics: str = "reference") -
     """
     known = items.select("item_id", "genre_vec").join(vectors, "item_id", "left")
     have = known.where(F.col("tags").isNotNull())
-    lack = known.where(F.col("tags").isNull()).drop("tags")
+    lack = stage(known.where(F.col("tags").isNull()).drop("tags"), "no-tags")
     overall = _mean_vectors(have, [], "tags")
     same = _mean_vectors(have, ["genre_vec"], "_same")
-    filled = lack.join(same, "genre_vec", "left")
+    filled = lookup(lack, same, "genre_vec", ["item_id"], "left")
     tiers = [F.col("_same")]
     if semantics == "corrected":
-        filled = filled.join(_wider_means(lack, have, same), "genre_vec", "left")
+        wider = _wider_means(lack, have, same)
+        filled = lookup(stage(filled, "same-genres"), wider, "genre_vec", ["item_id"], "left")
         tiers.append(F.col("_wider"))
     filled = filled.select("item_id", "genre_vec", F.coalesce(*tiers, overall.scalar()).alias("tags"))
     return have.select("item_id", "genre_vec", "tags").unionByName(filled)

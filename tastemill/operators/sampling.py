@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.operators.index import dense_index
+from tastemill.operators.skew import lookup
+from tastemill.session import stage
 
 
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: str = "") -> DataFrame:
@@ -16,9 +18,8 @@ def sample_exact(df: DataFrame, key: str, fraction: float, seed: str = "") -> Da
 
 def restrict(ratings: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
     """Ratings of the given users on the given items."""
-    return ratings.join(items.select("item_id"), "item_id", "left_semi").join(
-        users.select("user_id"), "user_id", "left_semi"
-    )
+    of_items = stage(lookup(ratings, items.select("item_id"), "item_id", ["user_id"], "left_semi"), "of-items")
+    return lookup(of_items, users.select("user_id"), "user_id", ["item_id"], "left_semi")
 
 
 def up_to_last_item(scores: DataFrame, items: DataFrame, semantics: str = "reference") -> DataFrame:

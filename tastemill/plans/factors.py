@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.functions.vectors import dot, zeros
+from tastemill.operators.cosine import pair_cosine
 from tastemill.operators.dense_top import dense_candidates
 from tastemill.operators.rank import top_n, unseen
 from tastemill.operators.skew import lookup, sizes_of
@@ -77,8 +78,6 @@ def recommend_dissimilar(
     are checked in rounds of growing length, so only users whose best candidates were
     dropped are looked at again.
     """
-    from tastemill.operators.cosine import pair_cosine
-
     liked = predict_cells(model, seen.select("user_id", "item_id")).where(F.round("pred", 9) >= 0)
     liked = stage(liked.select("user_id", F.col("item_id").alias("j")), "liked")
     total, width = items.select("item_id").distinct().count(), 4 * n
@@ -89,7 +88,7 @@ def recommend_dissimilar(
         met = stage(met, "met-pairs")
         close = pair_cosine(met.select("i", "j").distinct(), vectors).where(F.col("sim") >= limit).select("i", "j")
         dropped = lookup(met, close, ["i", "j"], ["user_id"]).select("user_id", F.col("i").alias("item_id")).distinct()
-        best = top_n(ranked.join(dropped, ["user_id", "item_id"], "left_anti").drop("rank"), n)
+        best = stage(top_n(ranked.join(dropped, ["user_id", "item_id"], "left_anti").drop("rank"), n), "dissimilar")
         if width >= total:
             return best if found is None else found.unionByName(best)
         got = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("got"))
@@ -102,7 +101,7 @@ def recommend_dissimilar(
         )
         full = best.join(done, "user_id", "left_semi")
         found = full if found is None else found.unionByName(full)
-        left = left.join(done, "user_id", "left_anti")
+        left = stage(left.join(done, "user_id", "left_anti"), "short-users")
         if left.isEmpty():
             return found
         width *= 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.operators.rank import SCORE_DIGITS, top_n, unseen
+from tastemill.session import stage
 
 
 def hot_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
@@ -40,13 +41,13 @@ def _recommend_hot_unseen(hot: DataFrame, users: DataFrame, n: int, seen: DataFr
     left, found = users.select("user_id"), None
     while True:
         lists = unseen(recommend_hot(hot, left, width).drop("rank"), seen)
-        best = top_n(lists, n)
+        best = stage(top_n(lists, n), "hot-unseen")
         if width >= total:
             return best if found is None else found.unionByName(best)
         done = best.groupBy("user_id").count().where(F.col("count") == n).select("user_id")
         full = best.join(done, "user_id", "left_semi")
         found = full if found is None else found.unionByName(full)
-        left = left.join(done, "user_id", "left_anti")
+        left = stage(left.join(done, "user_id", "left_anti"), "short-users")
         if left.isEmpty():
             return found
         width *= 4

@@ -7,7 +7,6 @@ from math import ceil
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
-from tastemill.operators.baskets import basket_arrays
 from tastemill.operators.rank import top_n, unseen
 from tastemill.operators.skew import lookup
 from tastemill.session import stage
@@ -35,7 +34,8 @@ def frequent_itemsets(baskets: DataFrame, keys: list[str], min_support: float =
     least = smallest_count(min_support, total)
     single = members.groupBy("item_id").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
     kept = members.join(F.broadcast(single.select("item_id")), "item_id", "left_semi")
-    arrays = stage(basket_arrays(kept, keys).select("items"), "transactions")
+    arrays = kept.groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    arrays = stage(arrays.select("items"), "transactions")
     left = arrays.count()
     if left < least:
         return single.select(F.array("item_id").alias("items"), "freq", (F.col("freq") / total).alias("support"))

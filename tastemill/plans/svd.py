@@ -10,6 +10,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tastemill.operators.index import dense_index
+from tastemill.operators.skew import lookup
 from tastemill.operators.spmm import SparseMatrix
 from tastemill.plans.factors import Factors
 from tastemill.session import stage
@@ -73,16 +74,17 @@ def svd(
     col_index = stage(dense_index(items if by_item else users, col, name="c"), "svd-columns")
     row_index = dense_index(users if by_item else items, row, name="r")
     cells = ratings.select(row, col, F.col(value).alias("value"))
-    cells = cells.join(col_index, col).join(row_index, row).select("r", "c", "value")
+    cells = stage(lookup(cells, col_index, col, [row]), "svd-cells")
+    cells = lookup(cells, row_index, row, [col]).select("r", "c", "value")
     total = ratings.agg(F.sum(F.col(value) * F.col(value))).first()[0] or 0.0
     if total == 0:
         return Factors(users.select("user_id", F.array().cast("array<double>").alias("vec")),
                        items.select("item_id", F.array().cast("array<double>").alias("vec")), 0), np.zeros(0)
-    matrix = _row_matrix(cells, columns)
-    wanted = min(columns, FIRST_K)
+    matrix, wanted = None, min(columns, FIRST_K)
     while True:
         if wanted * columns > DRIVER_CELLS:
             raise ValueError(f"{wanted} components of {columns} columns exceed the driver bound")
+        matrix = matrix or _row_matrix(cells, columns)
         found = matrix.computeSVD(wanted, computeU=False)
         sigma = np.asarray(found.s.toArray())
         keep = keep_count(sigma, total, energy_ratio, semantics)

@@ -56,12 +56,14 @@ def read_tag_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix_to_long(wide: DataFrame, row: str, column: str, value: str, kind: str = "double") -> DataFrame:
     """Labelled matrix (one column per column label) to long rows without the empty cells."""
-    labels = [c for c in wide.columns if c != row]
-    cells = wide.select(F.col(row).cast("long").alias(row), *[F.col(f"`{c}`").cast(kind).alias(c) for c in labels])
+    labels = {c: str(int(float(c))) for c in wide.columns if c != row}
+    cells = wide.select(
+        F.col(row).cast("long").alias(row), *[F.col(f"`{c}`").cast(kind).alias(label) for c, label in labels.items()]
+    )
     return (
-        cells.unpivot(row, labels, column, value)
+        cells.unpivot(row, list(labels.values()), column, value)
         .where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .withColumn(column, F.col(column).cast("double").cast("long"))
+        .withColumn(column, F.col(column).cast("long"))
     )
 
 

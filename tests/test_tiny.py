@@ -57,11 +57,11 @@ def tiny_baskets(tiny):
 
 def test_item_cf(tiny):
     baskets = tiny_baskets(tiny)
-    arrays = {tuple(r["items"]) for r in B.basket_arrays(baskets, ["user_id", "basket_no"]).collect()}
+    arrays = {tuple(r["items"]) for r in B.basket_lists(baskets, ["user_id", "basket_no"]).collect()}
     assert arrays == {(1, 2, 3), (1, 2), (2, 3, 4, 5)}
     raters = cooccur.item_raters(tiny.old)
     assert {r[0]: r[1] for r in raters.collect()} == {1: 2, 2: 3, 3: 3, 4: 2, 5: 1, 6: 1}
-    w = cooccur.purchase_similarity(cooccur.cooccurrence(baskets), raters)
+    w = cooccur.purchase_similarity(baskets, raters)
     want = {(1, 2): 0.816497, (1, 3): 0.408248, (2, 3): 0.666667, (2, 4): 0.408248,
             (2, 5): 0.577350, (3, 4): 0.408248, (3, 5): 0.577350, (4, 5): 0.707107}
     assert {(r["i"], r["j"]): r["w"] for r in w.collect()} == pytest.approx(want, abs=1e-6)
