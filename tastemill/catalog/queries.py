@@ -97,7 +97,8 @@ def tag_scores_view(w):
     """Long tag scores from the vectors, renamed, with the columns not needed dropped."""
     wide = tables.tag_vectors(w.spark, w.folder)
     long = wide.select("item_id", F.posexplode("tags").alias("tagId", "score"))
-    return long.withColumnsRenamed({"tagId": "tag_id"}).withColumn("relevance", F.round("score", 6)).drop("score")
+    long = long.withColumnsRenamed({"tagId": "tag_id"}).withColumn("tag_id", F.col("tag_id").cast("long"))
+    return long.withColumn("relevance", F.round("score", 6)).drop("score")
 
 
 # --- preparation --------------------------------------------------------------------------
@@ -185,19 +186,23 @@ def sample_ratings(w):
 def sample_tag_scores(w):
     """Tag vectors of known items; the whole catalogue counts here, not the sample."""
     vectors = tables.tag_vectors(w.spark, w.folder)
-    return vectors.join(w.items, "item_id", "left_semi").select("item_id", F.size("tags").alias("n_tags"))
+    return vectors.join(w.items, "item_id", "left_semi").select("item_id", F.size("tags").cast("long").alias("n_tags"))
 
 
 @query
 def items_with_vectors(w):
     joined = w.items.join(tables.tag_vectors(w.spark, w.folder), "item_id", "left")
-    return joined.select("item_id", "genres", F.size("tags").alias("n_tags"), F.round(F.col("tags")[0], 6).alias("first_tag"))
+    return joined.select("item_id", "genres", F.size("tags").cast("long").alias("n_tags"), F.round(F.col("tags")[0], 6).alias("first_tag"))
+
+
+def _tag_cells(imputed: DataFrame) -> DataFrame:
+    cells = imputed.select("item_id", F.posexplode("tags").alias("tag_id", "value"))
+    return rounded(cells.withColumn("tag_id", F.col("tag_id").cast("long")), "value")
 
 
 @query
 def impute_features(w):
-    cells = w.imputed.select("item_id", F.posexplode("tags").alias("tag_id", "value"))
-    return rounded(cells, "value")
+    return _tag_cells(w.imputed)
 
 
 @query
@@ -211,8 +216,7 @@ def impute_features_fine(w):
             encode.multi_hot_array(F.col("p_size").cast("string"), sizes),
         ).alias("genre_vec"),
     )
-    full = features.impute(typed, tables.tag_vectors(w.spark, w.folder))
-    return rounded(full.select("item_id", F.posexplode("tags").alias("tag_id", "value")), "value")
+    return _tag_cells(features.impute(typed, tables.tag_vectors(w.spark, w.folder)))
 
 
 # --- split --------------------------------------------------------------------------------
