@@ -8,6 +8,8 @@ from tastemill.operators.skew import sizes_of
 from tastemill.session import stage
 
 SCORE_DIGITS = 6
+# Longest part of a catalogue that is unfolded for a user at a time.
+WIDEST_PART = 65_536
 
 
 def rounded_score(score: Column, digits: int = SCORE_DIGITS) -> Column:
@@ -60,32 +62,40 @@ def top_n_with_zeros(
     if short.isEmpty():
         return top_n(candidates, n)
     held = stage(taken.select("user_id", "item_id").join(short, "user_id", "left_semi"), "held")
-    return top_n(candidates.unionByName(_zero_items(held, short, items, n)), n)
+    catalogue = items.select("item_id", F.lit(0.0).alias("score")).distinct()
+    return top_n(candidates.unionByName(first_free(catalogue, held, short, n)), n)
 
 
-def _zero_items(taken: DataFrame, users: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """For each user the ``n`` smallest item ids not among the ``taken`` rows, with score 0.
+def first_free(catalogue: DataFrame, taken: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
+    """(user, item, score): for each user the ``n`` first catalogue items not among ``taken``.
 
-    Candidates come from a short prefix of the catalogue; users who have taken nearly all
-    of the prefix go through another round with one four times as long, so the work stays
-    linear in the rows.
+    The catalogue (item_id, score) is read from the top, by score and then id, in parts
+    of bounded length. A user goes on to the next part only while fewer than ``n`` free
+    items are found, which takes as many ``taken`` rows as the parts are long, so the
+    work stays linear in the rows and no list grows with the catalogue.
     """
-    catalogue = items.select("item_id").distinct()
-    total, width, left, found = catalogue.count(), 4 * n, users, None
+    left, rest, width, found = users.select("user_id", F.lit(0).cast("long").alias("have")), catalogue, 4 * n, None
     while True:
-        prefix = catalogue.orderBy("item_id").limit(width).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+        part = stage(rest.orderBy(F.desc("score"), F.asc("item_id")).limit(width), "catalogue-part")
+        size = part.count()
+        listed = part.agg(F.collect_list(F.struct("item_id", "score")).alias("part"))
+        near = taken.join(F.broadcast(part.select("item_id")), "item_id", "left_semi")
         free = (
-            left.select("user_id", F.explode(prefix.scalar()).alias("item_id"))
-            .join(taken, ["user_id", "item_id"], "left_anti")
-            .withColumn("score", F.lit(0.0))
+            left.select("user_id", F.explode(listed.scalar()).alias("_e"))
+            .select("user_id", "_e.*")
+            .join(near, ["user_id", "item_id"], "left_anti")
         )
-        best = stage(top_n(free, n).select("user_id", "item_id", "score"), "zero-items")
-        if width >= total:
-            return best if found is None else found.unionByName(best)
-        done = sizes_of(best, "user_id").where(F.col("n") == n).select("user_id")
-        full = best.join(done, "user_id", "left_semi")
-        found = full if found is None else found.unionByName(full)
-        left = stage(left.join(done, "user_id", "left_anti"), "short-users")
+        best = stage(top_n(free, n).select("user_id", "item_id", "score"), "free-items")
+        found = best if found is None else found.unionByName(best)
+        if size < width:
+            return found
+        more = sizes_of(best, "user_id")
+        have = F.col("have") + F.coalesce(F.col("n"), F.lit(0))
+        left = left.join(more, "user_id", "left").select("user_id", have.alias("have")).where(F.col("have") < n)
+        left = stage(left, "short-users")
         if left.isEmpty():
             return found
-        width *= 4
+        last = part.orderBy(F.asc("score"), F.desc("item_id")).first()
+        later = (F.col("score") == last["score"]) & (F.col("item_id") > last["item_id"])
+        rest = catalogue.where((F.col("score") < last["score"]) | later)
+        width = min(4 * width, WIDEST_PART)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tastemill.operators.rank import SCORE_DIGITS, top_n, unseen
-from tastemill.session import stage
+from tastemill.operators.rank import SCORE_DIGITS, first_free, top_n
 
 
 def hot_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
@@ -17,16 +16,13 @@ def hot_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def recommend_hot(hot: DataFrame, users: DataFrame, n: int = 10, seen: DataFrame | None = None) -> DataFrame:
-    """The ``n`` most popular items for every user.
+    """The ``n`` most popular items for every user; with ``seen``, of those not yet rated.
 
-    The list is one scalar subquery of ``n`` entries that each user row unfolds. With
-    ``seen`` each user gets the best items they have not rated; the common list is then
-    as long as the longest need, found from the ratings of the popular items themselves.
+    The common list is one scalar subquery of ``n`` entries that each user row unfolds.
     """
-    order = [F.desc("score"), F.asc("item_id")]
     if seen is not None:
-        return _recommend_hot_unseen(hot, users, n, seen)
-    best = hot.orderBy(*order).limit(n)
+        return top_n(first_free(hot, seen.select("user_id", "item_id"), users, n), n)
+    best = hot.orderBy(F.desc("score"), F.asc("item_id")).limit(n)
     listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id"))).alias("best"))
     return users.select("user_id", F.posexplode(listed.scalar()).alias("at", "e")).select(
         "user_id",
@@ -34,20 +30,3 @@ def recommend_hot(hot: DataFrame, users: DataFrame, n: int = 10, seen: DataFrame
         F.col("e.item_id").alias("item_id"),
         (-F.col("e.s")).alias("score"),
     )
-
-
-def _recommend_hot_unseen(hot: DataFrame, users: DataFrame, n: int, seen: DataFrame) -> DataFrame:
-    total, width = hot.count(), 4 * n
-    left, found = users.select("user_id"), None
-    while True:
-        lists = unseen(recommend_hot(hot, left, width).drop("rank"), seen)
-        best = stage(top_n(lists, n), "hot-unseen")
-        if width >= total:
-            return best if found is None else found.unionByName(best)
-        done = best.groupBy("user_id").count().where(F.col("count") == n).select("user_id")
-        full = best.join(done, "user_id", "left_semi")
-        found = full if found is None else found.unionByName(full)
-        left = stage(left.join(done, "user_id", "left_anti"), "short-users")
-        if left.isEmpty():
-            return found
-        width *= 4

@@ -29,11 +29,11 @@ def frequent_itemsets(baskets: DataFrame, keys: list[str], min_support: float =
     most (mean basket size / min_support), which bounds the arrays handed to the miner
     whatever the size of a basket.
     """
-    members = baskets.select(*keys, "item_id").distinct()
+    members = stage(baskets.select(*keys, "item_id").distinct(), "members")
     total = members.select(*keys).distinct().count()
     least = smallest_count(min_support, total)
     single = members.groupBy("item_id").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
-    kept = members.join(F.broadcast(single.select("item_id")), "item_id", "left_semi")
+    kept = lookup(members, single.select("item_id"), "item_id", keys, "left_semi")
     arrays = kept.groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     arrays = stage(arrays.select("items"), "transactions")
     left = arrays.count()

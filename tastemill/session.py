@@ -37,8 +37,8 @@ def staging_root(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tastemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tastemill-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/tastemill-{spark.sparkContext.applicationId}"
 
 

@@ -145,12 +145,13 @@ def test_sliced_catalogue(spark):
             assert got[r["user_id"]] == order
 
 
-def test_zero_items_beyond_the_prefix(spark):
+def test_zero_items_beyond_the_head(spark, monkeypatch):
     items = spark.createDataFrame([(i,) for i in range(100)], "item_id long")
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
     taken = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0)], "user_id long, item_id long")
     scored = spark.createDataFrame([(1, 95, 2.0), (2, 50, -1.0)], "user_id long, item_id long, score double")
     every = taken.unionByName(scored.select("user_id", "item_id"))
+    monkeypatch.setattr(rank, "WIDEST_PART", 20)
     got = lists(rank.top_n_with_zeros(scored, every, users, items, 3))
     assert got == {1: [(95, 2.0), (90, 0.0), (91, 0.0)], 2: [(1, 0.0), (2, 0.0), (3, 0.0)], 3: [(0, 0.0), (1, 0.0), (2, 0.0)]}
 
@@ -170,7 +171,7 @@ def test_pipelines_with_hot_keys(tiny, every_key_is_hot):
 
 def test_shuffled_product(tiny, monkeypatch):
     """Item CF without the broadcast of the weights."""
-    monkeypatch.setattr(item_cf, "BROADCAST_PAIRS", -1)
+    monkeypatch.setattr(item_cf, "BROADCAST_ROWS", -1)
     model = item_cf.ItemCF(tiny.centred, T.tiny_baskets(tiny))
     T.near(lists(item_cf.recommend_unrated(model, tiny.users, tiny.items)), T.UNRATED_LISTS)
 
@@ -178,7 +179,7 @@ def test_shuffled_product(tiny, monkeypatch):
 def test_walk_from_either_side(tiny):
     """Few sources use the user side, many the item side; the scores agree."""
     edges = walk.graph_edges(tiny.centred)
-    one = {(r[0], r[1]): r[2] for r in walk.walk_scores(edges, tiny.users.where("user_id = 3")).collect()}
+    one = {(r[0], r[1]): r[2] for r in walk.walk_scores(edges, tiny.users.where("user_id = 3"), tolerance=1e-7).collect()}
     graph = stage(edges.unionByName(edges.withColumn("user_id", F.col("user_id") + 10)), "double")
     many = {(r[0], r[1]): r[2] for r in walk.walk_scores(graph, graph.select("user_id").distinct(), block=2).collect()}
     deg = np.zeros((8, 4))
