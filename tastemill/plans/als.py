@@ -12,7 +12,7 @@ from tastemill.functions.encode import hex_number
 from tastemill.functions.vectors import dot, gram, times_matrix
 from tastemill.operators.spmm import SparseMatrix
 from tastemill.plans.factors import Factors
-from tastemill.session import stage
+from tastemill.session import stage, unstage
 
 
 def hashed_start(seed: str) -> Callable[[str, int], Column]:
@@ -68,6 +68,7 @@ def als_dense(
     trained = items.select("item_id").orderBy("item_id").limit(k).withColumn("_trained", F.lit(True))
 
     for _ in range(steps):
+        before = (u, i)
         u = stage(matrix.times(times_matrix(i, "vec", np.linalg.inv(gi + lambda_u * eye)), k), "als-users")
         gu = gram(u, "vec", k)
         z = matrix.transposed_times(u, k).withColumn("z", F.col("vec"))
@@ -90,6 +91,9 @@ def als_dense(
         gi = gram(i, "vec", k)
         losses.append(loss(cross, gu, gi))
         history = history + [(u, i)] if keep_history else [(u, i)]
+        if not keep_history:
+            for factors in before:
+                unstage(factors)
         if losses[-1] < epoch:
             break
     return Factors(u, i, k, losses, history)

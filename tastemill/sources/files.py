@@ -58,7 +58,7 @@ def matrix_to_long(wide: DataFrame, row: str, column: str, value: str, kind: str
     """Labelled matrix (one column per column label) to long rows without the empty cells."""
     labels = {c: str(int(float(c))) for c in wide.columns if c != row}
     cells = wide.select(
-        F.col(row).cast("long").alias(row), *[F.col(f"`{c}`").cast(kind).alias(label) for c, label in labels.items()]
+        F.col(row).cast("long").alias(row), *[F.col(f"`{c}`").cast("double").cast(kind).alias(label) for c, label in labels.items()]
     )
     return (
         cells.unpivot(row, list(labels.values()), column, value)

@@ -45,6 +45,9 @@ def test_matrix_files(spark, tmp_path):
     long = files.read_matrix(spark, str(tmp_path / "rate.csv"), "item_id", "user_id", "rating")
     want = [(10, 1, 5.0), (10, 3, 3.5), (12, 1, 1.0), (12, 2, 2.0)]
     assert sorted((r["item_id"], r["user_id"], r["rating"]) for r in long.collect()) == want
+    (tmp_path / "time.csv").write_text("MovieID,1,2\n10,978300760.0,\n")
+    times = files.read_matrix(spark, str(tmp_path / "time.csv"), "item_id", "user_id", "ts", "long")
+    assert [tuple(r) for r in times.collect()] == [(10, 1, 978300760)]
     sinks.write_matrix(long, str(tmp_path / "out"), "item_id", "user_id", "rating", [1, 2, 3])
     back = files.read_matrix(spark, str(tmp_path / "out"), "item_id", "user_id", "rating")
     assert sorted((r["item_id"], r["user_id"], r["rating"]) for r in back.collect()) == want
