@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one numpy step works on; bounds a task's memory.
 STEP_BYTES = 2 << 20
@@ -149,5 +151,10 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def spark_schema(arrow: pa.Schema) -> T.StructType:
-    return from_arrow_schema(arrow)
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of this package with its class, which executors need not have installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast):
+    return pickle.loads(shared.value)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, fertility
-from tastemill.llm.common import table
+from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, pii, pitman_yor, repeats, sharding, toxicity
+from tastemill.llm.common import remainder, table
 from tastemill.session import tune
 
 
@@ -19,12 +19,61 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder, "doc_id", "text"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.verdicts(documents(spark, folder, "doc_id", "text"))
+
+
+def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    docs = documents(spark, folder, "doc_id", "text", "lang").select("*", held)
+    model = langid.learn(docs.where(~F.col("held_out")))
+    found = langid.predict(docs, model, carry=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.verdicts(documents(spark, folder, "doc_id", "text", "lang"), carry=["doc_id"])
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = table(spark, folder, "benchmark").select("item_id", "text")
+    return decontaminate.verdicts(documents(spark, folder, "doc_id", "text"), benchmark)
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.verdicts(documents(spark, folder, "doc_id", "text"))
+
+
+def op7_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.verdicts(documents(spark, folder, "doc_id", "text"))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.by_text(documents(spark, folder, "doc_id", "text"))
+
+
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(documents(spark, folder, "doc_id", "text"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    docs = documents(spark, folder, "doc_id", "text").select("*", held)
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
+    found = toxicity.score(docs, toxicity.learn(docs, labels), carry=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_repeats": op2_repeats,
+    "op3_langid": op3_langid,
     "op4_fertility": op4_fertility,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_pii": op6_pii,
+    "op7_pitman_yor": op7_pitman_yor,
+    "op8_sharding": op8_sharding,
+    "op9_jaccard": op9_jaccard,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
