@@ -315,15 +315,17 @@ def _verified_links(table: pa.Table, names: list[str]):
 # -- the join ----------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", together: int = TOGETHER) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", together: int = TOGETHER, carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) of each document.
 
     Texts without words, and null texts, have an empty set and stand alone. Documents with equal
     sets are one class. Rows that repeat an id are joined only if their texts are. A null id is
-    never the smallest; a component of null ids only has a null id. No rows give no rows.
+    never the smallest; a component of null ids only has a null id. No rows give no rows. Columns
+    to carry must not be named like those of the result.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = stage(signatures(docs, carry=["doc_id"]), "jaccard-sets")
+    carry = carry or []
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carry)
+    signed = stage(signatures(docs, carry=["doc_id", *carry]), "jaccard-sets")
     rows = signed.where("key IS NOT NULL")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"), F.first("firsts").alias("firsts"))
     distinct = stage(distinct, "jaccard-distinct")
@@ -335,42 +337,54 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     # the shingles of the sets in a rough component, from one text of each
     rough = rough.select(F.col("node").alias("key"), F.conv(F.substring(F.hex("root"), 1, 15), 16, 10).cast("long").alias("cluster"))
     wanted = stage(rough.join(distinct.select("key", "least"), "key"), "jaccard-wanted")
-    texts = _texts_of(docs, signed, wanted)
-
-    def work():
-        def step(batch):
-            value, offsets = shingle_sets(*raw(batch.column("text")))
-            return {"shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.astype(np.int64)))}
-
-        return step
-
-    sets = stage(map_texts(texts, work, "shingles array<long>", "text", ["key", "cluster"]), "jaccard-cluster-sets")
-    cells = _blocks(sets, "cluster", together // 4)
+    sets = stage(_sets_of(docs.select("doc_id", "text"), wanted), "jaccard-cluster-sets")
+    cells = _blocks(sets, "cluster", max(1, together // 4))
     linked = components(_by_group(cells.select("cluster", "cell", "key", "shingles"), ["cluster", "cell"], _verified_links, "a binary, b binary"))
 
     rooted = stage(distinct.select("key", "least").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "jaccard-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("key", "component_id")
-    alone = signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.join(named, "key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
+    return rows.join(named, "key").select("doc_id", "n_shingles", "component_id", *carry).unionByName(alone)
 
 
-def _texts_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key``, ``cluster``, ``text``: one text for each wanted set.
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key``, ``cluster``, ``shingles`` of each wanted set, from one document that has it.
 
-    The document with a set's smallest id has its text. Sets whose ids are all null, or whose id
-    also stands at another text, are looked up by signing the texts with that id again.
+    The document with the set's smallest id has it; as an id may also stand at another text, the
+    texts found are signed again. Sets of documents without ids are found among those by their key.
     """
-    ids = wanted.select("key", "cluster", "least")
-    found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"])).select("key", "cluster", "text")
 
     def work():
         def step(batch):
             value, offsets = shingle_sets(*raw(batch.column("text")))
             cut, blob = offsets.tolist(), value.tobytes()
-            return {"own": pa.array([hashlib.md5(blob[8 * a : 8 * b]).digest() for a, b in zip(cut, cut[1:])], pa.binary())}
+            return {
+                "own": pa.array([hashlib.md5(blob[8 * a : 8 * b]).digest() for a, b in zip(cut, cut[1:])], pa.binary()),
+                "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.astype(np.int64))),
+            }
 
         return step
 
-    signed_again = map_texts(found, work, "own binary", "text", ["key", "cluster", "text"])
-    return signed_again.where("own = key").drop("own").dropDuplicates(["key"])
+    schema = "own binary, shingles array<long>"
+    ids = wanted.where("least IS NOT NULL")
+    found = docs.join(ids, docs["doc_id"] == ids["least"]).select("key", "cluster", "text")
+    named = map_texts(found, work, schema, "text", ["key", "cluster"]).where("own = key").drop("own")
+    nameless = map_texts(docs.where("doc_id IS NULL"), work, schema, "text", [])
+    nameless = nameless.withColumnRenamed("own", "key").join(wanted.where("least IS NULL").select("key", "cluster"), "key")
+    return named.unionByName(nameless.select("key", "cluster", "shingles")).dropDuplicates(["key"])
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents (all their columns), one of each component: that with the smallest id.
+
+    Equal rows count as one. Documents without an id that are linked to none with one all stay,
+    but for equal texts. Empty texts stand alone.
+    """
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    rows = docs.withColumn("_digest", digest)
+    found = classes(rows, text, doc_id, carry=["_digest"])
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_chosen")).distinct()
+    chosen = stage(chosen, "jaccard-chosen")
+    kept = rows.join(chosen, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest")
