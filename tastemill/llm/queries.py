@@ -76,4 +76,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+REPEATS_SQL = """
+with d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) doc, hex(encode(coalesce(text, ''))) h from documents),
+w as (select r, doc, i, substr(h, 2 * i - 1, 100) s from (select *, unnest(range(1, len(h) // 2 - 48)) i from d)),
+least_doc as (select s, min(doc) m from w group by 1 having count(*) > 1),
+hit as (select r, i, lag(i) over (partition by r order by i) before, lead(i) over (partition by r order by i) after
+  from w join least_doc using (s) where m < doc),
+runs as (select r, i, max(i) over (partition by r, run) + 49 stop, first from (
+  select *, sum(first::int) over (partition by r order by i) run from (select *, before is null or i > before + 50 first from hit))),
+spans as (select r, i a, stop b from runs where first),
+sums as (select r, count(*) n_spans, sum(b - a + 1) n_removed from spans group by 1),
+rest as (select r, string_agg(substr(h, 2 * lo - 1, 2 * (hi - lo + 1)), '' order by lo) kept from (
+  select d.r, h, coalesce(lag(b) over (partition by d.r order by a), 0) + 1 lo, a - 1 hi from spans join d using (r)
+  union all select d.r, h, max(b) + 1, len(h) // 2 from spans join d using (r) group by all) where hi >= lo group by 1)
+select doc_id, len(h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(case when n_spans is null then h else coalesce(kept, '') end)) kept_sha256
+from d left join sums using (r) left join rest using (r)
+"""
+
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATE_SQL = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{DOWN}'), '{WORDS}') w from documents),
+b as (select distinct item_id::varchar i, regexp_extract_all(translate(text, '{UPPER}', '{DOWN}'), '{WORDS}') w from benchmark where text is not null),
+p as (select distinct i, least(len(w), 13) n, array_to_string(w[k:k + 12], ' ') s from (select *, unnest(range(1, greatest(len(w) - 12, least(len(w), 1)) + 1)) k from b)),
+q as (select r, n, k, array_to_string(w[k:k + n - 1], ' ') s from (select *, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from p) where len(w) >= n)),
+found as (select r, q.n, k, i from q join p on p.s = q.s and p.n = q.n),
+hits as (select r, count(distinct place) n_hit from (select r, unnest(range(k, k + n)) place from (select distinct r, n, k from found)) group by 1),
+items as (select r, count(*) n, string_agg(i, ',' order by i) ids from (select distinct r, i from found where i is not null) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join hits using (r) left join items using (r)
+"""
+
+JACCARD_SQL = rf"""
+with recursive d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{DOWN}'), '[^\x20\x09-\x0D]+') w from documents),
+sets as (select r, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) end s from d),
+e as (select r, unnest(s) x from sets),
+met as (select a.r x, b.r y, count(*) n from e a join e b on a.x = b.x and a.r < b.r group by 1, 2),
+pairs as (select x, y from met join sets a on a.r = x join sets b on b.r = y where 100 * n >= 90 * (len(a.s) + len(b.s) - n)),
+links as (select x, y from pairs union all select y, x from pairs),
+reach as (select r, r z from sets union select reach.r, y from reach join links on x = z)
+select any_value(a.doc_id) doc_id, any_value(len(a.s))::bigint n_shingles, min(b.doc_id) component_id
+from reach join sets a on a.r = reach.r join sets b on b.r = z group by a.r
+"""
+
+#: The others hold trained models, token ids or a partition that SQL cannot state; tests compare them
+#: with plain Python.
+ORACLES: dict[str, str] = {
+    "op2_repeats": REPEATS_SQL,
+    "op5_decontaminate": DECONTAMINATE_SQL,
+    "op9_jaccard": JACCARD_SQL,
+}
