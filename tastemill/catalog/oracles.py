@@ -40,7 +40,7 @@ from orders join lineitem on o_orderkey = l_orderkey group by 1, 2
 cte("event_ratings", """
 select user_id, cast(json_extract(props, '$.k') as bigint) item_id, max(value) rating,
        max(cast(floor(epoch(ts)) as bigint)) ts
-from events where event_type in ('click', 'view', 'purchase') group by 1, 2
+from events group by 1, 2
 """)
 cte("brand_lines", """
 select l_orderkey, l_quantity, cast(substr(p_brand, 7) as bigint) item_id
@@ -93,6 +93,7 @@ left join {prefix}_group_mean g on g.grp = k.grp and g.tag_id = m.tag_id where k
 
 impute("typed", "p_type")
 impute("fine", "p_type || '/' || p_size")
+impute("nested", "p_type || case when p_size > 40 then '/' || p_size else '' end")
 cte("item_raw", f"""
 select item_id, list_concat(any_value({FLAGS}), list(x order by tag_id)) raw
 from typed_imputed join part on p_partkey = item_id group by 1
@@ -108,6 +109,17 @@ from customer
 cte("user_len", "select *, list_inner_product(raw, raw) len2 from user_raw")
 cte("user_vec", f"select user_id, {UNIT} vec from user_len")
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+cte("topic_means", """
+select cast(json_extract(props, '$.k') as bigint) item_id, event_type, avg(value) - (select avg(value) from events) m
+from events group by 1, 2
+""")
+cte("topic_raw", "select item_id, [" + ", ".join(f"coalesce(max(case when event_type = '{t}' then m end), 0.0)" for t in EVENT_TYPES) + "] raw from topic_means group by 1")
+cte("topic_len", "select *, list_inner_product(raw, raw) len2 from topic_raw")
+cte("topic_vec", f"select item_id, {UNIT} vec from topic_len")
+cte("tag_len", "select vec_id item_id, cast(embedding as double[]) raw, list_inner_product(raw, raw) len2 from embeddings where vec_id in (select p_partkey from part)")
+cte("tag_vec", f"select item_id, {UNIT} vec from tag_len")
+
 # --- baskets ------------------------------------------------------------------------------
 
 cte("gaps", """
@@ -122,23 +134,68 @@ cte("gap_baskets", """
 select * from (select user_id, cast(basket_no as bigint) basket_no, item_id,
   count(*) over (partition by user_id, basket_no) basket_size from gap_numbered) where basket_size > 1
 """)
-cte("co", """
-select a.item_id i, b.item_id j, count(*) n from gap_baskets a join gap_baskets b
-on a.user_id = b.user_id and a.basket_no = b.basket_no and a.item_id < b.item_id group by 1, 2
+SHIFT_SECONDS = 25 * 86400
+
+
+def mean_shift(prefix: str, old: str) -> None:
+    """Mean-shift baskets: seeds move to the mean around them until they rest, the strongest centres stay."""
+    cte(f"{prefix}_points", f"select * from (select *, count(*) over (partition by user_id) of_user from {old}) where of_user > 1")
+    cte(f"{prefix}_moves", f"""
+select distinct user_id, ts::double seed, ts::double centre, 0::bigint held, 0 step, false rest from {prefix}_points
+union all
+select user_id, seed, mean, n, step + 1, abs(mean - centre) < {SHIFT_SECONDS * 1e-3} or step >= 300 from (
+  select m.user_id, seed, centre, step, min(p.ts) + sum(p.ts - (select min(ts) from {prefix}_points))::double / count(*)
+    - (min(p.ts) - (select min(ts) from {prefix}_points)) mean, count(*) n
+  from {prefix}_moves m join {prefix}_points p on p.user_id = m.user_id and abs(p.ts - centre) <= {SHIFT_SECONDS}
+  where not rest group by all)
+""")
+    cte(f"{prefix}_centres", f"""
+select user_id, list({{'w': held, 'c': centre}} order by held desc, centre desc) open
+from (select distinct user_id, held, centre from {prefix}_moves where rest) group by 1
+""")
+    cte(f"{prefix}_kept", f"""
+select user_id, []::double[] kept, open from {prefix}_centres
+union all
+select user_id, list_append(kept, open[1].c), list_filter(open, lambda x: abs(x.c - open[1].c) > {SHIFT_SECONDS})
+from {prefix}_kept where len(open) > 0
 """)
+    cte(f"{prefix}_labels", f"""
+select user_id, item_id, nth basket_no from (
+  select p.user_id, item_id, nth, row_number() over (partition by p.user_id, item_id order by round(abs(ts - middle), 3), nth) place
+  from {prefix}_points p join (select user_id, unnest(kept) middle, unnest(range(1, len(kept) + 1)) nth from {prefix}_kept where len(open) = 0)
+  using (user_id)) where place = 1
+""")
+    cte(f"{prefix}_baskets", f"""
+select * from (select user_id, cast(basket_no as bigint) basket_no, item_id,
+  count(*) over (partition by user_id, basket_no) basket_size from {prefix}_labels) where basket_size > 1
+""")
+
+
+mean_shift("shift", "order_old")
+mean_shift("brand_shift", "brand_old")
 cte("raters", "select item_id, count(rating) raters from order_old group by 1")
-cte("buy", """
-select i, j, n / sqrt(a.raters * b.raters) w from co join raters a on a.item_id = i join raters b on b.item_id = j
+for _prefix, _source in (("", "gap"), ("shift_", "shift")):
+    cte(f"{_prefix}co", f"""
+select a.item_id i, b.item_id j, count(*) n from {_source}_baskets a join {_source}_baskets b
+on a.user_id = b.user_id and a.basket_no = b.basket_no and a.item_id < b.item_id group by 1, 2
 """)
-cte("buy_both", "select i, j, w from buy union all select j, i, w from buy")
+    cte(f"{_prefix}buy", f"""
+select i, j, n / sqrt(a.raters * b.raters) w from {_prefix}co join raters a on a.item_id = i join raters b on b.item_id = j
+""")
+    cte(f"{_prefix}buy_both", f"select i, j, w from {_prefix}buy union all select j, i, w from {_prefix}buy")
 
 
 def top(source: str, n: int = 10, user: str = "user_id", item: str = "item_id") -> str:
     """Top-N lists from (user, item, score) rows."""
     return f"""
-select {user}, cast(rank as integer) rank, {item}, score from (
-  select {user}, {item}, score, row_number() over (partition by {user} order by score desc, {item}) rank
-  from (select {user}, {item}, round(score, 6) + 0.0 score from ({source}))) where rank <= {n}"""
+select {user}, cast(rank as integer) rank, {item}, round(score, 6) + 0.0 score from (
+  select {user}, {item}, score, row_number() over (partition by {user} order by score::float desc, {item}) rank
+  from ({source})) where rank <= {n}"""
+
+
+def settled(total: str) -> str:
+    """A sum of terms of both signs without rounding noise around 0."""
+    return f"case when abs({total}) < 1e-12 then 0.0 else {total} end"
 
 
 # --- lists --------------------------------------------------------------------------------
@@ -161,71 +218,74 @@ select user_id, cast(nth as integer) rank, item_id, 0.0::double score from (
   select user_id, unnest(taken) pos, unnest(range(1, len(taken) + 1)) nth from draws
   where j = (select count(*) from part)) join item_order using (pos)
 """)
-cte("cf_rated", """
-select user_id, item_id, sum(score) score from (
+for _prefix in ("", "shift_"):
+    cte(f"{_prefix}cf_rated", f"""
+select user_id, item_id, {settled("sum(score)")} score from (
   select user_id, item_id, centred score from order_centred
   union all
   select a.user_id, a.item_id, w * b.centred from order_centred a join order_centred b on a.user_id = b.user_id
-  join buy_both on i = a.item_id and j = b.item_id) group by 1, 2
+  join {_prefix}buy_both on i = a.item_id and j = b.item_id) group by 1, 2
 """)
-cte("cf_reachable", """
-select user_id, item_id, sum(score) score from (
+    cte(f"{_prefix}cf_lists", top(f"select * from {_prefix}cf_rated"))
+cte("cf_reachable", f"""
+select user_id, item_id, {settled("sum(score)")} score from (
   select user_id, item_id, centred score from order_centred
   union all
   select user_id, i, w * centred from order_centred join buy_both on j = item_id) group by 1, 2
 """)
-cte("cf_lists", top("select * from cf_rated"))
+cte("tag_context", f"""
+select user_id, list(x order by pos) raw, list_inner_product(raw, raw) len2 from (
+  select user_id, pos, sum(x) x from (
+    select user_id, unnest(vec) x, unnest(range(0, len(vec))) pos from order_recent join tag_vec using (item_id)) group by 1, 2) group by 1
+""")
+cte("tag_scores", f"""
+select user_id, t.item_id, list_inner_product(c.vec, t.vec) score from (select user_id, {UNIT} vec from tag_context) c cross join tag_vec t
+""")
+cte("tag_lists", top("select * from tag_scores"))
 
 # --- rules --------------------------------------------------------------------------------
 
-SUPPORT, CONFIDENCE = 0.003, 0.005
 cte("brand_sets", "select distinct l_orderkey basket_id, item_id from brand_lines where l_orderkey in (select o_orderkey from orders)")
-cte("n_sets", "select count(distinct basket_id) total from brand_sets")
-cte("sets1", f"""
-select [item_id] items, count(*) freq from brand_sets group by item_id having count(*) / (select total from n_sets) >= {SUPPORT}
-""")
-cte("sets2", f"""
-select [a.item_id, b.item_id] items, count(*) freq from brand_sets a join brand_sets b
-on a.basket_id = b.basket_id and a.item_id < b.item_id group by a.item_id, b.item_id
-having count(*) / (select total from n_sets) >= {SUPPORT}
-""")
-cte("sets3", f"""
-select [a.item_id, b.item_id, c.item_id] items, count(*) freq from brand_sets a
-join brand_sets b on a.basket_id = b.basket_id and a.item_id < b.item_id
-join brand_sets c on a.basket_id = c.basket_id and b.item_id < c.item_id
-group by a.item_id, b.item_id, c.item_id having count(*) / (select total from n_sets) >= {SUPPORT}
-""")
-cte("sets4", f"""
-select [a.item_id, b.item_id, c.item_id, d.item_id] items, count(*) freq from brand_sets a
-join brand_sets b on a.basket_id = b.basket_id and a.item_id < b.item_id
-join brand_sets c on a.basket_id = c.basket_id and b.item_id < c.item_id
-join brand_sets d on a.basket_id = d.basket_id and c.item_id < d.item_id
-group by a.item_id, b.item_id, c.item_id, d.item_id having count(*) / (select total from n_sets) >= {SUPPORT}
-""")
-cte("sets", "select * from sets1 union all select * from sets2 union all select * from sets3 union all select * from sets4")
-cte("sides", """
+cte("shift_members", "select user_id || '-' || basket_no basket_id, item_id from brand_shift_baskets")
+
+
+def mined(prefix: str, members: str, support: float, confidence: float) -> None:
+    """Itemsets of up to four items, their rules, and the lists that follow from recent brands."""
+    cte(f"{prefix}n_sets", f"select count(distinct basket_id) total from {members}")
+    share = f"count(*) / (select total from {prefix}n_sets) >= {support}"
+    for size in (1, 2, 3, 4):
+        names = "abcd"[:size]
+        joins = " ".join(f"join {members} {y} on a.basket_id = {y}.basket_id and {x}.item_id < {y}.item_id" for x, y in zip(names, names[1:]))
+        items = ", ".join(f"{x}.item_id" for x in names)
+        cte(f"{prefix}sets{size}", f"select [{items}] items, count(*) freq from {members} a {joins} group by {items} having {share}")
+    cte(f"{prefix}sets", " union all ".join(f"select * from {prefix}sets{size}" for size in (1, 2, 3, 4)))
+    cte(f"{prefix}sides", f"""
 select items, freq, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) antecedent,
        list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0) consequent
-from (select *, unnest(range(1, (1 << len(items)) - 1)) mask from sets where len(items) > 1)
+from (select *, unnest(range(1, (1 << len(items)) - 1)) mask from {prefix}sets where len(items) > 1)
 """)
-cte("rules", f"""
-select antecedent, consequent, s.freq / (select total from n_sets) support, s.freq / b.freq confidence
-from sides s join sets b on b.items = s.antecedent where s.freq / b.freq >= {CONFIDENCE}
+    cte(f"{prefix}rules", f"""
+select antecedent, consequent, s.freq / (select total from {prefix}n_sets) support, s.freq / b.freq confidence
+from {prefix}sides s join {prefix}sets b on b.items = s.antecedent where s.freq / b.freq >= {confidence}
 """)
-cte("rules_one", "select * from rules where len(consequent) = 1")
-for _name, _agg in (("rules", "min"), ("rules_one", "max")):
-    cte(f"{_name}_leads", f"""
-select antecedent, item_id, {_agg}(confidence) confidence
-from (select antecedent, unnest(consequent) item_id, confidence from {_name}) group by 1, 2
+    cte(f"{prefix}rules_one", f"select * from {prefix}rules where len(consequent) = 1")
+    for name, agg in ((f"{prefix}rules", "min"), (f"{prefix}rules_one", "max")):
+        cte(f"{name}_leads", f"""
+select antecedent, item_id, {agg}(confidence) confidence
+from (select antecedent, unnest(consequent) item_id, confidence from {name}) group by 1, 2
 """)
-    cte(f"{_name}_met", f"""
-select user_id, antecedent from (select distinct antecedent, unnest(antecedent) item_id from {_name}_leads)
+        cte(f"{name}_met", f"""
+select user_id, antecedent from (select distinct antecedent, unnest(antecedent) item_id from {name}_leads)
 join brand_recent using (item_id) group by 1, 2 having count(*) = len(antecedent)
 """)
-    cte(f"{_name}_lists", top(f"""
-select user_id, item_id, {_agg}(confidence) score from {_name}_met join {_name}_leads using (antecedent) group by 1, 2
+        cte(f"{name}_lists", top(f"""
+select user_id, item_id, {agg}(confidence) score from {name}_met join {name}_leads using (antecedent) group by 1, 2
 """))
 
+
+mined("", "brand_sets", 0.003, 0.005)
+mined("shift_", "shift_members", 0.02, 0.05)
+
 # --- dense ALS, two factors, two sweeps ----------------------------------------------------
 
 LAMBDA = 0.1
@@ -241,9 +301,9 @@ for _key, _ids in (("user_id", "event_users"), ("item_id", "event_items")):
     cte(f"als_{_key}_0", f"select {_key}, {_start(_key, 0)} a, {_start(_key, 1)} b from {_ids}")
 
 
-def _update(step: int, key: str, other: str, source: str) -> None:
+def _update(step: int, key: str, other: str, source: str, prefix: str = "als") -> None:
     """Least-squares update of one side with the closed-form inverse of the 2 x 2 matrix."""
-    name = f"als_{key}_{step}"
+    name = f"{prefix}_{key}_{step}"
     cte(f"{name}_gram", f"select sum(a * a) + {LAMBDA} p, sum(a * b) q, sum(b * b) + {LAMBDA} r from {source}")
     cte(f"{name}_right", f"""
 select {key}, sum(centred * a) x, sum(centred * b) y from event_centred join {source} using ({other}) group by 1
@@ -269,16 +329,29 @@ from (select sum(a * a) p, sum(a * b) q, sum(b * b) r from als_user_id_{step}) u
 cross join (select sum(a * a) p, sum(a * b) q, sum(b * b) r from als_item_id_{step}) i"""
 
 
-def _als_cells(step: int) -> str:
+for _key, _ids in (("user_id", "event_users"), ("item_id", "event_items")):
+    cte(f"part_{_key}_0", f"select {_key}, {_start(_key, 0)} a, {_start(_key, 1)} b from {_ids}")
+for _step in (1, 2):
+    # only the first two items are ever updated
+    _update(_step, "user_id", "item_id", f"part_item_id_{_step - 1}", "part")
+    _update(_step, "item_id", "user_id", f"part_user_id_{_step}", "fresh")
+    cte(f"part_item_id_{_step}", f"""
+select item_id, case when known then coalesce(f.a, 0.0) else p.a end a, case when known then coalesce(f.b, 0.0) else p.b end b
+from (select *, item_id in (select item_id from event_items order by item_id limit 2) known from part_item_id_{_step - 1}) p
+left join fresh_item_id_{_step} f using (item_id)
+""")
+
+
+def _als_cells(step: int, prefix: str = "als") -> str:
     return f"""
 select user_id, item_id, coalesce(u.a * i.a + u.b * i.b, 0.0) score from event_users cross join event_items
-left join als_user_id_{step} u using (user_id) left join als_item_id_{step} i using (item_id)"""
+left join {prefix}_user_id_{step} u using (user_id) left join {prefix}_item_id_{step} i using (item_id)"""
 
 
 for _step in (0, 1, 2):
     cte(f"als_cells_{_step}", _als_cells(_step))
     cte(f"als_lists_{_step}", top(f"""
-select user_id, item_id, score from als_cells_{_step} anti join event_old using (user_id, item_id) where round(score, 9) >= 0
+select user_id, item_id, score from als_cells_{_step} anti join event_old using (user_id, item_id) where score >= -1e-12
 """))
     cte(f"als_rmse_{_step}", f"""
 select round(sqrt(avg(pow(rating - (score + coalesce(user_mean, 0)), 2))), 6) rmse
@@ -286,7 +359,7 @@ from event_new join als_cells_{_step} using (user_id, item_id) left join event_m
 """)
 
 cte("close_items", """
-select a.item_id i, b.item_id j from item_vec a join item_vec b on list_inner_product(a.vec, b.vec) >= 0.8
+select a.item_id i, b.item_id j from topic_vec a join topic_vec b on list_inner_product(a.vec, b.vec) >= 0.8
 where a.item_id in (select item_id from event_items) and b.item_id in (select item_id from event_items)
 """)
 
@@ -329,17 +402,17 @@ cte("walk_top", walk_lists("1"))
 # --- evaluation ---------------------------------------------------------------------------
 
 
-def diversity(lists: str, factor: str = "0.5") -> str:
+def diversity(lists: str, factor: str = "0.5", vectors: str = "item_vec") -> str:
     return f"""
 select a.user_id, 1 - (sum(list_inner_product(v.vec, x.vec)) - any_value(n)) / ({factor} * any_value(n) * (any_value(n) - 1)) diversity
-from {lists} a join {lists} b on a.user_id = b.user_id join item_vec v on v.item_id = a.item_id
-join item_vec x on x.item_id = b.item_id
+from {lists} a join {lists} b on a.user_id = b.user_id join {vectors} v on v.item_id = a.item_id
+join {vectors} x on x.item_id = b.item_id
 join (select user_id, count(*) n from {lists} group by 1) c on c.user_id = a.user_id
 where n > 1 group by 1"""
 
 
-def evaluation(lists: str, new: str, items: str, key: str, factor: str | None = "0.5", extra: str = "") -> str:
-    mean = f", (select round(avg(diversity), 6) from ({diversity(lists, factor)})) diversity" if factor else ""
+def evaluation(lists: str, new: str, items: str, key: str, factor: str | None = "0.5", extra: str = "", vectors: str = "item_vec") -> str:
+    mean = f", (select round(avg(diversity), 6) from ({diversity(lists, factor, vectors)})) diversity" if factor else ""
     return f"""
 select hits, listed, selected, round(hits / listed, 6) as "precision", round(hits / selected, 6) as recall,
   case when hits > 0 then round(2 * (hits / listed) * (hits / selected) / (hits / listed + hits / selected), 6) end f_measure,
@@ -352,7 +425,7 @@ from (select (select count(*) from {lists} semi join {new} using (user_id, item_
 def curve() -> str:
     rows = []
     for step in (0, 1, 2):
-        mean = f"(select round(avg(diversity), 6) from ({diversity(f'als_lists_{step}')}))"
+        mean = f"(select round(avg(diversity), 6) from ({diversity(f'als_lists_{step}', vectors='topic_vec')}))"
         cover = f"round((select count(distinct item_id) from als_lists_{step}) / (select count(*) from event_items), 6)"
         rows.append(f"select {step} step, (select rmse from als_rmse_{step}) rmse, {cover} coverage, {mean} diversity")
     return " union all ".join(rows)
@@ -381,6 +454,9 @@ SCORES = "select vec_id item_id, unnest(range(0, len(embedding))) tag_id, round(
 cte("scores", SCORES)
 HOT_UNSEEN = "select c_custkey user_id, item_id, score from customer cross join hot anti join order_old o on o.user_id = c_custkey and o.item_id = hot.item_id"
 
+SIZES = ("TINY", "LITTLE", "MIDDLE", "BIG", "HUGE")
+GENRES = "p_type || '|' || (['" + "', '".join(SIZES) + "'])[least((p_size - 1) // 10, 4) + 1]"
+
 ORACLES: dict[str, str] = {
     "ratings_view": sql("select user_id, item_id, rating, ts from order_ratings"),
     "event_ratings_view": sql("select user_id, item_id, rating, ts from event_ratings"),
@@ -388,13 +464,13 @@ ORACLES: dict[str, str] = {
     "csv_scan": sql("select item_id, tag_id, relevance from scores"),
     "matrix_scan": sql("select item_id, user_id, rating from event_ratings"),
     "time_matrix": sql("select item_id, user_id, ts from event_old"),
-    "basket_scan": sql(f"""select user_id, basket_no, case when basket_size <= 1000 then 0 else item_id // 1000 + 1 end piece,
-        {text("list(item_id order by item_id)")} items from gap_baskets group by 1, 2, 3"""),
+    "basket_scan": sql(f"""select user_id, basket_no, (nth - 1) // 1000 piece, {text("list(item_id order by item_id)")} items
+        from (select *, row_number() over (partition by user_id, basket_no order by item_id) nth from gap_baskets) group by 1, 2, 3"""),
     "tag_scores_view": sql("select item_id, tag_id, relevance from scores"),
-    "bound_filter": sql("select * from scores where item_id <= (select max(p_partkey) from part where p_type = 'SMALL')"),
-    "bound_filter_corrected": sql("select * from scores where item_id in (select p_partkey from part where p_type = 'SMALL')"),
+    "bound_filter": sql("select * from scores where item_id <= (select max(p_partkey) from part)"),
+    "bound_filter_corrected": sql("select * from scores where item_id in (select p_partkey from part)"),
     "genre_onehot": "select p_partkey item_id, "
-    + ", ".join(f"cast(list_contains(string_split(p_type, '|'), '{t}') as integer) as \"{t}\"" for t in TYPES)
+    + ", ".join(f"cast(list_contains(string_split({GENRES}, '|'), '{t}') as integer) as \"{t}\"" for t in (*TYPES, *SIZES))
     + " from part",
     "category_codes": f"select c_custkey user_id, {SEGMENT_CODE} segment from customer",
     "minmax_users": f"""select c_custkey user_id, {SEGMENT_CODE} segment, {scaled("c_acctbal")} balance,
@@ -417,9 +493,39 @@ ORACLES: dict[str, str] = {
               <= round_even((select count(*) from part) * 0.1, 0))
           and user_id in (select c_custkey from customer qualify row_number() over (order by md5(c_custkey || 'users'), c_custkey)
               <= round_even((select count(*) from customer) * 0.2, 0))"""),
-    "sample_tag_scores": "select vec_id item_id, len(embedding) n_tags from embeddings where vec_id in (select p_partkey from part)",
-    "items_with_vectors": """select p_partkey item_id, p_type genres, len(embedding) n_tags, round(embedding[1]::double, 6) first_tag
-        from part left join embeddings on vec_id = p_partkey""",
+    "sample_tag_scores": sql("select item_id, tag_id, relevance from scores where item_id in (select p_partkey from part)"),
+    "items_with_vectors": sql("""select p_partkey item_id, p_type genres, tag_id, relevance as "value"
+        from part left join scores on scores.item_id = p_partkey"""),
+    "time_matrix_new": sql("select item_id, user_id, ts from event_new"),
+    "users_scan": f"""select c_custkey user_id, case when c_acctbal < 0 then 'F' else 'M' end gender, c_nationkey::integer age,
+        ({SEGMENT_CODE})::integer occupation, c_mktsegment zip from customer""",
+    "items_scan": f"select p_partkey item_id, p_name title, {GENRES} genres from part",
+    "tags_scan": sql("select distinct tag_id, 'tag, ' || tag_id tag from scores"),
+    "impute_features_corrected": sql(f"""select item_id, tag_id, {rounded('x')} as "value" from nested_cells
+        union all select k.item_id, m.tag_id, {rounded('coalesce(g.x, t.x, m.x)')} from nested_known k cross join nested_mean m
+        left join nested_group_mean g on g.grp = k.grp and g.tag_id = m.tag_id
+        left join nested_group_mean t on t.grp = string_split(k.grp, '/')[1] and t.tag_id = m.tag_id where k.tags is null"""),
+    "mean_shift_baskets": sql("select * from shift_baskets", recursive=True),
+    "item_cf_mean_shift": sql("select * from shift_cf_lists", recursive=True),
+    "eval_item_cf_mean_shift": sql(evaluation("shift_cf_lists", "order_new", "part", "p_partkey"), recursive=True),
+    "rules_mean_shift": sql(f"""select {text("antecedent")} antecedent, {text("consequent")} consequent,
+        round(support, 6) support, round(confidence, 6) confidence from shift_rules""", recursive=True),
+    "rule_recommend_mean_shift": sql("select * from shift_rules_lists", recursive=True),
+    "eval_rules_mean_shift": sql(evaluation("shift_rules_lists", "brand_new", "brand_ratings", "item_id", None), recursive=True),
+    "svd_moments": sql("""select 2 "power", round(sum(centred * centred), 3) total from event_centred
+        union all select 4, round(sum(v * v), 3) from (select sum(a.centred * b.centred) v from event_centred a
+          join event_centred b using (user_id) group by a.item_id, b.item_id)"""),
+    "svd_full_rank": sql(f"select user_id, item_id, {rounded('centred')} pred from event_centred"),
+    "als_recommend_reference": sql(top(f"""select user_id, item_id, score from ({_als_cells(2, "part")})
+        anti join event_old using (user_id, item_id) where score >= -1e-12""")),
+    "als_predictions": sql(f"select user_id, item_id, rating, {rounded('score')} pred from event_new join als_cells_2 using (user_id, item_id)"),
+    "w2v_reload": sql("select item_id, true same from gap_baskets group by 1 having count(*) >= 5"),
+    "embedding_recommend": sql("select * from tag_lists"),
+    "embedding_recommend_unseen": sql(top("select * from tag_scores anti join order_old using (user_id, item_id)")),
+    "embedding_status": sql("""select status, count(*) n_users from (
+        select case when c_custkey not in (select user_id from order_recent) then 1 when n is null then 2 when n < 10 then 3 else 0 end status
+        from customer left join (select user_id, count(*) n from tag_lists group by 1) on user_id = c_custkey) group by 1"""),
+    "eval_embedding": sql(evaluation("tag_lists", "order_new", "part", "p_partkey")),
     "user_cuts": sql("select user_id, round(cut, 3) cut from order_cut"),
     "split_old": sql("select user_id, item_id, rating, ts from order_old"),
     "split_new": sql("select user_id, item_id, rating, ts from order_new"),
@@ -452,9 +558,9 @@ ORACLES: dict[str, str] = {
     "als_losses": sql(" union all ".join(_loss(s) for s in (0, 1, 2))),
     "als_recommend": sql("select * from als_lists_2"),
     "als_recommend_dissimilar": sql(top("""select user_id, item_id, score from als_cells_2 c
-        anti join event_old using (user_id, item_id) where round(score, 9) >= 0 and not exists (
+        anti join event_old using (user_id, item_id) where score >= -1e-12 and not exists (
           select 1 from event_old o join als_cells_2 l on l.user_id = o.user_id and l.item_id = o.item_id
-          join close_items s on s.j = o.item_id where o.user_id = c.user_id and s.i = c.item_id and round(l.score, 9) >= 0)""")),
+          join close_items s on s.j = o.item_id where o.user_id = c.user_id and s.i = c.item_id and l.score >= -1e-12)""")),
     "als_curve": sql(curve()),
     "graph_transitions": sql("""select user_id, item_id, round(1 / du, 6) p_item, round(1 / ds, 6) p_user
         from edges join user_deg using (user_id) join item_deg using (item_id)"""),
@@ -466,6 +572,6 @@ ORACLES: dict[str, str] = {
     "eval_random": sql(evaluation("random_lists", "order_new", "part", "p_partkey"), recursive=True),
     "eval_item_cf": sql(evaluation("cf_lists", "order_new", "part", "p_partkey")),
     "eval_rules": sql(evaluation("rules_lists", "brand_new", "brand_ratings", "item_id", None)),
-    "eval_als": sql(evaluation("als_lists_2", "event_new", "event_items", "item_id", extra=", (select rmse from als_rmse_2) rmse")),
-    "eval_walk": sql(evaluation("walk_top", "event_new", "event_items", "item_id")),
+    "eval_als": sql(evaluation("als_lists_2", "event_new", "event_items", "item_id", extra=", (select rmse from als_rmse_2) rmse", vectors="topic_vec")),
+    "eval_walk": sql(evaluation("walk_top", "event_new", "event_items", "item_id", vectors="topic_vec")),
 }

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.functions import encode
-from tastemill.operators import baskets, cooccur, cosine, features, mean_shift, sampling, split
+from tastemill.functions.vectors import unit
+from tastemill.operators import baskets, cooccur, cosine, features, sampling, split
 from tastemill.plans import als, embed, evaluate as ev, factors, item_cf, lottery, popular, rules, svd, walk
 from tastemill.plans.workspace import Workspace, workspace
 from tastemill.session import stage, staging_root
@@ -20,14 +21,20 @@ QUERIES: dict[str, Query] = {}
 BASKET = ["user_id", "basket_no"]
 SAMPLE_ITEMS, SAMPLE_USERS = 0.1, 0.2
 RULE_SUPPORT, RULE_CONFIDENCE = 0.003, 0.005
+SHIFT_SUPPORT, SHIFT_CONFIDENCE = 0.02, 0.05
 WALK_TOLERANCE = 1e-12
 
 
 def query(build: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: build(workspace(spark, folder))
+    QUERIES[build.__name__] = lambda spark, folder: shown(build(workspace(spark, folder)))
     return build
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Lists with their scores rounded; they are ranked on the scores as they are."""
+    return rounded(df, *({"score", "sim"} & set(df.columns))) if "rank" in df.columns else df
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
@@ -71,7 +78,7 @@ def matrix_scan(w):
     """The item x user matrix of the event ratings, exported wide and read back long."""
     path = scratch(w, "matrix")
     sinks.write_matrix(w.events.ratings, path, "item_id", "user_id", "rating")
-    return files.read_matrix(w.spark, path, "item_id", "user_id", "rating")
+    return files.read_matrix_blocks(w.spark, path, "item_id", "user_id", "rating")
 
 
 @query
@@ -79,7 +86,57 @@ def time_matrix(w):
     """Times of the earlier part, exported wide and read back long."""
     path = scratch(w, "times")
     sinks.write_matrix(w.events.old, path, "item_id", "user_id", "ts")
-    return files.read_matrix(w.spark, path, "item_id", "user_id", "ts", "long")
+    return files.read_matrix_blocks(w.spark, path, "item_id", "user_id", "ts", "long")
+
+
+@query
+def time_matrix_new(w):
+    """Times of the later part, in blocks of 64 columns."""
+    path = scratch(w, "times")
+    sinks.write_matrix(w.events.new, path, "item_id", "user_id", "ts", block=64)
+    return files.read_matrix_blocks(w.spark, path, "item_id", "user_id", "ts", "long")
+
+
+@query
+def users_scan(w):
+    """Customers in the users layout, written and read as '::'-separated text."""
+    path = scratch(w, "users")
+    rows = w.table("customer").select(
+        F.col("c_custkey").alias("user_id"),
+        F.when(F.col("c_acctbal") < 0, "F").otherwise("M").alias("gender"),
+        F.col("c_nationkey").cast("int").alias("age"),
+        encode.category_code(F.col("c_mktsegment"), tables.SEGMENTS).cast("int").alias("occupation"),
+        F.col("c_mktsegment").alias("zip"),
+    )
+    sinks.write_dat(rows, path)
+    return files.read_users(w.spark, path)
+
+
+@query
+def items_scan(w):
+    """Parts in the items layout with several genres each, written and read as text."""
+    path = scratch(w, "items")
+    sinks.write_dat(w.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), _genres().alias("genres")), path)
+    return files.read_items(w.spark, path)
+
+
+@query
+def tags_scan(w):
+    """Tag names with a comma, written as CSV, copied and read back renamed."""
+    path = scratch(w, "tags")
+    tags = tag_scores_view(w).select("tag_id").distinct().select(F.col("tag_id").alias("tagId"), F.concat(F.lit("tag, "), F.col("tag_id")).alias("tag"))
+    sinks.write_table(tags, path, "csv")
+    sinks.copy_table(files.read_tags(w.spark, path).withColumnsRenamed({"tag_id": "tagId"}), path + "-copy", "csv")
+    return files.read_tags(w.spark, path + "-copy")
+
+
+SIZES = ("TINY", "LITTLE", "MIDDLE", "BIG", "HUGE")
+
+
+def _genres():
+    """Two genres of a part in one string: its type and its class of size."""
+    place = F.least(F.floor((F.col("p_size") - 1) / 10), F.lit(4)).cast("int")
+    return F.concat_ws("|", "p_type", F.element_at(F.array(*map(F.lit, SIZES)), place + 1))
 
 
 @query
@@ -106,18 +163,19 @@ def tag_scores_view(w):
 
 @query
 def bound_filter(w):
-    """Tag scores up to the largest small part, parts of other types included."""
-    return sampling.up_to_last_item(tag_scores_view(w), w.items.where(F.col("genres") == "SMALL"))
+    """Tag scores up to the last part."""
+    return sampling.up_to_last_item(tag_scores_view(w), w.items)
 
 
 @query
 def bound_filter_corrected(w):
-    return sampling.up_to_last_item(tag_scores_view(w), w.items.where(F.col("genres") == "SMALL"), "corrected")
+    return sampling.up_to_last_item(tag_scores_view(w), w.items, "corrected")
 
 
 @query
 def genre_onehot(w):
-    return w.items.select("item_id", *encode.multi_hot(F.col("genres"), tables.PART_TYPES))
+    parts = w.table("part").select(F.col("p_partkey").alias("item_id"), _genres().alias("genres"))
+    return parts.select("item_id", *encode.multi_hot(F.col("genres"), (*tables.PART_TYPES, *SIZES)))
 
 
 @query
@@ -184,15 +242,15 @@ def sample_ratings(w):
 
 @query
 def sample_tag_scores(w):
-    """Tag vectors of known items; the whole catalogue counts here, not the sample."""
-    vectors = tables.tag_vectors(w.spark, w.folder)
-    return vectors.join(w.items, "item_id", "left_semi").select("item_id", F.size("tags").cast("long").alias("n_tags"))
+    """Tag scores of known items; the whole catalogue counts here, not the sample."""
+    return tag_scores_view(w).join(w.items, "item_id", "left_semi")
 
 
 @query
 def items_with_vectors(w):
     joined = w.items.join(tables.tag_vectors(w.spark, w.folder), "item_id", "left")
-    return joined.select("item_id", "genres", F.size("tags").cast("long").alias("n_tags"), F.round(F.col("tags")[0], 6).alias("first_tag"))
+    cells = joined.select("item_id", "genres", F.posexplode_outer("tags").alias("tag_id", "value"))
+    return rounded(cells.withColumn("tag_id", F.col("tag_id").cast("long")), "value")
 
 
 def _tag_cells(imputed: DataFrame) -> DataFrame:
@@ -219,6 +277,20 @@ def impute_features_fine(w):
     return _tag_cells(features.impute(typed, tables.tag_vectors(w.spark, w.folder)))
 
 
+@query
+def impute_features_corrected(w):
+    """Genre sets of which some contain others: large parts have their size as a second genre."""
+    sizes = [str(s) for s in range(41, 51)]
+    typed = w.table("part").select(
+        F.col("p_partkey").alias("item_id"),
+        F.concat(
+            encode.multi_hot_array(F.col("p_type"), tables.PART_TYPES),
+            encode.multi_hot_array(F.col("p_size").cast("string"), sizes),
+        ).alias("genre_vec"),
+    )
+    return _tag_cells(features.impute(typed, tables.tag_vectors(w.spark, w.folder), "corrected"))
+
+
 # --- split --------------------------------------------------------------------------------
 
 
@@ -262,7 +334,7 @@ def gap_baskets(w):
 
 @query
 def mean_shift_baskets(w):
-    return mean_shift.mean_shift_baskets(w.orders.old, 25)
+    return w.shift_baskets
 
 
 @query
@@ -341,6 +413,22 @@ def rule_recommend_corrected(w):
     return rules.recommend_by_rules(w.brands.recent, found, semantics="corrected")
 
 
+def _shift_rules(w) -> DataFrame:
+    found = rules.frequent_itemsets(w.shift_brands, BASKET, SHIFT_SUPPORT)
+    return rules.association_rules(found, SHIFT_CONFIDENCE)
+
+
+@query
+def rules_mean_shift(w):
+    """Rules from the mean-shift baskets of the brand ratings."""
+    return _rules_out(_shift_rules(w))
+
+
+@query
+def rule_recommend_mean_shift(w):
+    return rules.recommend_by_rules(w.brands.recent, _shift_rules(w))
+
+
 # --- recommenders -------------------------------------------------------------------------
 
 
@@ -381,8 +469,7 @@ def item_cf_recommend_unrated(w):
 @query
 def item_cf_mean_shift(w):
     """Item CF on the mean-shift baskets."""
-    model = item_cf.ItemCF(w.orders.centred, stage(mean_shift_baskets(w), "shift-baskets"))
-    return item_cf.recommend_rated(model)
+    return item_cf.recommend_rated(item_cf.ItemCF(w.orders.centred, w.shift_baskets))
 
 
 def _svd(w, semantics="reference"):
@@ -399,6 +486,22 @@ def svd_energy(w):
     return rounded(out, "sigma", "energy")
 
 
+@query
+def svd_moments(w):
+    """Sums of the second and fourth powers of all singular values."""
+    sigma = svd.svd(w.events.centred, w.events.users, w.events.items, 1.1)[1]
+    rows = [(p, float((sigma**p).sum())) for p in (2, 4)]
+    return rounded(w.spark.createDataFrame(rows, "power int, total double"), "total", digits=3)
+
+
+@query
+def svd_full_rank(w):
+    """Predictions with all components, which are the centred ratings again."""
+    e = w.events
+    model, _ = svd.svd(e.centred, e.users, e.items, 1.1)
+    return rounded(factors.predict_cells(model, e.centred.select("user_id", "item_id")), "pred")
+
+
 @query
 def svd_recommend(w):
     model, _ = _svd(w)
@@ -434,17 +537,29 @@ def als_recommend(w):
     return factors.recommend_factors(_als(w), w.events.users, w.events.items, w.events.old)
 
 
+@query
+def als_recommend_reference(w):
+    """Only as many items as there are factors are ever updated."""
+    return factors.recommend_factors(_als(w, semantics="reference"), w.events.users, w.events.items, w.events.old)
+
+
+@query
+def als_predictions(w):
+    """Predicted (centred) values of the later ratings."""
+    return rounded(factors.predict_cells(_als(w), w.events.new.select("user_id", "item_id", "rating")), "pred")
+
+
 @query
 def als_recommend_wide(w):
-    """Ten factors from hashed start values until the steps run out."""
+    """Forty factors from hashed start values."""
     e = w.events
-    model = als.als_dense(e.centred, e.users, e.items, 10, 4)
+    model = als.als_dense(e.centred, e.users, e.items, 40, 6)
     return factors.recommend_factors(model, e.users, e.items, e.old)
 
 
 @query
 def als_recommend_dissimilar(w):
-    return factors.recommend_dissimilar(_als(w), w.events.users, w.events.items, w.events.old, w.item_vectors)
+    return factors.recommend_dissimilar(_als(w), w.events.users, w.events.items, w.events.old, w.topic_vectors)
 
 
 @query
@@ -461,7 +576,7 @@ def als_curve(w):
     for step, (users, items) in enumerate(model.history):
         state = factors.Factors(users, items, model.k)
         lists = factors.recommend_factors(state, e.users, e.items, e.old)
-        row = ev.evaluate(lists, e.new, e.items, w.item_vectors, extra=ev.rmse(state, e.new, e.means))
+        row = ev.evaluate(lists, e.new, e.items, w.topic_vectors, extra=ev.rmse(state, e.new, e.means))
         row = row.select(F.lit(step).alias("step"), "rmse", "coverage", "diversity")
         out = row if out is None else out.unionByName(row)
     return out
@@ -512,6 +627,38 @@ def w2v_status(w):
     return embed.status_counts(embed.list_status(w.users, w.orders.recent, _embedding_lists(w)))
 
 
+@query
+def w2v_reload(w):
+    """Every trained item once, and whether the stored model gives the same vector."""
+    model = embed.train(w.gap_baskets, BASKET, EMBED_SIZE, EMBED_MIN_COUNT, epochs=2)
+    path = scratch(w, "model")
+    embed.save(model, path)
+    again = embed.item_vectors(embed.load(path)).withColumnRenamed("vec", "_again")
+    both = embed.item_vectors(model).join(again, "item_id", "full")
+    return both.select("item_id", F.col("vec").eqNullSafe(F.col("_again")).alias("same"))
+
+
+def _tag_directions(w) -> DataFrame:
+    vectors = tables.tag_vectors(w.spark, w.folder).join(w.items, "item_id", "left_semi")
+    return vectors.select("item_id", unit(F.col("tags")).alias("vec"))
+
+
+@query
+def embedding_recommend(w):
+    """Lists from the mean of the recent items, on given vectors instead of trained ones."""
+    return embed.recommend_embedding(w.orders.recent, _tag_directions(w), tables.VECTOR_SIZE)
+
+
+@query
+def embedding_recommend_unseen(w):
+    return embed.recommend_embedding(w.orders.recent, _tag_directions(w), tables.VECTOR_SIZE, seen=w.orders.old)
+
+
+@query
+def embedding_status(w):
+    return embed.status_counts(embed.list_status(w.users, w.orders.recent, embedding_recommend(w)))
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 
@@ -547,24 +694,39 @@ def eval_rules(w):
     return ev.evaluate(rule_recommend(w), w.brands.new, brands)
 
 
+@query
+def eval_rules_mean_shift(w):
+    return ev.evaluate(rule_recommend_mean_shift(w), w.brands.new, w.brands.items)
+
+
+@query
+def eval_embedding(w):
+    return ev.evaluate(embedding_recommend(w), w.orders.new, w.items, w.item_vectors)
+
+
+@query
+def eval_item_cf_mean_shift(w):
+    return ev.evaluate(item_cf_mean_shift(w), w.orders.new, w.items, w.item_vectors)
+
+
 @query
 def eval_svd(w):
     e = w.events
     model, _ = _svd(w)
     lists = factors.recommend_factors(model, e.users, e.items, e.old)
-    return ev.evaluate(lists, e.new, e.items, w.item_vectors, extra=ev.rmse(model, e.new, e.means))
+    return ev.evaluate(lists, e.new, e.items, w.topic_vectors, extra=ev.rmse(model, e.new, e.means))
 
 
 @query
 def eval_als(w):
     e, model = w.events, _als(w)
     lists = factors.recommend_factors(model, e.users, e.items, e.old)
-    return ev.evaluate(lists, e.new, e.items, w.item_vectors, extra=ev.rmse(model, e.new, e.means))
+    return ev.evaluate(lists, e.new, e.items, w.topic_vectors, extra=ev.rmse(model, e.new, e.means))
 
 
 @query
 def eval_walk(w):
-    return ev.evaluate(walk_recommend(w), w.events.new, w.events.items, w.item_vectors)
+    return ev.evaluate(walk_recommend(w), w.events.new, w.events.items, w.topic_vectors)
 
 
 @query

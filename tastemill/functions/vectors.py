@@ -35,12 +35,33 @@ def sum_vectors(vec: str, k: int, scale: str = "1.0D") -> Column:
     return F.expr("array(" + ", ".join(f"sum({scale} * {vec}[{i}])" for i in range(k)) + ")")
 
 
+# Elements that one aggregation sums; wider vectors are summed in chunks of this length.
+CHUNK = 32
+
+
+def sums_by(rows: DataFrame, keys: list[str], vec: str, k: int, scale: str = "1.0D") -> DataFrame:
+    """(keys, vec): element-wise sum of ``scale * vec`` per group.
+
+    A wide vector is cut into chunks that are summed by (keys, chunk), which keeps the
+    generated code of the aggregation small.
+    """
+    if k <= 2 * CHUNK:
+        return rows.groupBy(*keys).agg(sum_vectors(vec, k, scale).alias("vec"))
+    count = -(-k // CHUNK)
+    padded = F.concat(F.col(vec), zeros(count * CHUNK - k))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda c: F.struct(c.alias("_c"), F.slice(padded, c * CHUNK + 1, CHUNK).alias("_part")))
+    parts = rows.select(*keys, F.expr(scale).alias("_scale"), F.inline(cut)).groupBy(*keys, "_c")
+    parts = parts.agg(sum_vectors("_part", CHUNK, "_scale").alias("_part"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_part"))), lambda p: p["_part"]))
+    return parts.groupBy(*keys).agg(F.slice(whole, 1, k).alias("vec"))
+
+
 def stack(vectors: pd.Series, k: int) -> np.ndarray:
     return np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, k))
 
 
 def times_matrix(df: DataFrame, vec: str, matrix: np.ndarray) -> DataFrame:
-    """Multiply each row vector by a k x k matrix."""
+    """Multiply each row vector (length k) by a matrix with k rows."""
     k = matrix.shape[0]
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tastemill.operators.skew import lookup
 from tastemill.schema import SECONDS_PER_DAY
 
+# Item ids of a long basket that are put in order together.
+CELL_ITEMS = 65_536
+
 
 def gap_baskets(ratings: DataFrame, gap_days: float = 25.0) -> DataFrame:
     """A new basket starts where a user pauses for more than ``gap_days``.
@@ -46,16 +49,22 @@ def with_size(members: DataFrame, keys: list[str]) -> DataFrame:
     return lookup(members, sizes, keys, ["item_id"])
 
 
-def basket_lists(baskets: DataFrame, keys: list[str], length: int = 1000) -> DataFrame:
-    """(keys, piece, items): baskets as item lists in catalogue order, for export.
+def basket_lists(baskets: DataFrame, keys: list[str], length: int = 1000, overlap: int = 0) -> DataFrame:
+    """(keys, piece, items): baskets as item lists in catalogue order.
 
-    A basket of up to ``length`` items is one list, piece 0. A longer one is cut by ranges
-    of the item id into pieces of at most ``length`` items, so no row grows with a basket.
+    Piece p holds the places p * length to (p + 1) * length of the basket, and the
+    ``overlap`` places after them, so no list grows with a basket. The places of a long
+    basket come from counts per cell of item ids and the order inside a cell, so that it
+    is never sorted in one task.
     """
-    piece = F.when(F.col("basket_size") <= length, F.lit(0)).otherwise(F.floor(F.col("item_id") / length) + 1)
-    return (
-        baskets.withColumn("piece", piece.cast("long"))
-        .groupBy(*keys, "piece")
-        .agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    )
-
+    short = baskets.where(F.col("basket_size") <= length).select(*keys, "item_id", F.lit(0).cast("long").alias("piece"))
+    long = baskets.where(F.col("basket_size") > length).select(*keys, "item_id", F.floor(F.col("item_id") / CELL_ITEMS).alias("_cell"))
+    cells = long.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("item_id"))
+    placed = long.join(cells, [*keys, "_cell"]).withColumn("_place", F.col("_first") + inside - 1)
+    own = F.floor(F.col("_place") / length)
+    pieces = F.when((F.col("_place") % length < overlap) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    long = placed.select(*keys, "item_id", F.explode(pieces).alias("piece"))
+    return short.unionByName(long).groupBy(*keys, "piece").agg(F.array_sort(F.collect_list("item_id")).alias("items"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Largest slice of the catalogue that is broadcast at a time, and cells scored at a time.
-SLICE_BYTES = 64 * 2**20
+from tastemill.operators.rank import NOISE
+from tastemill.session import stage
+
+# Vectors of a block, and cells that are scored at a time.
+BLOCK_BYTES = 16 * 2**20
 SCORE_CELLS = 4_000_000
-NOISE_DIGITS = 9
-RANK_DIGITS = 6
+# Rows that make a block of their own worthwhile.
+LEAST_ROWS = 64
 
 
 def best_positions(scores: np.ndarray, want: int) -> np.ndarray:
@@ -37,59 +39,66 @@ def dense_candidates(
     n: int,
     k: int,
     floor: float | None = None,
-    slice_bytes: int = SLICE_BYTES,
+    seen: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(row, item, score): for each row at least its ``n + extra`` best catalogue items.
-
-    ``rows`` has (row, vec, extra), ``catalogue`` (item, vec). ``extra`` is the number of
-    items a caller will drop afterwards (those already seen), so the final top ``n`` is
-    exact and the output stays linear: rows x n plus the number of seen items. The
-    users x items score matrix only exists as small blocks inside a task.
+    """(row, item, score): for each row its ``n`` best items of each block of the catalogue.
 
-    The catalogue is hashed into slices of at most ``slice_bytes``; each slice is one
-    broadcast and one pass over the rows.
+    ``rows`` has (row, vec), ``catalogue`` (item, vec), ``seen`` (row, item) pairs that are
+    left out. Rows and items are hashed into blocks of at most ``block_bytes``; each pair of
+    blocks is one group and scored in one task as a small dense product, with the seen
+    items masked there. Nothing passes through the driver, and what leaves is at most
+    ``n`` rows per row and block.
     """
-    spark = rows.sparkSession
-    size = catalogue.count()
-    slices = max(1, ceil(size * (k + 1) * 8 / slice_bytes))
-    keyed = catalogue.select(item, "vec")
-    result = None
-    for number in range(slices):
-        part = keyed if slices == 1 else keyed.where(F.pmod(F.xxhash64(item), F.lit(slices)) == number)
-        local = part.toPandas().sort_values(item)
-        if local.empty:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (local[item].to_numpy(), np.stack(local["vec"].to_numpy()).astype(float))
-        )
-        scored = rows.select(row, "vec", "extra").mapInPandas(
-            _score(shared, row, item, n, floor), f"{row} long, {item} long, score double"
-        )
-        result = scored if result is None else result.unionByName(scored)
-    return result
+    rows, catalogue = stage(rows.select(row, "vec"), "score-rows"), stage(catalogue.select(item, "vec"), "score-items")
+    blocks = lambda count: max(1, ceil(count * (k + 1) * 8 / block_bytes))
+    lines = rows.count()
+    # more blocks than memory asks for keep all cores busy while rows are few
+    row_blocks = max(blocks(lines), min(rows.sparkSession.sparkContext.defaultParallelism, ceil(lines / LEAST_ROWS)))
+    item_blocks = blocks(catalogue.count())
+    place = lambda column, count: F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.withColumn("_r", place(row, max(1, row_blocks))).withColumn("_i", every(item_blocks))
+    if seen is None:
+        left = left.withColumn("_seen", F.lit(None).cast("array<long>"))
+    else:
+        masks = seen.select(row, item, place(item, item_blocks).alias("_i")).groupBy(row, "_i")
+        left = left.join(masks.agg(F.collect_set(item).alias("_seen")), [row, "_i"], "left")
+    right = catalogue.withColumn("_i", place(item, item_blocks)).withColumn("_r", every(max(1, row_blocks)))
+    both = left.groupBy("_r", "_i").cogroup(right.groupBy("_r", "_i"))
+    return both.applyInArrow(_score(row, item, n, k, floor), f"{row} long, {item} long, score double")
+
+
+def _matrix(table: pa.Table, k: int) -> np.ndarray:
+    return table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, k)
 
 
-def _score(shared, row: str, item: str, n: int, floor: float | None):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        step = max(1, SCORE_CELLS // len(ids))
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                raw = np.stack(part["vec"].to_numpy()) @ matrix.T
-                cells = np.round(raw, RANK_DIGITS)
+def _score(row: str, item: str, n: int, k: int, floor: float | None):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column(item).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        lines, found, values = [], [], []
+        if len(ids) and left.num_rows:
+            matrix, vectors = _matrix(right, k)[order], _matrix(left, k)
+            masks = left.column("_seen").to_pylist()
+            step = max(1, SCORE_CELLS // len(ids))
+            for start in range(0, len(vectors), step):
+                raw = vectors[start : start + step] @ matrix.T
+                cells = raw.astype(np.float32)
                 if floor is not None:
-                    cells[np.round(raw, NOISE_DIGITS) < floor] = -np.inf
-                picks = [best_positions(c, n + extra) for c, extra in zip(cells, part["extra"])]
-                sizes = [len(p) for p in picks]
-                flat = np.concatenate(picks).astype(np.int64)
-                line = np.repeat(np.arange(len(part)), sizes)
-                yield pd.DataFrame(
-                    {
-                        row: np.repeat(part[row].to_numpy(), sizes),
-                        item: ids[flat],
-                        "score": cells[line, flat] + 0.0,
-                    }
-                )
+                    cells[raw < floor - NOISE] = -np.inf
+                for at, (cell, mask) in enumerate(zip(cells, masks[start : start + step])):
+                    if mask:
+                        where = np.searchsorted(ids, mask)
+                        where = where[np.minimum(where, len(ids) - 1) == where]
+                        cell[where[np.isin(ids[where], mask)]] = -np.inf
+                    best = best_positions(cell, n)
+                    lines.append(np.full(len(best), start + at))
+                    found.append(best)
+                    values.append(raw[at, best])
+        lines, found = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (lines, found))
+        values = np.concatenate(values) if values else np.zeros(0)
+        return pa.table({row: left.column(row).to_numpy()[lines].astype(np.int64), item: ids[found].astype(np.int64), "score": values + 0.0})
 
     return score

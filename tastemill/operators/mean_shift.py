@@ -15,6 +15,8 @@ from tastemill.session import stage
 
 STOP_SHARE = 1e-3  # a seed rests when it moves less than this share of the bandwidth
 MAX_STEPS = 300
+# Distances to two centres that differ by less (seconds) are equal; the stronger centre wins.
+TIE = 1e-3
 # Users with more ratings than this are clustered slab by slab.
 MAX_USER_ROWS = 500_000
 
@@ -74,7 +76,7 @@ def nearest_centre(times: np.ndarray, kept: np.ndarray) -> np.ndarray:
     right = np.clip(np.searchsorted(ascending, times), 0, len(kept) - 1)
     left = np.maximum(right - 1, 0)
     to_left, to_right = np.abs(times - ascending[left]), np.abs(times - ascending[right])
-    closer = (to_left < to_right) | ((to_left == to_right) & (order[left] < order[right]))
+    closer = (to_left < to_right - TIE) | ((np.abs(to_left - to_right) <= TIE) & (order[left] < order[right]))
     return np.where(closer, order[left], order[right])
 
 
@@ -147,12 +149,12 @@ def mean_shift_labels(
     bandwidth = bandwidth_days * SECONDS_PER_DAY
     rows = ratings.select("user_id", "item_id", "ts")
     hot = hot_keys(rows, "user_id", max_user_rows)
-    light = rows if hot is None else rows.join(F.broadcast(hot.select("user_id")), "user_id", "left_anti")
+    light = rows if hot is None else rows.join(_small(hot.select("user_id")), "user_id", "left_anti")
     ordered = light.repartition("user_id").sortWithinPartitions("user_id", "ts")
     labels = ordered.mapInPandas(_cluster_batches(bandwidth), LABELS)
     if hot is None:
         return labels
-    heavy = rows.join(F.broadcast(hot.select("user_id")), "user_id", "left_semi")
+    heavy = rows.join(_small(hot.select("user_id")), "user_id", "left_semi")
     return labels.unionByName(_slab_labels(heavy, bandwidth))
 
 
@@ -171,16 +173,24 @@ SLAB_HALO = 2
 SLAB_ROWS = "user_id long, slab long, t double, w long, steps int, done boolean"
 
 
+# Most lists of centres that are broadcast; more of them are joined by user.
+MOST_LISTS = 20_000
+
+
+def _small(lists: DataFrame) -> DataFrame:
+    return F.broadcast(lists) if lists.limit(MOST_LISTS + 1).count() <= MOST_LISTS else lists
+
+
 def _slab_labels(rows: DataFrame, bandwidth: float) -> DataFrame:
-    centres = _kept_centres(_slab_centres(rows, bandwidth), bandwidth)
+    centres = stage(_kept_centres(_slab_centres(rows, bandwidth), bandwidth), "shift-kept")
     # Kept centres are more than a bandwidth apart: at most time span / bandwidth per user.
     order = F.array_sort(
         F.collect_list(F.struct((-F.col("w")).alias("w"), (-F.col("t")).alias("t"))),
     )
     lists = centres.groupBy("user_id").agg(F.transform(order, lambda c: -c["t"]).alias("_kept"))
-    distance = F.transform("_kept", lambda c: F.abs(c - F.col("ts")))
+    distance = F.transform("_kept", lambda c: F.round(F.abs(c - F.col("ts")), 3))
     return (
-        rows.join(F.broadcast(lists), "user_id")
+        rows.join(_small(lists), "user_id")
         .withColumn("basket_no", F.array_position(distance, F.array_min(distance)))
         .select("user_id", "item_id", "basket_no", F.element_at("_kept", F.col("basket_no").cast("int")).alias("centre"))
     )
@@ -273,7 +283,7 @@ def _kept_centres(centres: DataFrame, bandwidth: float) -> DataFrame:
         kept = winners if kept is None else kept.unionByName(winners)
         lists = kept.groupBy("user_id").agg(F.collect_list("t").alias("_kept"))
         open_ = (
-            centres.join(F.broadcast(lists), "user_id", "left")
+            centres.join(_small(lists), "user_id", "left")
             .where(~F.coalesce(F.exists("_kept", lambda k: F.abs(k - F.col("t")) <= bandwidth), F.lit(False)))
             .drop("_kept")
         )

@@ -34,8 +34,8 @@ def hot_keys(rows: DataFrame, key: str | list[str], split_rows: int | None = Non
     if rows.count() <= split_rows:
         return None
     hot = sizes_of(rows, key).where(F.col("n") > split_rows)
-    hot = hot.select(*as_list(key), F.ceil(F.col("n") / split_rows).cast("int").alias("_parts"))
-    return None if hot.isEmpty() else stage(hot, "hot-keys")
+    hot = stage(hot.select(*as_list(key), F.ceil(F.col("n") / split_rows).cast("int").alias("_parts")), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def salt_rows(

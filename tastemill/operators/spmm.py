@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tastemill.functions.vectors import sum_vectors
+from tastemill.functions.vectors import sums_by
 from tastemill.operators.skew import hot_keys, replicate, salt_rows
 from tastemill.session import stage
 
@@ -33,12 +33,7 @@ class SparseMatrix:
         if self.hot[key] is not None:
             on.append(f"_salt_{key}")
             vectors = replicate(vectors, self.hot[key], key, on[1])
-        return (
-            self.cells.select(out, *on, "_value")
-            .join(vectors, on)
-            .groupBy(*extra, out)
-            .agg(sum_vectors("vec", k, "_value").alias("vec"))
-        )
+        return sums_by(self.cells.select(out, *on, "_value").join(vectors, on), [*extra, out], "vec", k, "_value")
 
     def times(self, block: DataFrame, k: int, extra: list[str] | None = None) -> DataFrame:
         """(row, vec) = matrix x (col, vec)."""

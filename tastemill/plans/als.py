@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tastemill.functions.encode import hex_number
 from tastemill.functions.vectors import dot, gram, times_matrix
+from tastemill.operators.index import dense_index
+from tastemill.operators.skew import lookup
 from tastemill.operators.spmm import SparseMatrix
 from tastemill.plans.factors import Factors
 from tastemill.session import stage, unstage
@@ -100,21 +102,28 @@ def als_dense(
 
 
 def als_masked(ratings: DataFrame, k: int, steps: int = 10, penalty: float = 0.1, value: str = "centred", seed: int = 7) -> Factors:
-    """Spark's own ALS, which leaves missing ratings out instead of reading them as 0."""
+    """Spark's own ALS, which leaves missing ratings out instead of reading them as 0.
+
+    It takes 32-bit ids, so both sides are numbered from 0 and named again afterwards.
+    """
+    places = {key: stage(dense_index(ratings, key, name=f"{key}_at"), "als-places") for key in ("user_id", "item_id")}
+    rows = ratings.select("user_id", "item_id", F.col(value).cast("float").alias(value))
+    for key, other in (("user_id", "item_id"), ("item_id", "user_id_at")):
+        rows = lookup(stage(rows, "als-rows"), places[key], key, [other]).drop(key)
     trainer = ALS(
         rank=k,
         maxIter=steps,
         regParam=penalty,
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user_id_at",
+        itemCol="item_id_at",
         ratingCol=value,
         seed=seed,
         checkpointInterval=-1,
     )
-    model = trainer.fit(ratings.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col(value).cast("float")))
-    plain = F.col("features").cast("array<double>").alias("vec")
-    return Factors(
-        model.userFactors.select(F.col("id").cast("long").alias("user_id"), plain),
-        model.itemFactors.select(F.col("id").cast("long").alias("item_id"), plain),
-        k,
-    )
+    model = trainer.fit(rows.select(F.col("user_id_at").cast("int"), F.col("item_id_at").cast("int"), value))
+
+    def named(side: DataFrame, key: str) -> DataFrame:
+        plain = side.select(F.col("id").cast("long").alias(f"{key}_at"), F.col("features").cast("array<double>").alias("vec"))
+        return plain.join(places[key], f"{key}_at").select(key, "vec")
+
+    return Factors(named(model.userFactors, "user_id"), named(model.itemFactors, "item_id"), k)

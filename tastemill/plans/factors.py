@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from tastemill.functions.vectors import dot, zeros
 from tastemill.operators.cosine import pair_cosine
 from tastemill.operators.dense_top import dense_candidates
-from tastemill.operators.rank import top_n, unseen
-from tastemill.operators.skew import lookup, sizes_of
+from tastemill.operators.rank import settled, top_n
+from tastemill.operators.skew import lookup
 from tastemill.session import stage
 
 
@@ -51,16 +51,8 @@ def recommend_factors(
     floor: float | None = 0.0,
 ) -> DataFrame:
     """Best unseen items per user with a predicted value of at least ``floor``."""
-    k = max(model.k, 1)
-    rows = complete(model.users, users, "user_id", model.k)
-    if seen is None:
-        rows = rows.withColumn("extra", F.lit(0))
-    else:
-        rows = rows.join(sizes_of(seen, "user_id"), "user_id", "left").select(
-            "user_id", "vec", F.coalesce(F.col("n"), F.lit(0)).cast("int").alias("extra")
-        )
-    found = dense_candidates(rows, complete(model.items, items, "item_id", model.k), "user_id", "item_id", n, k, floor)
-    return top_n(found if seen is None else unseen(found, seen), n)
+    rows, catalogue = complete(model.users, users, "user_id", model.k), complete(model.items, items, "item_id", model.k)
+    return top_n(dense_candidates(rows, catalogue, "user_id", "item_id", n, max(model.k, 1), floor, seen), n)
 
 
 def recommend_dissimilar(
@@ -78,7 +70,7 @@ def recommend_dissimilar(
     are checked in rounds of growing length, so only users whose best candidates were
     dropped are looked at again.
     """
-    liked = predict_cells(model, seen.select("user_id", "item_id")).where(F.round("pred", 9) >= 0)
+    liked = predict_cells(model, seen.select("user_id", "item_id")).where(settled(F.col("pred")) >= 0)
     liked = stage(liked.select("user_id", F.col("item_id").alias("j")), "liked")
     total, width = items.select("item_id").distinct().count(), 4 * n
     left, found = users.select("user_id").distinct(), None

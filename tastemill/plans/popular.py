@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tastemill.operators.rank import SCORE_DIGITS, first_free, top_n
+from tastemill.operators.rank import first_free, top_n
 
 
 def hot_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, score): sum of ratings; items never rated score 0."""
     sums = ratings.groupBy("item_id").agg(F.sum("rating").alias("score"))
-    return items.select("item_id").join(sums, "item_id", "left").select(
-        "item_id", F.round(F.coalesce("score", F.lit(0.0)), SCORE_DIGITS).alias("score")
-    )
+    return items.select("item_id").join(sums, "item_id", "left").select("item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def recommend_hot(hot: DataFrame, users: DataFrame, n: int = 10, seen: DataFrame | None = None) -> DataFrame:

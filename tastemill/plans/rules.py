@@ -47,28 +47,34 @@ def frequent_itemsets(baskets: DataFrame, keys: list[str], min_support: float =
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.2, semantics: str = "reference") -> DataFrame:
     """(antecedent, consequent, support, confidence).
 
-    Every split of a frequent itemset into two non-empty sides is a candidate;
-    ``corrected`` keeps to single-item consequents, which give the same best confidence
-    per item.
+    Every split of a frequent itemset into two non-empty sides is a candidate. They are
+    grown level by level: a larger consequent can only lower the confidence, so only rules
+    that pass get another item moved over. ``corrected`` keeps to single-item consequents,
+    which give the same best confidence per item.
     """
     sets = itemsets.select("items", "freq", "support")
-    many = sets.where(F.size("items") > 1)
-    if semantics == "corrected":
-        sides = many.withColumn("_one", F.explode("items")).withColumn("antecedent", F.array_remove("items", F.col("_one")))
-        sides = sides.withColumn("consequent", F.array("_one"))
-    else:
-        masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)
-        inside = lambda want: F.filter("items", lambda x, i: F.getbit(F.col("_mask"), i) == want)
-        sides = many.withColumn("_mask", F.explode(masks)).select(
-            "*", inside(1).alias("antecedent"), inside(0).alias("consequent")
-        )
-    base = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_base"))
-    return (
-        sides.join(base, "antecedent")
-        .withColumn("confidence", F.col("freq") / F.col("_base"))
-        .where(F.col("confidence") >= min_confidence)
-        .select("antecedent", "consequent", "support", "confidence")
+    base = stage(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_base")), "rule-bases")
+
+    def confident(sides: DataFrame) -> DataFrame:
+        rated = sides.join(base, "antecedent").withColumn("confidence", F.col("freq") / F.col("_base"))
+        return stage(rated.where(F.col("confidence") >= min_confidence).drop("_base"), "rules")
+
+    one = sets.where(F.size("items") > 1).withColumn("_one", F.explode("items"))
+    level = confident(
+        one.withColumn("antecedent", F.array_remove("items", F.col("_one"))).withColumn("consequent", F.array("_one")).drop("items", "_one")
     )
+    found = level
+    while semantics != "corrected":
+        wider = level.withColumn("_one", F.explode("antecedent")).where((F.col("_one") > F.array_max("consequent")) & (F.size("antecedent") > 1))
+        level = confident(
+            wider.withColumn("antecedent", F.array_remove("antecedent", F.col("_one")))
+            .withColumn("consequent", F.array_append("consequent", F.col("_one")))
+            .drop("_one", "confidence")
+        )
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.select("antecedent", "consequent", "support", "confidence")
 
 
 def recommend_by_rules(
@@ -89,11 +95,8 @@ def recommend_by_rules(
         .groupBy("antecedent", "item_id")
         .agg(best("confidence").alias("confidence"))
     )
-    leads = F.collect_list(F.struct("item_id", "confidence"))
-    sets = stage(
-        per_item.groupBy("antecedent").agg(leads.alias("leads")).withColumn("set_id", F.monotonically_increasing_id()),
-        "rule-sets",
-    )
+    per_item = stage(per_item, "rule-leads")
+    sets = stage(per_item.select("antecedent").distinct().withColumn("set_id", F.monotonically_increasing_id()), "rule-sets")
     need = sets.select("set_id", F.size("antecedent").alias("_need"), F.explode("antecedent").alias("item_id"))
     recent = stage(recent.select("user_id", "item_id").distinct(), "recent")
     met = (
@@ -105,8 +108,8 @@ def recommend_by_rules(
     )
     met = stage(met, "met-sets")
     scored = (
-        lookup(met, sets.select("set_id", F.explode("leads").alias("_to")), "set_id", ["user_id"])
-        .groupBy("user_id", F.col("_to.item_id").alias("item_id"))
-        .agg(best("_to.confidence").alias("score"))
+        lookup(met, per_item.join(sets, "antecedent").drop("antecedent"), "set_id", ["user_id"])
+        .groupBy("user_id", "item_id")
+        .agg(best("confidence").alias("score"))
     )
     return top_n(scored if seen is None else unseen(scored, seen), n)

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from tastemill.functions.vectors import gram, times_matrix
 from tastemill.operators.index import dense_index
-from tastemill.operators.skew import lookup
 from tastemill.operators.spmm import SparseMatrix
+from tastemill.plans.als import hashed_start
 from tastemill.plans.factors import Factors
-from tastemill.session import stage
+from tastemill.session import stage, unstage
 
-# computeSVD keeps (columns x k) numbers on the driver; the smaller catalogue is the
-# column side and this is the most it may hold.
-DRIVER_CELLS = 200_000_000
+# Components that are computed at first; twice as many if they do not reach the energy.
 FIRST_K = 64
+# Up to this many columns the basis is the identity and one product gives all components.
+WHOLE_COLUMNS = 256
+# Rounds of the iteration, and the relative change of the singular values that ends it.
+ROUNDS, REST = 200, 1e-10
 
 
 def keep_count(sigma: np.ndarray, total: float, energy_ratio: float, semantics: str = "reference") -> int | None:
@@ -32,29 +31,6 @@ def keep_count(sigma: np.ndarray, total: float, energy_ratio: float, semantics:
     return int(reached[0]) + (1 if semantics == "corrected" else 0)
 
 
-def _row_matrix(cells: DataFrame, columns: int) -> IndexedRowMatrix:
-    """Sparse rows from (r, c, value) cells. A row holds at most ``columns`` entries.
-
-    The rows are written as the plain layout of a vector and read back as vectors, so
-    they never pass through Python.
-    """
-    entries = F.array_sort(F.collect_list(F.struct("c", "value")))
-    plain = cells.groupBy("r").agg(entries.alias("_e")).select(
-        F.col("r").alias("index"),
-        F.struct(
-            F.lit(0).cast("byte").alias("type"),
-            F.lit(columns).cast("int").alias("size"),
-            F.transform("_e", lambda e: e["c"].cast("int")).alias("indices"),
-            F.transform("_e", lambda e: e["value"]).alias("values"),
-        ).alias("vector"),
-    )
-    staged = stage(plain, "svd-rows")
-    layout = T.StructType([T.StructField("index", T.LongType()), T.StructField("vector", VectorUDT())])
-    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
-    rows = staged.sparkSession.read.schema(layout).parquet(folder)
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector"))
-
-
 def svd(
     ratings: DataFrame,
     users: DataFrame,
@@ -62,49 +38,83 @@ def svd(
     energy_ratio: float = 0.8,
     value: str = "centred",
     semantics: str = "reference",
+    first_k: int = FIRST_K,
+    whole_columns: int = WHOLE_COLUMNS,
 ) -> tuple[Factors, np.ndarray]:
     """Factors of the rank-k approximation, and the singular values that were computed.
 
     The total energy is the sum of the squared ratings, so only as many components as
-    are needed are computed: their number doubles until the energy is reached.
+    are needed are computed: their number doubles until the energy is reached (a ratio
+    above 1 keeps all). The components come from block subspace iteration over the
+    smaller catalogue: vectors stay in tables, the driver sees m x m matrices only.
     """
     n_users, n_items = users.select("user_id").distinct().count(), items.select("item_id").distinct().count()
     by_item = n_items <= n_users
     col, row, columns = ("item_id", "user_id", n_items) if by_item else ("user_id", "item_id", n_users)
-    col_index = stage(dense_index(items if by_item else users, col, name="c"), "svd-columns")
-    row_index = dense_index(users if by_item else items, row, name="r")
-    cells = ratings.select(row, col, F.col(value).alias("value"))
-    cells = stage(lookup(cells, col_index, col, [row]), "svd-cells")
-    cells = lookup(cells, row_index, row, [col]).select("r", "c", "value")
     total = ratings.agg(F.sum(F.col(value) * F.col(value))).first()[0] or 0.0
     if total == 0:
-        return Factors(users.select("user_id", F.array().cast("array<double>").alias("vec")),
-                       items.select("item_id", F.array().cast("array<double>").alias("vec")), 0), np.zeros(0)
-    matrix, wanted = None, min(columns, FIRST_K)
+        nothing = F.array().cast("array<double>").alias("vec")
+        return Factors(users.select("user_id", nothing), items.select("item_id", nothing), 0), np.zeros(0)
+    matrix = SparseMatrix(ratings, row, col, value)
+    ids = stage(dense_index(items if by_item else users, col), "svd-columns")
+    m = columns if columns <= whole_columns else min(columns, first_k)
+    basis = stage(_start(ids, col, m, columns), "svd-basis")
     while True:
-        if wanted * columns > DRIVER_CELLS:
-            raise ValueError(f"{wanted} components of {columns} columns exceed the driver bound")
-        matrix = matrix or _row_matrix(cells, columns)
-        found = matrix.computeSVD(wanted, computeU=False)
-        sigma = np.asarray(found.s.toArray())
+        basis, sigma, turn = _subspace(matrix, basis, row, col, m, m == columns)
         keep = keep_count(sigma, total, energy_ratio, semantics)
-        if keep is not None or wanted == columns or len(sigma) < wanted:
+        if keep is not None or m == columns:
             break
-        wanted = min(columns, 2 * wanted)
+        wider = min(columns, 2 * m)
+        more = hashed_start("svd")(col, wider - m)
+        basis, m = stage(basis.select(col, F.concat("vec", F.transform(more, lambda x: x - 0.5)).alias("vec")), "svd-basis"), wider
     k = len(sigma) if keep is None else keep
-    basis = found.V.toArray()[:, :k]
-    spark = ratings.sparkSession
-    local = pd.DataFrame({"c": np.arange(columns), "vec": [v.tolist() for v in basis]})
-    layout = T.StructType([T.StructField("c", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    col_factors = stage(spark.createDataFrame(local, layout).join(col_index, "c").select(col, "vec"), "svd-basis")
+    col_factors = stage(times_matrix(basis, "vec", turn[:, :k]), "svd-basis")
     if k == 0:
         row_factors = ratings.select(row).distinct().withColumn("vec", F.array().cast("array<double>"))
     else:
-        sparse = SparseMatrix(ratings, row, col, value)
-        row_factors = stage(sparse.times(col_factors, k), "svd-rows")
+        row_factors = stage(matrix.times(col_factors, k), "svd-rows")
     pair = (row_factors, col_factors) if by_item else (col_factors, row_factors)
     return Factors(pair[0], pair[1], k), sigma
 
 
+def _start(ids: DataFrame, col: str, m: int, columns: int) -> DataFrame:
+    """The identity if it is small enough, else hashed numbers around 0."""
+    if m == columns:
+        vec = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.when(i == F.col("pos"), 1.0).otherwise(0.0))
+    else:
+        vec = F.transform(hashed_start("svd")(col, m), lambda x: x - 0.5)
+    return ids.select(col, vec.alias("vec"))
+
+
+def _subspace(matrix: SparseMatrix, basis: DataFrame, row: str, col: str, m: int, whole: bool) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Orthonormal basis, singular values on it and the turn that sorts them.
+
+    Each round multiplies the basis by A'A and makes it orthonormal again, in one sparse
+    product each way; the values come from the m x m matrix of the products.
+    """
+    before = np.zeros(m)
+    for _ in range(1 if whole else ROUNDS):
+        if not whole:
+            basis = _orthonormal(basis, m)
+        image = stage(matrix.times(basis, m), "svd-image")
+        values, turn = np.linalg.eigh(gram(image, "vec", m))
+        sigma, turn = np.sqrt(np.maximum(values[::-1], 0)), turn[:, ::-1]
+        if whole or np.all(np.abs(sigma - before)[: max(1, m // 2)] <= REST * sigma[0]):
+            break
+        before = sigma
+        basis = stage(matrix.transposed_times(image, m), "svd-basis")
+        unstage(image)
+    return basis, sigma, turn
+
+
+def _orthonormal(basis: DataFrame, m: int) -> DataFrame:
+    """Twice over, as one pass loses digits when the vectors are nearly dependent."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(gram(basis, "vec", m))
+        scale = 1 / np.sqrt(np.maximum(values, values[-1] * 1e-14))
+        basis = stage(times_matrix(basis, "vec", vectors * scale), "svd-basis")
+    return basis
+
+
 def energy(sigma: np.ndarray, total: float) -> list[float]:
     return list(np.cumsum(np.asarray(sigma) ** 2) / total)

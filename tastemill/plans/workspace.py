@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.functions.encode import category_code, multi_hot_array, with_min_max
 from tastemill.functions.vectors import unit
-from tastemill.operators import baskets, features, split
+from tastemill.operators import baskets, features, mean_shift, split
 from tastemill.session import stage, tune
 from tastemill.sources import tables
 
@@ -16,12 +16,26 @@ _OPEN: dict[tuple[str, str], "Workspace"] = {}
 
 
 def workspace(spark: SparkSession, folder: str) -> "Workspace":
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _OPEN:
+    """The folder's workspace in this application; a new one once its files have changed."""
+    key, state = (spark.sparkContext.applicationId, folder), _state(spark, folder)
+    if key not in _OPEN or _OPEN[key].state != state:
         _OPEN[key] = Workspace(tune(spark), folder)
+        _OPEN[key].state = state
     return _OPEN[key]
 
 
+def forget() -> None:
+    """Drop all workspaces, so that the next query prepares its tables anew."""
+    _OPEN.clear()
+
+
+def _state(spark: SparkSession, folder: str) -> list:
+    """Names, sizes and times of the tables in the folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))
+
+
 class RatingSet:
     """A ratings table with its time split and what follows from it."""
 
@@ -91,6 +105,18 @@ class Workspace:
     def gap_baskets(self) -> DataFrame:
         return stage(baskets.gap_baskets(self.orders.old, 25), "gap-baskets")
 
+    @cached_property
+    def shift_baskets(self) -> DataFrame:
+        return stage(mean_shift.mean_shift_baskets(self.orders.old, 25), "shift-baskets")
+
+    @cached_property
+    def shift_brands(self) -> DataFrame:
+        return stage(mean_shift.mean_shift_baskets(self.brands.old, 25), "shift-brands")
+
+    @cached_property
+    def topic_vectors(self) -> DataFrame:
+        return stage(tables.topic_vectors(self.spark, self.folder), "topic-vectors")
+
     @cached_property
     def brand_baskets(self) -> DataFrame:
         return stage(tables.brand_baskets(self.spark, self.folder), "brand-baskets")

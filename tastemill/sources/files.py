@@ -73,5 +73,17 @@ def read_matrix(spark: SparkSession, path: str, row: str, column: str, value: st
     return matrix_to_long(wide.withColumnRenamed(wide.columns[0], row), row, column, value, kind)
 
 
+def read_matrix_blocks(spark: SparkSession, path: str, row: str, column: str, value: str, kind: str = "double") -> DataFrame:
+    """A matrix that was written in blocks of columns, as long rows."""
+    blocks = spark.read.parquet(f"{path}/labels").agg({"block": "max"}).first()[0]
+    found = None
+    for number in range((-1 if blocks is None else blocks) + 1):
+        part = read_matrix(spark, f"{path}/block={number}", row, column, value, kind)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"{row} long, {column} long, {value} {kind}")
+    return found
+
+
 def read_baskets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

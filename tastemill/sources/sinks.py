@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tastemill.operators.index import dense_index
+from tastemill.operators.skew import lookup
+from tastemill.session import stage
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
@@ -18,17 +22,36 @@ def write_dat(df: DataFrame, path: str, sep: str = "::") -> None:
     df.select(F.concat_ws(sep, *cells).alias("value")).write.mode("overwrite").text(path)
 
 
+# Column labels of one block of an exported matrix.
+BLOCK_LABELS = 1000
+
+
 def long_to_matrix(df: DataFrame, row: str, column: str, value: str, labels: list | None = None) -> DataFrame:
     """Long rows to a labelled matrix with one column per label.
 
-    For export of small matrices; without ``labels`` Spark looks them up and refuses
-    more than ``spark.sql.pivotMaxValues`` columns.
+    For one block of columns; ``write_matrix`` cuts wider matrices into blocks.
     """
     return df.groupBy(row).pivot(column, labels).agg(F.first(value))
 
 
-def write_matrix(df: DataFrame, path: str, row: str, column: str, value: str, labels: list | None = None) -> None:
-    write_table(long_to_matrix(df, row, column, value, labels), path, "csv")
+def write_matrix(
+    df: DataFrame, path: str, row: str, column: str, value: str, labels: list | None = None, block: int = BLOCK_LABELS
+) -> None:
+    """Labelled matrix as CSV, in blocks of at most ``block`` columns.
+
+    With ``labels`` (no more than ``block``) it is one set of files at ``path``. Otherwise the
+    labels are numbered, each block goes to ``path/block=<number>`` with its own rows, and
+    ``path/labels`` holds the numbers of the blocks.
+    """
+    if labels is not None and len(labels) <= block:
+        return write_table(long_to_matrix(df, row, column, value, labels), path, "csv")
+    places = stage(dense_index(df, column, name="_at").select(column, F.floor(F.col("_at") / block).alias("block")), "labels")
+    write_table(places, f"{path}/labels")
+    cells = stage(lookup(df.select(row, column, value), places, column, [row]), "matrix-cells")
+    for number in range(-(-places.count() // block)):
+        own = [r[0] for r in places.where(F.col("block") == number).orderBy(column).collect()]  # one block of labels
+        part = cells.where(F.col("block") == number)
+        write_table(long_to_matrix(part, row, column, value, own), f"{path}/block={number}", "csv")
 
 
 def copy_table(source: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.functions.encode import epoch_seconds
+from tastemill.functions.vectors import unit
+from tastemill.operators.skew import lookup
 
 # The categories of the star schema.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 SEGMENTS = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 4}
-RATED_EVENTS = ("click", "view", "purchase")
 VECTOR_SIZE = 64
 
 
@@ -32,8 +34,8 @@ def order_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """Users rate topics: the largest event value, at the last event."""
-    events = load(spark, folder, "events").where(F.col("event_type").isin(*RATED_EVENTS))
+    """Users rate topics: the largest event value, at the last event, over all event types."""
+    events = load(spark, folder, "events")
     return (
         events.select(
             "user_id",
@@ -46,6 +48,15 @@ def event_ratings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def topic_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, vec): how a topic's mean value per event type differs from the mean of all events."""
+    events = load(spark, folder, "events").select(F.get_json_object("props", "$.k").cast("long").alias("item_id"), "event_type", "value")
+    overall = events.agg(F.avg("value")).scalar()
+    means = events.groupBy("item_id", "event_type").agg((F.avg("value") - overall).alias("_m"))
+    cells = [F.coalesce(F.max(F.when(F.col("event_type") == t, F.col("_m"))), F.lit(0.0)) for t in EVENT_TYPES]
+    return means.groupBy("item_id").agg(F.array(*cells).alias("_raw")).select("item_id", unit(F.col("_raw")).alias("vec"))
+
+
 def items(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "part").select(
         F.col("p_partkey").alias("item_id"),
@@ -72,8 +83,9 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 def _brand_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     brand = F.substring("p_brand", 7, 20).cast("long").alias("item_id")
-    part = load(spark, folder, "part").select("p_partkey", brand)
-    return lines.join(part, lines.l_partkey == part.p_partkey)
+    part = load(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), brand)
+    # a part in very many lines is spread over several tasks
+    return lookup(lines, part, "l_partkey", ["l_orderkey"])
 
 
 def brand_ratings(spark: SparkSession, folder: str) -> DataFrame:
