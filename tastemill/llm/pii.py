@@ -317,12 +317,15 @@ def training_windows(texts: list[str], limit: int = SAMPLE_WINDOWS, seed: int =
     return x, y, mask
 
 
-def learn(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS, epochs: int = EPOCHS) -> Tagger:
+def learn(docs: DataFrame, text: str = "text", sample_docs: int | None = None, windows: int | None = None, epochs: int | None = None) -> Tagger:
     """Train on at most ``windows`` windows of at most ``sample_docs`` texts, chosen by a hash.
 
+    They are ``SAMPLE_DOCS``, ``SAMPLE_WINDOWS`` and ``EPOCHS`` unless given.
+
     A hash of the text orders the documents, so the choice does not depend on the partitions. From
     each of them come bounded pieces around its base spans and from its beginning, middle and end.
     """
+    sample_docs, windows, epochs = sample_docs or SAMPLE_DOCS, windows or SAMPLE_WINDOWS, epochs or EPOCHS
     chosen = stage(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(sample_docs), "pii-sample")
 
     def cut(batches):

@@ -22,10 +22,12 @@ from tastemill.session import stage
 
 #: Bound of the labelled documents that the lexicon and the weights are fitted on.
 SAMPLE_ROWS = 8000
-#: Lengths of word beginnings, least number of toxic documents and least log odds of an entry.
-LENGTHS = (3, 8)
-LEAST_DOCS = 5
+#: Lengths of word beginnings; least number and share of toxic documents, and least log odds, of an entry.
+LENGTHS = (3, 10)
+LEAST_DOCS, LEAST_SHARE = 5, 0.01
 LEAST_ODDS = 2.0
+#: A beginning gives way to a longer one that has this share of its documents.
+SAME_SHARE = 0.95
 LEXICON_ROWS = 4000
 EXCEPTION_ROWS = 4000
 #: A longer beginning is kept beside a shorter one only with this much more log odds.
@@ -125,10 +127,11 @@ def _per_task(df: DataFrame, count, schema: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text`` and ``label`` of at most ``rows`` labelled documents, by a hash of the id."""
+    """``text`` and ``label`` of at most ``rows`` labelled documents, by a hash of the id; equal texts once."""
     labelled = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy(F.xxhash64("text").alias("h")).agg(F.max(F.struct("label", "text")).alias("r")).select("r.text", "r.label")
 
 
 class Model:
@@ -136,10 +139,14 @@ class Model:
         self.lexicon, self.exceptions, self.weights = lexicon, exceptions, weights
 
 
-def _prune(rows: list[tuple[str, float]]) -> dict[str, float]:
+def _prune(rows: list[tuple[str, float, int]]) -> dict[str, float]:
+    """Entries (beginning, weight, documents) as long as they stay as frequent, without lesser longer ones."""
+    longer: dict[str, int] = {}
+    for entry, _, docs in rows:
+        longer[entry[:-1]] = max(docs, longer.get(entry[:-1], 0))
     kept: dict[str, float] = {}
-    for entry, weight in sorted(rows, key=lambda r: (len(r[0]), r[0])):
-        if all(weight > kept.get(entry[:k], -np.inf) + GAIN for k in range(1, len(entry))):
+    for entry, weight, docs in sorted(rows, key=lambda r: (len(r[0]), r[0])):
+        if longer.get(entry, 0) < SAME_SHARE * docs and all(weight > kept.get(entry[:k], -np.inf) + GAIN for k in range(1, len(entry))):
             kept[entry] = weight
     return kept
 
@@ -173,9 +180,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     found = _per_task(rows, beginnings, "key string, label int, n long")
-    entries = found.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    entries = found.where(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * bad)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     best = entries.orderBy(F.desc("odds"), "key").limit(LEXICON_ROWS).collect()
-    lexicon = _prune([(r["key"], r["odds"]) for r in best])
+    lexicon = _prune([(r["key"], r["odds"], r["bad"]) for r in best])
 
     def pairs(text):
         own = automaton(lexicon) if not hasattr(pairs, "own") else pairs.own

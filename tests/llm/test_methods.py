@@ -130,6 +130,20 @@ def test_first_shingles_meet():
             assert len(np.intersect1d(first[: cut[1]], first[cut[1] :]))
 
 
+def test_sets_that_can_link_meet_in_a_band():
+    for size in range(1, 400):
+        for other in range(size, size * 100 // 90 + 1):
+            first, ends = np.array([7, 7], np.uint64), np.array([0, 1, 2])
+            keys, cut = jaccard.meeting_keys(first, ends, np.array([size, other]))
+            assert set(keys[: cut[1]].tolist()) & set(keys[cut[1] :].tolist())
+
+
+def test_points_are_packed_without_loss():
+    counts = np.zeros((4, jaccard.GROUPS), np.int32)
+    counts[1, 3], counts[2, 5], counts[3, 7] = 255, 256, 1 << 20
+    assert np.array_equal(jaccard.unpacked(jaccard.packed(counts)), counts)
+
+
 def test_search_finds_short_and_long_patterns():
     items = [(1, "a"), (2, "b c"), (3, " ".join(f"w{k}" for k in range(30))), (4, "d e f g h i j")]
     text = "x a x b c x " + " ".join(f"w{k}" for k in range(3, 29)) + " d e f g h i j a"

@@ -9,6 +9,15 @@ from tests.llm import brute
 from tests.llm.test_contracts import FOLDER, ODD
 
 
+@pytest.fixture(scope="module", autouse=True)
+def short_training():
+    """Base spans do not depend on the tagger, so a little training is enough here."""
+    was = pii.SAMPLE_WINDOWS, pii.EPOCHS
+    pii.SAMPLE_WINDOWS, pii.EPOCHS = 200, 1
+    yield
+    pii.SAMPLE_WINDOWS, pii.EPOCHS = was
+
+
 @pytest.fixture(scope="module")
 def chain(spark):
     """Input and output rows of each stage, over the small documents with odd rows and other columns."""
