@@ -218,11 +218,13 @@ def verdicts(docs: DataFrame, text: str = "text", lang: str | None = "lang", car
 
     Null texts have no words and fail the base rule; a null language uses the band of the script;
     repeated rows are judged alike; an empty table gives an empty table. Input columns named like
-    an output give way to it.
+    an output give way to it. If the texts are to be carried they are measured twice, once for the
+    bands and once beside the text, rather than stored again.
     """
     keep = list(docs.columns if carry is None else carry)
     need = list(dict.fromkeys([*keep, *([lang] if lang else [])]))
-    measured = stage(measure(docs, text, carry=need), "fertility")
+    wide = text in keep
+    measured = stage(measure(docs, text, carry=[lang] if lang and wide else [] if wide else need), "fertility")
     limits = stage(bands(measured, lang), "fertility-bands")
-    out = judge(measured, limits, lang)
+    out = judge(measure(docs, text, carry=need) if wide else measured, limits, lang)
     return out.drop(*(c for c in need if c not in keep))
