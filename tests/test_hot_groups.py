@@ -130,18 +130,22 @@ def test_sparse_product(busy):
 
 
 def test_sliced_catalogue(spark):
+    """However many blocks, each row has n unseen items of each, and the lists are those of the whole."""
     rng = np.random.default_rng(1)
-    rows = spark.createDataFrame([(u, rng.integers(-2, 3, 3).astype(float).tolist(), u % 4) for u in range(30)], "user_id long, vec array<double>, extra int")
+    rows = spark.createDataFrame([(u, rng.integers(-2, 3, 3).astype(float).tolist()) for u in range(30)], "user_id long, vec array<double>")
+    seen = {u: {int(i) for i in rng.integers(0, 200, u)} for u in range(30)}
+    pairs = spark.createDataFrame([(u, i) for u, items in seen.items() for i in items], "user_id long, item_id long")
     cat = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(200)]
     catalogue = stage(spark.createDataFrame(cat, "item_id long, vec array<double>"), "catalogue")
     matrix = np.array([v for _, v in cat])
-    for size in (2**26, 1000):
-        found = dense_top.dense_candidates(rows, catalogue, "user_id", "item_id", 5, 3, 0.0, size)
-        assert (size > 1000) == (found.count() <= 30 * 8)
+    for size, blocks in ((2**26, 1), (1000, 7)):
+        found = dense_top.dense_candidates(rows, catalogue, "user_id", "item_id", 5, 3, 0.0, pairs, size)
+        assert found.count() <= 30 * 5 * blocks
         got = lists(rank.top_n(found, 5))
+        assert sum(map(len, got.values())) == 30 * 5
         for r in rows.collect():
             scores = matrix @ np.array(r["vec"])
-            order = [(int(i), float(scores[i])) for i in np.lexsort((np.arange(200), -scores)) if scores[i] >= 0][:5]
+            order = [(int(i), float(scores[i])) for i in np.lexsort((np.arange(200), -scores)) if scores[i] >= 0 and i not in seen[r["user_id"]]][:5]
             assert got[r["user_id"]] == order
 
 
@@ -151,11 +155,27 @@ def test_zero_items_beyond_the_head(spark, monkeypatch):
     taken = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0)], "user_id long, item_id long")
     scored = spark.createDataFrame([(1, 95, 2.0), (2, 50, -1.0)], "user_id long, item_id long, score double")
     every = taken.unionByName(scored.select("user_id", "item_id"))
-    monkeypatch.setattr(rank, "WIDEST_PART", 20)
+    monkeypatch.setattr(rank, "SPAN", 8)
     got = lists(rank.top_n_with_zeros(scored, every, users, items, 3))
     assert got == {1: [(95, 2.0), (90, 0.0), (91, 0.0)], 2: [(1, 0.0), (2, 0.0), (3, 0.0)], 3: [(0, 0.0), (1, 0.0), (2, 0.0)]}
 
 
+def test_first_free_items(spark, monkeypatch):
+    """Free items by score and id, whatever is taken, with spans of any length."""
+    rng = np.random.default_rng(3)
+    scores = [float(s) for s in rng.integers(0, 9, 60)]
+    catalogue = spark.createDataFrame(list(enumerate(scores)), "item_id long, score double")
+    taken = {u: sorted({int(i) for i in rng.integers(0, 60, 12 * u)}) for u in range(9)}
+    rows = spark.createDataFrame([(u, i) for u, items in taken.items() for i in items], "user_id long, item_id long")
+    users = spark.createDataFrame([(u,) for u in range(9)], "user_id long")
+    ranked = sorted(range(60), key=lambda i: (-scores[i], i))
+    for span in (1, 7, 1024):
+        monkeypatch.setattr(rank, "SPAN", span)
+        got = lists(rank.top_n(rank.first_free(catalogue, rows, users, 6), 6))
+        want = {u: [(i, scores[i]) for i in ranked if i not in taken[u]][:6] for u in range(9)}
+        assert got == {u: w for u, w in want.items() if w}
+
+
 def test_pipelines_with_hot_keys(tiny, every_key_is_hot):
     """Golden lists again, with every key above the split size."""
     cut = split.with_cut(tiny.ratings)
