@@ -14,11 +14,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.llm.common import LOWER, WHITE, map_texts, mix, raw, run_hashes, window_hashes, words
+from tastemill.llm.filters import build, contains
 from tastemill.llm.links import components
-from tastemill.session import stage
+from tastemill.session import stage, unstage
 
 SHINGLE = 3
 #: Link when PART * |A and B| >= WHOLE * |A or B|.
@@ -70,6 +72,33 @@ def points(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(owner * GROUPS + (value % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Points in as few bytes as their counts need: one, two or four for each coordinate."""
+    return [p.astype(np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int32).tobytes() for p in counts]
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.int32}
+    out = np.zeros((len(blobs), GROUPS), np.int32)
+    sizes = np.array([len(b) for b in blobs])
+    for size, kind in kinds.items():
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), kind).reshape(-1, GROUPS)
+    return out
+
+
+def meeting_keys(first: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which sets that can link meet: a first shingle and a band of sizes.
+
+    The bands' bounds grow by the largest ratio that sets which link can have. A set goes to its own
+    band and to the next, so two sets whose sizes allow a link share a band.
+    """
+    band = np.ceil(np.log(np.maximum(sizes, 1)) / np.log(PART / WHOLE) + 1e-9).astype(np.uint64)
+    own = np.repeat(band, np.diff(ends))
+    both = np.stack([mix(first ^ mix(own)), mix(first ^ mix(own + np.uint64(1)))], axis=1)
+    return both.ravel(), 2 * ends
+
+
 def firsts(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of each set, of which two sets that link share one; and their offsets."""
     sizes = np.diff(offsets)
@@ -104,7 +133,7 @@ def frequent_shingles(docs: DataFrame, text: str, rows: int = SAMPLE_DOCS) -> np
 
 
 def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add ``n_shingles``, ``key`` (digest of the set; null if it is empty), ``point``, ``firsts``."""
+    """Add ``n_shingles``, ``key`` (digest of the set; null if it is empty), ``point``, ``meets`` (keys)."""
     frequent = frequent_shingles(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
@@ -112,20 +141,20 @@ def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = No
         def step(batch):
             value, offsets = shingle_sets(*raw(batch.column(text)))
             counts = points(value, offsets)
-            first, ends = firsts(value, offsets, shared.value)
+            meets, ends = meeting_keys(*firsts(value, offsets, shared.value), np.diff(offsets))
             cut = offsets.tolist()
             blob = value.tobytes()
             keys = [hashlib.md5(blob[8 * a : 8 * b]).digest() if b > a else None for a, b in zip(cut, cut[1:])]
             return {
                 "n_shingles": np.diff(offsets),
                 "key": pa.array(keys, pa.binary()),
-                "point": pa.array([p.tobytes() for p in counts], pa.binary()),
-                "firsts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.astype(np.int64))),
+                "point": pa.array(packed(counts), pa.binary()),
+                "meets": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(meets.astype(np.int64))),
             }
 
         return step
 
-    return map_texts(docs, work, "n_shingles long, key binary, point binary, firsts array<long>", text, carry)
+    return map_texts(docs, work, "n_shingles long, key binary, point binary, meets array<long>", text, carry)
 
 
 # -- the tree ----------------------------------------------------------------------------------------
@@ -209,12 +238,32 @@ def spanning(counts: np.ndarray, sizes: np.ndarray, verify=None) -> tuple[np.nda
 # -- dealing out -----------------------------------------------------------------------------------------
 
 
-def _blocks(rows: DataFrame, group: str, limit: int) -> DataFrame:
+def _groups(rows: DataFrame, group: str) -> DataFrame:
+    """Groups of two rows or more, with their numbers of rows."""
+    return stage(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"), "jaccard-groups")
+
+
+def _kept(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose long ``column`` may be among ``values``; a filter of bounded size tells the others.
+
+    Few rows that the exact join would drop go on to it, so what is shuffled follows the result.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(build(values, column, values.count()))
+
+    def some(batches):
+        for batch in batches:
+            held = batch.column(column)
+            wanted = contains(shared.value, pc.fill_null(held, 0).to_numpy()) & held.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(wanted))
+
+    return rows.mapInArrow(some, rows.schema)
+
+
+def _blocks(rows: DataFrame, group: str, sizes: DataFrame, limit: int) -> DataFrame:
     """Add ``cell``: groups of more than ``limit`` rows go out as all pairs of their blocks.
 
     A row of a group with b blocks appears in b cells, so every two rows of a group share a cell.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
     rows = rows.join(sizes, group)
     blocks = F.ceil(F.col("_n") / limit).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -264,7 +313,7 @@ def _candidate_links(table: pa.Table, names: list[str]):
     """Links by the bound alone: all pairs of small groups, spanning links of larger ones."""
     cut = _bounds(table, names)
     keys = table.column("key").to_pylist()
-    counts = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+    counts = unpacked(table.column("point").to_pylist())
     sizes = table.column("n_shingles").to_numpy()
     group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     many = np.diff(cut)
@@ -327,21 +376,24 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carry)
     signed = stage(signatures(docs, carry=["doc_id", *carry]), "jaccard-sets")
     rows = signed.where("key IS NOT NULL")
-    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"), F.first("firsts").alias("firsts"))
-    distinct = stage(distinct, "jaccard-distinct")
+    one = (F.first(c).alias(c) for c in ("n_shingles", "point", "meets"))
+    distinct = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *one), "jaccard-distinct")
 
-    dealt = distinct.select("key", F.explode("firsts").alias("token"))
-    dealt = stage(_blocks(dealt, "token", together), "jaccard-dealt").join(distinct.select("key", "n_shingles", "point"), "key")
+    dealt = distinct.select("key", F.explode("meets").alias("token"))
+    shared = _groups(dealt, "token")
+    dealt = _blocks(_kept(dealt, "token", shared), "token", shared, together).join(distinct.select("key", "n_shingles", "point"), "key")
     rough = components(_by_group(dealt.select("token", "cell", "key", "n_shingles", "point"), ["token", "cell"], _candidate_links, "a binary, b binary"))
 
     # the shingles of the sets in a rough component, from one text of each
     rough = rough.select(F.col("node").alias("key"), F.conv(F.substring(F.hex("root"), 1, 15), 16, 10).cast("long").alias("cluster"))
     wanted = stage(rough.join(distinct.select("key", "least"), "key"), "jaccard-wanted")
     sets = stage(_sets_of(docs.select("doc_id", "text"), wanted), "jaccard-cluster-sets")
-    cells = _blocks(sets, "cluster", max(1, together // 4))
+    cells = _blocks(sets, "cluster", _groups(sets, "cluster"), max(1, together // 4))
     linked = components(_by_group(cells.select("cluster", "cell", "key", "shingles"), ["cluster", "cell"], _verified_links, "a binary, b binary"))
 
     rooted = stage(distinct.select("key", "least").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "jaccard-roots")
+    for done in (distinct, shared, wanted, sets):
+        unstage(done)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("key", "component_id")
     alone = signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
@@ -367,8 +419,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return step
 
     schema = "own binary, shingles array<long>"
-    ids = wanted.where("least IS NOT NULL")
-    found = docs.join(ids, docs["doc_id"] == ids["least"]).select("key", "cluster", "text")
+    ids = wanted.where("least IS NOT NULL").withColumnRenamed("least", "doc_id")
+    found = _kept(docs, "doc_id", ids).join(ids, "doc_id").select("key", "cluster", "text")
     named = map_texts(found, work, schema, "text", ["key", "cluster"]).where("own = key").drop("own")
     nameless = map_texts(docs.where("doc_id IS NULL"), work, schema, "text", [])
     nameless = nameless.withColumnRenamed("own", "key").join(wanted.where("least IS NULL").select("key", "cluster"), "key")
@@ -383,8 +435,11 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
     rows = docs.withColumn("_digest", digest)
-    found = classes(rows, text, doc_id, carry=["_digest"])
+    found = stage(classes(rows, text, doc_id, carry=["_digest"]), "jaccard-classes")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_chosen")).distinct()
     chosen = stage(chosen, "jaccard-chosen")
     kept = rows.join(chosen, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest")
+    repeated = found.groupBy("doc_id", "_digest").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # equal rows; without any, one pass over the texts is saved
+        kept = kept.dropDuplicates([doc_id, "_digest"])
+    return kept.drop("_digest")
