@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one numpy step works on; bounds a task's memory.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of a batch that goes to Python, where the session sets none: some MB of usual texts.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,9 +25,16 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Smaller batches between Spark and Python than the default, unless the session has its own."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -63,6 +73,7 @@ def map_texts(
     batch); that returns one array per column of ``schema``. A carried column whose name clashes
     with a new one gives way to it.
     """
+    lean(df.sparkSession)
     made = T._parse_datatype_string(schema)
     keep = [c for c in (df.columns if carry is None else carry) if c not in made.names]
     need = list(dict.fromkeys([*keep, text]))
@@ -78,10 +89,19 @@ def map_texts(
                 columns = [part.column(c) for c in keep]
                 columns += [pa.array(new[f.name], type=f.type) if not isinstance(new[f.name], pa.Array) else new[f.name].cast(f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
+            release()
 
     return df.mapInArrow(run, out)
 
 
+def release() -> None:
+    """Give free memory back to the system: the workers of an executor share one bound."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``inside`` bytes, and for each row its first word.
 

@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 64
 HIDDEN, EMBED = 16, 12
 #: Documents and windows of the training sample, passes over it and its batches.
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 400, 3000, 6, 64
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 400, 3000, 6, 32
 #: Windows that are decoded together; bounds a task's memory.
 TOGETHER = 2048
 
@@ -213,7 +213,7 @@ class Tagger:
         n = mask.sum()
         return loss / n, {k: v / n * 16 for k, v in grads.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, seed: int = 7) -> list[float]:
         """Adam over shuffled batches; returns the mean loss of each pass."""
         draw = np.random.default_rng(seed)
         first, second, n, losses = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, 0, []
