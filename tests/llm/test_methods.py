@@ -223,7 +223,7 @@ def test_tagger_gradients():
 def tagger():
     texts = ["plain words stand here and there in a row of nothing special at all, " * 4, "numbers 12 and 1999 and 3.14 with words between, 7 of them or 8 " * 4]
     model = pii.Tagger()
-    model.losses = model.fit(*pii.training_windows(texts, 2000), epochs=8)
+    model.losses = model.fit(*pii.training_windows(texts, pii.SAMPLE_WINDOWS), epochs=pii.EPOCHS)
     return model
 
 
