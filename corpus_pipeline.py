@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    return apart(docs, lambda d: jaccard.representatives(d).select(*d.columns))
+    """One document of each group of near duplicates (0.8 of 5-word shingles), that with the smallest id."""
+    return apart(docs, lambda d: jaccard.representatives(d, rule=jaccard.NEAR).select(*d.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

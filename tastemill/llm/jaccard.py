@@ -11,6 +11,8 @@ documents come last), so Spark deals the points out by those. Equal sets are one
 from __future__ import annotations
 
 import hashlib
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,17 @@ from tastemill.llm.filters import build, contains
 from tastemill.llm.links import components
 from tastemill.session import stage, unstage
 
-SHINGLE = 3
-#: Link when PART * |A and B| >= WHOLE * |A or B|.
-PART, WHOLE = 100, 90
+
+class Rule(NamedTuple):
+    """Shingles of ``size`` words; sets link when part * |A and B| >= whole * |A or B|."""
+
+    size: int
+    part: int
+    whole: int
+
+
+#: The operator's own rule, and that of near-duplicate stages.
+JOIN, NEAR = Rule(3, 100, 90), Rule(5, 100, 80)
 #: Coordinates of a point.
 GROUPS = 64
 #: Documents of the sample that tells frequent shingles, least documents of such a shingle, most of them.
@@ -39,7 +49,7 @@ LEAF = 32
 # -- sets ------------------------------------------------------------------------------------------
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = JOIN.size) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, as hashes in order, and their offsets."""
     rows = len(offsets) - 1
     data = LOWER[data]
@@ -87,19 +97,19 @@ def unpacked(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
-def meeting_keys(first: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def meeting_keys(first: np.ndarray, ends: np.ndarray, sizes: np.ndarray, rule: Rule = JOIN) -> tuple[np.ndarray, np.ndarray]:
     """Keys under which sets that can link meet: a first shingle and a band of sizes.
 
     The bands' bounds grow by the largest ratio that sets which link can have. A set goes to its own
     band and to the next, so two sets whose sizes allow a link share a band.
     """
-    band = np.ceil(np.log(np.maximum(sizes, 1)) / np.log(PART / WHOLE) + 1e-9).astype(np.uint64)
+    band = np.ceil(np.log(np.maximum(sizes, 1)) / np.log(rule.part / rule.whole) + 1e-9).astype(np.uint64)
     own = np.repeat(band, np.diff(ends))
     both = np.stack([mix(first ^ mix(own)), mix(first ^ mix(own + np.uint64(1)))], axis=1)
     return both.ravel(), 2 * ends
 
 
-def firsts(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def firsts(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rule: Rule = JOIN) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of each set, of which two sets that link share one; and their offsets."""
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -107,21 +117,21 @@ def firsts(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tupl
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value
     order = np.lexsort((value, late, owner))
-    take = sizes - -(-WHOLE * sizes // PART) + 1
+    take = sizes - -(-rule.whole * sizes // rule.part) + 1
     take[sizes == 0] = 0
     rank = np.arange(len(value)) - np.repeat(offsets[:-1], sizes)
     keep = rank < np.repeat(take, sizes)
     return value[order][keep], np.concatenate([[0], np.cumsum(take)])
 
 
-def frequent_shingles(docs: DataFrame, text: str, rows: int = SAMPLE_DOCS) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, text: str, rows: int = SAMPLE_DOCS, rule: Rule = JOIN) -> np.ndarray:
     """Shingles of several documents of a sample; they only set the order, not the result."""
     named = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(f"`{text}`").alias("text"))
     chosen = stage(named.select("h").distinct().orderBy("h").limit(rows), "jaccard-sample")
 
     def work():
         def step(batch):
-            value, offsets = shingle_sets(*raw(batch.column("text")))
+            value, offsets = shingle_sets(*raw(batch.column("text")), rule.size)
             return {"shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.astype(np.int64)))}
 
         return step
@@ -132,16 +142,16 @@ def frequent_shingles(docs: DataFrame, text: str, rows: int = SAMPLE_DOCS) -> np
     return np.sort(np.array([r["s"] for r in found], np.int64).astype(np.uint64))
 
 
-def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = None, rule: Rule = JOIN) -> DataFrame:
     """Add ``n_shingles``, ``key`` (digest of the set; null if it is empty), ``point``, ``meets`` (keys)."""
-    frequent = frequent_shingles(docs, text)
+    frequent = frequent_shingles(docs, text, rule=rule)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
     def work():
         def step(batch):
-            value, offsets = shingle_sets(*raw(batch.column(text)))
+            value, offsets = shingle_sets(*raw(batch.column(text)), rule.size)
             counts = points(value, offsets)
-            meets, ends = meeting_keys(*firsts(value, offsets, shared.value), np.diff(offsets))
+            meets, ends = meeting_keys(*firsts(value, offsets, shared.value, rule), np.diff(offsets), rule)
             cut = offsets.tolist()
             blob = value.tobytes()
             keys = [hashlib.md5(blob[8 * a : 8 * b]).digest() if b > a else None for a, b in zip(cut, cut[1:])]
@@ -160,16 +170,16 @@ def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = No
 # -- the tree ----------------------------------------------------------------------------------------
 
 
-def reaches(overlap, total):
+def reaches(overlap, total, rule: Rule = JOIN):
     """Can two sets of together ``total`` shingles link with this overlap?"""
-    return (PART + WHOLE) * overlap >= WHOLE * total
+    return (rule.part + rule.whole) * overlap >= rule.whole * total
 
 
 class RTree:
     """Points in leaves by size and coordinates; each node holds its largest coordinates and sizes."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.counts, self.sizes = counts, sizes
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, rule: Rule = JOIN):
+        self.counts, self.sizes, self.rule = counts, sizes, rule
         self.order = self._pack(np.arange(len(sizes)))
         high, low, top = counts[self.order], sizes[self.order], sizes[self.order]
         self.levels = []
@@ -195,19 +205,19 @@ class RTree:
 
     def near(self, point: np.ndarray, size: int, live: np.ndarray) -> np.ndarray:
         """Live points whose bound on the overlap lets them link with the given one."""
-        at = None
+        at, rule = None, self.rule
         for high, low, top in reversed(self.levels):
             at = np.arange(len(high)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < len(high)]
-            at = at[(PART * top[at] >= WHOLE * size) & (WHOLE * low[at] <= PART * size)]
-            at = at[reaches(np.minimum(high[at], point).sum(axis=1), low[at] + size)]
+            at = at[(rule.part * top[at] >= rule.whole * size) & (rule.whole * low[at] <= rule.part * size)]
+            at = at[reaches(np.minimum(high[at], point).sum(axis=1), low[at] + size, rule)]
         at = np.arange(len(self.order)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         rows = self.order[at[at < len(self.order)]]
         rows = rows[live[rows]]
-        return rows[reaches(np.minimum(self.counts[rows], point).sum(axis=1), self.sizes[rows] + size)]
+        return rows[reaches(np.minimum(self.counts[rows], point).sum(axis=1), self.sizes[rows] + size, rule)]
 
 
-def spanning(counts: np.ndarray, sizes: np.ndarray, verify=None) -> tuple[np.ndarray, np.ndarray]:
+def spanning(counts: np.ndarray, sizes: np.ndarray, verify=None, rule: Rule = JOIN) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold each component together: one for each point that a search reaches.
 
     Each point is found once and then leaves the search, so a clique of n points gives n - 1 links
@@ -216,7 +226,7 @@ def spanning(counts: np.ndarray, sizes: np.ndarray, verify=None) -> tuple[np.nda
     n = len(sizes)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tree, live = RTree(counts, sizes), np.ones(n, bool)
+    tree, live = RTree(counts, sizes, rule), np.ones(n, bool)
     left, right = [], []
     for seed in range(n):
         if not live[seed]:
@@ -309,7 +319,7 @@ def _edges(keys: list, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _candidate_links(table: pa.Table, names: list[str]):
+def _candidate_links(table: pa.Table, names: list[str], rule: Rule):
     """Links by the bound alone: all pairs of small groups, spanning links of larger ones."""
     cut = _bounds(table, names)
     keys = table.column("key").to_pylist()
@@ -323,19 +333,19 @@ def _candidate_links(table: pa.Table, names: list[str]):
             left = at[a : a + (1 << 15)]
             right = left + step
             total = sizes[left] + sizes[right]
-            good = reaches(np.minimum(sizes[left], sizes[right]), total)
+            good = reaches(np.minimum(sizes[left], sizes[right]), total, rule)
             left, right, total = left[good], right[good], total[good]
-            good = reaches(np.minimum(counts[left], counts[right]).sum(axis=1), total)
+            good = reaches(np.minimum(counts[left], counts[right]).sum(axis=1), total, rule)
             if good.any():
                 yield _edges(keys, left[good], right[good])
     for g in np.flatnonzero(many > FEW).tolist():
         rows = slice(int(cut[g]), int(cut[g + 1]))
-        left, right = spanning(counts[rows], sizes[rows])
+        left, right = spanning(counts[rows], sizes[rows], rule=rule)
         if len(left):
             yield _edges(keys[rows], left, right)
 
 
-def _verified_links(table: pa.Table, names: list[str]):
+def _verified_links(table: pa.Table, names: list[str], rule: Rule):
     """Spanning links by the shingles themselves."""
     cut = _bounds(table, names)
     column = table.column("shingles").combine_chunks()
@@ -353,10 +363,10 @@ def _verified_links(table: pa.Table, names: list[str]):
                 theirs = sets[other]
                 place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
                 same = int(np.count_nonzero(mine[place] == theirs))
-                out[k] = PART * same >= WHOLE * (len(mine) + len(theirs) - same)
+                out[k] = rule.part * same >= rule.whole * (len(mine) + len(theirs) - same)
             return out
 
-        left, right = spanning(points(flat, ends), sizes, verify)
+        left, right = spanning(points(flat, ends), sizes, verify, rule)
         if len(left):
             yield _edges(keys[a:b], left, right)
 
@@ -364,7 +374,7 @@ def _verified_links(table: pa.Table, names: list[str]):
 # -- the join ----------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", together: int = TOGETHER, carry: list[str] | None = None) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", together: int = TOGETHER, carry: list[str] | None = None, rule: Rule = JOIN) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) of each document.
 
     Texts without words, and null texts, have an empty set and stand alone. Documents with equal
@@ -374,7 +384,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     """
     carry = carry or []
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carry)
-    signed = stage(signatures(docs, carry=["doc_id", *carry]), "jaccard-sets")
+    signed = stage(signatures(docs, carry=["doc_id", *carry], rule=rule), "jaccard-sets")
     rows = signed.where("key IS NOT NULL")
     one = (F.first(c).alias(c) for c in ("n_shingles", "point", "meets"))
     distinct = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *one), "jaccard-distinct")
@@ -382,14 +392,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     dealt = distinct.select("key", F.explode("meets").alias("token"))
     shared = _groups(dealt, "token")
     dealt = _blocks(_kept(dealt, "token", shared), "token", shared, together).join(distinct.select("key", "n_shingles", "point"), "key")
-    rough = components(_by_group(dealt.select("token", "cell", "key", "n_shingles", "point"), ["token", "cell"], _candidate_links, "a binary, b binary"))
+    rough = components(_by_group(dealt.select("token", "cell", "key", "n_shingles", "point"), ["token", "cell"], partial(_candidate_links, rule=rule), "a binary, b binary"))
 
     # the shingles of the sets in a rough component, from one text of each
     rough = rough.select(F.col("node").alias("key"), F.conv(F.substring(F.hex("root"), 1, 15), 16, 10).cast("long").alias("cluster"))
     wanted = stage(rough.join(distinct.select("key", "least"), "key"), "jaccard-wanted")
-    sets = stage(_sets_of(docs.select("doc_id", "text"), wanted), "jaccard-cluster-sets")
+    sets = stage(_sets_of(docs.select("doc_id", "text"), wanted, rule), "jaccard-cluster-sets")
     cells = _blocks(sets, "cluster", _groups(sets, "cluster"), max(1, together // 4))
-    linked = components(_by_group(cells.select("cluster", "cell", "key", "shingles"), ["cluster", "cell"], _verified_links, "a binary, b binary"))
+    linked = components(_by_group(cells.select("cluster", "cell", "key", "shingles"), ["cluster", "cell"], partial(_verified_links, rule=rule), "a binary, b binary"))
 
     rooted = stage(distinct.select("key", "least").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "jaccard-roots")
     for done in (distinct, shared, wanted, sets):
@@ -400,7 +410,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     return rows.join(named, "key").select("doc_id", "n_shingles", "component_id", *carry).unionByName(alone)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """``key``, ``cluster``, ``shingles`` of each wanted set, from one document that has it.
 
     The document with the set's smallest id has it; as an id may also stand at another text, the
@@ -409,7 +419,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def work():
         def step(batch):
-            value, offsets = shingle_sets(*raw(batch.column("text")))
+            value, offsets = shingle_sets(*raw(batch.column("text")), rule.size)
             cut, blob = offsets.tolist(), value.tobytes()
             return {
                 "own": pa.array([hashlib.md5(blob[8 * a : 8 * b]).digest() for a, b in zip(cut, cut[1:])], pa.binary()),
@@ -427,7 +437,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.unionByName(nameless.select("key", "cluster", "shingles")).dropDuplicates(["key"])
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Rule = JOIN) -> DataFrame:
     """The documents (all their columns), one of each component: that with the smallest id.
 
     Equal rows count as one. Documents without an id that are linked to none with one all stay,
@@ -435,7 +445,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
     rows = docs.withColumn("_digest", digest)
-    found = stage(classes(rows, text, doc_id, carry=["_digest"]), "jaccard-classes")
+    found = stage(classes(rows, text, doc_id, carry=["_digest"], rule=rule), "jaccard-classes")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_chosen")).distinct()
     chosen = stage(chosen, "jaccard-chosen")
     kept = rows.join(chosen, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi")

@@ -53,7 +53,7 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.classes(documents(spark, folder, "doc_id", "text"))
+    return jaccard.classes(documents(spark, folder, "doc_id", "text"), rule=jaccard.JOIN)
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
