@@ -3,7 +3,7 @@
 Public vocabularies measure each text: characters per token, the share of byte-fallback tokens
 (tokens that are not whole characters) and the entropy of the tokens. Each language (where it is
 unknown: each script) has a band for each measure and text length, from the quartiles of its own
-documents; a document outside a band is rejected.
+distinct texts; a document outside a band is rejected.
 """
 
 from __future__ import annotations
@@ -152,16 +152,19 @@ def length() -> Column:
     return F.floor(2 * F.log2(F.col("n_tokens"))).cast("int")
 
 
-def bands(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
+def bands(measured: DataFrame, lang: str | None = "lang", digest: str | None = None) -> DataFrame:
     """``low`` and ``high`` for each group, length and measure.
 
     Rows with a null length are for all lengths of a group, those with a null group for all
-    documents. Quartiles are exact on values rounded to 1/200, from a count per value, so they do
+    documents. With the texts' ``digest`` each distinct text counts once in a group, so copies do
+    not pull the quartiles to them. Quartiles are exact on values rounded to 1/200, from a count per value, so they do
     not depend on how the rows are dealt out and no task holds the documents of a group.
     """
-    long = measured.where(F.col("n_tokens") >= LEAST_TOKENS).select(
-        group(lang).alias("group"),
-        length().alias("length"),
+    texts = [F.col(f"`{digest}`").alias("digest")] if digest else []
+    each = measured.where(F.col("n_tokens") >= LEAST_TOKENS).select(group(lang).alias("group"), length().alias("length"), *FLOORS, *texts)
+    long = (each.distinct() if digest else each).select(
+        "group",
+        "length",
         F.explode(F.create_map(*(x for m in FLOORS for x in (F.lit(m), F.col(m))))).alias("measure", "value"),
     )
     counted = long.groupBy("group", "length", "measure", F.round(F.col("value") * 200).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -214,7 +217,7 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str | None = "lang") ->
 
 
 def verdicts(docs: DataFrame, text: str = "text", lang: str | None = "lang", carry: list[str] | None = None) -> DataFrame:
-    """Measure, learn the bands from all documents and judge each of them.
+    """Measure, learn the bands from all distinct texts and judge each document.
 
     Null texts have no words and fail the base rule; a null language uses the band of the script;
     repeated rows are judged alike; an empty table gives an empty table. Input columns named like
@@ -224,7 +227,11 @@ def verdicts(docs: DataFrame, text: str = "text", lang: str | None = "lang", car
     keep = list(docs.columns if carry is None else carry)
     need = list(dict.fromkeys([*keep, *([lang] if lang else [])]))
     wide = text in keep
-    measured = stage(measure(docs, text, carry=[lang] if lang and wide else [] if wide else need), "fertility")
-    limits = stage(bands(measured, lang), "fertility-bands")
-    out = judge(measure(docs, text, carry=need) if wide else measured, limits, lang)
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    named = docs.withColumn(digest, F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))))
+    measured = stage(measure(named, text, carry=[*([lang] if lang and wide else [] if wide else need), digest]), "fertility")
+    limits = stage(bands(measured, lang, digest), "fertility-bands")
+    out = judge(measure(docs, text, carry=need) if wide else measured.drop(digest), limits, lang)
     return out.drop(*(c for c in need if c not in keep))
