@@ -262,10 +262,12 @@ def _variants(draw) -> tuple[str, int]:
     """A made-up value of a kind, in a form that the base patterns may miss, and its kind."""
     digits = lambda n: "".join(map(str, draw.integers(0, 10, n)))
     word = lambda n: "".join(chr(97 + k) for k in draw.integers(0, 26, n))
-    kind = int(draw.integers(0, 4))
+    kind = int(draw.choice([0, 0, 1, 2, 3]))  # addresses have the most forms
     if kind == 0:
         at, dot = [("@", "."), (" [at] ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", ".")][draw.integers(0, 6)]
-        return f"{word(draw.integers(3, 9))}{draw.choice(['.', '_', ''])}{digits(draw.integers(1, 4))}{at}{word(draw.integers(4, 9))}{dot}{draw.choice(['com', 'org', 'net', 'example', 'de'])}", 0
+        more = draw.choice(['.', '_', '']) + digits(draw.integers(1, 4)) if draw.random() < 0.5 else draw.choice(['', '.', '_'])
+        more += word(draw.integers(3, 9)) if more in ('.', '_') else ''
+        return f"{word(draw.integers(3, 9))}{more}{at}{word(draw.integers(4, 9))}{dot}{draw.choice(['com', 'org', 'net', 'example', 'de'])}", 0
     if kind == 1:
         dot = draw.choice([".", ".", "[.]", " . "])
         return dot.join(str(k) for k in draw.integers(1, 256, 4)), 1
@@ -346,27 +348,46 @@ def learn(docs: DataFrame, text: str = "text", sample_docs: int | None = None, w
 # -- whole texts -----------------------------------------------------------------------------------------
 
 
-def has_mark(x: np.ndarray) -> np.ndarray:
-    """Which characters a span must have one of: a digit or @ (or the word at, in brackets or not)."""
-    return (x >= 0x30) & (x <= 0x39) | (x == 0x40)
+def has_mark(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which characters a span must have one of: a digit, @ or a letter of the words at and dot.
+
+    ``begin`` holds the places where texts begin; the words may stand in brackets or not.
+    """
+    mark = (x >= 0x30) & (x <= 0x39) | (x == 0x40)
+    inside = np.zeros(CLASSES, bool)
+    inside[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 128, 129]] = True
+    before, after = np.ones(len(x) + 1, bool), np.ones(len(x) + 1, bool)  # a word can begin, end at this place
+    before[1:] = after[:-1] = ~inside[x]
+    before[begin] = after[begin] = True
+    low = np.where((x >= 0x41) & (x <= 0x5A), x + 0x20, x)
+    for word in (b"at", b"dot"):
+        n = len(word)
+        if len(x) >= n:
+            at = before[: len(x) - n + 1] & after[n:]
+            for k, c in enumerate(word):
+                at = at & (low[k : len(x) - n + 1 + k] == c)
+            for k in range(n):
+                mark[k : len(x) - n + 1 + k] |= at
+    return mark
 
 
 def tag(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """Model spans of whole texts.
 
-    A span counts only if it has a digit or @, as all four kinds do; so windows without one cannot
-    give a span and are not decoded, which leaves the result as it is.
+    A span counts only if it has a digit, @ or one of the words at and dot, as all that is plausible
+    does. Windows without one are decoded if a neighbour has one; the others could only give a span
+    that reaches more than STRIDE characters beyond its last mark.
     """
     lengths = [len(t) for t in texts]
     x = codes("".join(texts))
     begin = np.concatenate([[0], np.cumsum(lengths)])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    marks = np.concatenate([[0], np.cumsum(has_mark(x))])
+    marks = np.concatenate([[0], np.cumsum(has_mark(x, begin))])
     starts, ends = [], []
     for r, n in enumerate(lengths):
         at = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
         a, b = begin[r] + at, begin[r] + np.minimum(at + WINDOW, n)
-        some = marks[b] > marks[a]
+        some = marks[np.minimum(b + STRIDE, begin[r] + n)] > marks[np.maximum(a - STRIDE, begin[r])]
         starts.append(a[some])
         ends.append(b[some])
     starts, ends = np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *ends])
@@ -400,6 +421,10 @@ def tag(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+#: An address without @ and digits, its signs in words: name (at) host dot com, name[at]host.com.
+_SPELT = re.compile(
+    r"[\w.%+-]+\s*[\[({<]?\s*\bat\b\s*[\])}>]?\s*[\w-]+(?:(?:\.|\s*[\[({<]?\s*\bdot\b\s*[\])}>]?\s*)[\w-]+)+", re.IGNORECASE
+)
 #: Least and most digits of a model span by kind, and least other requirement; others are noise.
 _DIGITS = {1: (4, 12), 2: (12, 19), 3: (7, 15)}
 
@@ -412,6 +437,8 @@ def plausible(text: str, span: tuple[int, int, int]) -> bool:
     part = text[start:end]
     digits = sum("0" <= c <= "9" for c in part)
     if kind == 0:
+        if not digits and "@" not in part:
+            return _SPELT.fullmatch(part) is not None
         return any(c.isalpha() for c in part) and re.search(r"@|\bat\b", part) is not None and re.search(r"\.|\bdot\b", part) is not None
     low, high = _DIGITS[kind]
     return low <= digits <= high and not any(c.isalpha() for c in part) and (kind != 2 or luhn(re.sub(r"[^0-9]", "", part)))
