@@ -47,6 +47,8 @@ def svd(
     are needed are computed: their number doubles until the energy is reached (a ratio
     above 1 keeps all). The components come from block subspace iteration over the
     smaller catalogue: vectors stay in tables, the driver sees m x m matrices only.
+    Their number also doubles if more are to be kept than have settled; once it takes
+    all columns the basis is the identity, which is exact.
     """
     n_users, n_items = users.select("user_id").distinct().count(), items.select("item_id").distinct().count()
     by_item = n_items <= n_users
@@ -60,13 +62,18 @@ def svd(
     m = columns if columns <= whole_columns else min(columns, first_k)
     basis = stage(_start(ids, col, m, columns), "svd-basis")
     while True:
-        basis, sigma, turn = _subspace(matrix, basis, row, col, m, m == columns)
+        basis, sigma, turn, settled = _subspace(matrix, basis, row, col, m, m == columns)
         keep = keep_count(sigma, total, energy_ratio, semantics)
-        if keep is not None or m == columns:
+        if m == columns or keep is not None and keep < settled:
             break
         wider = min(columns, 2 * m)
-        more = hashed_start("svd")(col, wider - m)
-        basis, m = stage(basis.select(col, F.concat("vec", F.transform(more, lambda x: x - 0.5)).alias("vec")), "svd-basis"), wider
+        if wider == columns:
+            wide = _start(ids, col, wider, columns)
+        else:
+            more = hashed_start("svd")(col, wider - m)
+            wide = basis.select(col, F.concat("vec", F.transform(more, lambda x: x - 0.5)).alias("vec"))
+        basis, m = stage(wide, "svd-basis"), wider
+    sigma = sigma[:settled]
     k = len(sigma) if keep is None else keep
     col_factors = stage(times_matrix(basis, "vec", turn[:, :k]), "svd-basis")
     if k == 0:
@@ -86,25 +93,29 @@ def _start(ids: DataFrame, col: str, m: int, columns: int) -> DataFrame:
     return ids.select(col, vec.alias("vec"))
 
 
-def _subspace(matrix: SparseMatrix, basis: DataFrame, row: str, col: str, m: int, whole: bool) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Orthonormal basis, singular values on it and the turn that sorts them.
+def _subspace(matrix: SparseMatrix, basis: DataFrame, row: str, col: str, m: int, whole: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """Orthonormal basis, singular values on it, the turn that sorts them and how many have settled.
 
     Each round multiplies the basis by A'A and makes it orthonormal again, in one sparse
     product each way; the values come from the m x m matrix of the products.
     """
-    before = np.zeros(m)
+    before, settled = np.zeros(m), m
     for _ in range(1 if whole else ROUNDS):
         if not whole:
             basis = _orthonormal(basis, m)
         image = stage(matrix.times(basis, m), "svd-image")
         values, turn = np.linalg.eigh(gram(image, "vec", m))
         sigma, turn = np.sqrt(np.maximum(values[::-1], 0)), turn[:, ::-1]
-        if whole or np.all(np.abs(sigma - before)[: max(1, m // 2)] <= REST * sigma[0]):
+        if whole:
+            break
+        moved = np.abs(sigma - before) > REST * sigma[0]
+        settled = int(np.argmax(moved)) if moved.any() else m
+        if settled >= max(1, m // 2):
             break
         before = sigma
         basis = stage(matrix.transposed_times(image, m), "svd-basis")
         unstage(image)
-    return basis, sigma, turn
+    return basis, sigma, turn, settled
 
 
 def _orthonormal(basis: DataFrame, m: int) -> DataFrame:
