@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, pii, pitman_yor, repeats, sharding, toxicity
+from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, pii, pitman_yor, repeats, sharding, toxicity, url_trees
 from tastemill.llm.common import remainder, table
 from tastemill.session import tune
 
@@ -64,6 +64,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
 
 
+URL_RULES = [
+    url_trees.Rule("allow", "org", "/"),
+    url_trees.Rule("block", "example.org", "/es/"),
+    url_trees.Rule("block", "example.org", "/en/1"),
+    url_trees.Rule("allow", "com", "/fr/"),
+    url_trees.Rule("block", "com", "/de/"),
+]
+
+
+def op13_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(tune(spark), folder, "pages").select("page_id", "url")
+    return url_trees.verdicts(pages, URL_RULES, carry=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -75,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op13_url_trees": op13_url_trees,
 }
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
