@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, pii, pitman_yor, repeats, sharding, toxicity, url_trees
+from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, merkle, pii, pitman_yor, repeats, sharding, toxicity, url_trees
 from tastemill.llm.common import remainder, table
 from tastemill.session import tune
 
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verdicts(documents(spark, folder, *merkle.FIELDS))
+
+
 URL_RULES = [
     url_trees.Rule("allow", "org", "/"),
     url_trees.Rule("block", "example.org", "/es/"),
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
     "op13_url_trees": op13_url_trees,
 }
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -138,10 +143,64 @@ select any_value(a.doc_id) doc_id, any_value(len(a.s))::bigint n_shingles, min(b
 from reach join sets a on a.r = reach.r join sets b on b.r = z group by a.r
 """
 
+
+
+def merkle_sql(leaf_levels: int = 7, top_levels: int = 5) -> str:
+    """Levels of 16 unrolled, enough for 16 ** 7 documents of a source and 16 ** 5 sources."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256(concat({', '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+    def raised(name: str, levels: int) -> str:
+        return "".join(
+            f"{name}run{k} as (select g, r // 16 r, string_agg(d, '' order by r) s, (n + 15) // 16 n from {name}{k - 1} where n > 1 group by 1, 2, n),\n"
+            f"{name}{k} as (select g, r, sha256(s) d, n from {name}run{k}),\n"
+            for k in range(1, levels + 1)
+        )
+
+    def last(name: str, levels: int) -> str:
+        return " union all ".join(f"select g, d from {name}{k} where n = 1" for k in range(levels + 1))
+
+    def folded(name: str, levels: int) -> tuple[str, str, str]:
+        joins, siblings, steps = "", [], ""
+        for k in range(1, levels + 1):
+            at = f"64 * (({name}.r // {16 ** (k - 1)}) % 16)"
+            joins += f" left join {name}run{k} {name}_{k} on {name}_{k}.g = {name}.g and {name}_{k}.r = {name}.r // {16 ** k}"
+            siblings.append(f"coalesce(left({name}_{k}.s, {at}) || substr({name}_{k}.s, {at} + 65), '')")
+            steps += f", {name}_{k}.s {name}s{k}, {at} {name}at{k}"
+        return joins, " || ".join(siblings), steps
+
+    leaf_joins, leaf_siblings, leaf_steps = folded("a", leaf_levels)
+    top_joins, top_siblings, top_steps = folded("b", top_levels)
+    names = [f"a{{}}{k}" for k in range(1, leaf_levels + 1)] + [f"b{{}}{k}" for k in range(1, top_levels + 1)]
+    up = "".join(
+        f", u{k + 1} as (select * exclude (f), case when {n.format('s')} is null then f else sha256(left({n.format('s')}, {n.format('at')}) || f || substr({n.format('s')}, {n.format('at')} + 65)) end f from u{k})"
+        for k, n in enumerate(names)
+    )
+    return f"""
+with crc as (select list(v order by i) t from (select i, list_reduce([i] || range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from range(256) z(i))),
+docs as (select *, translate(text, '{UPPER}', '{DOWN}') low,
+  xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) crc from documents, crc),
+leaves as (select doc_id, coalesce('=' || source, '') g, {leaf('text')} d, case when crc % 5 = 0 then {leaf('low')} end changed from docs),
+a0 as (select *, row_number() over (partition by g order by doc_id nulls first, d) - 1 r, count(*) over (partition by g) n from leaves),
+{raised('a', leaf_levels)}subroots as ({last('a', leaf_levels)}),
+b0 as (select '' g, g name, d, row_number() over (order by g) - 1 r, count(*) over () n from subroots),
+{raised('b', top_levels)}root as ({last('b', top_levels)}),
+upper_tree as (select b.name, b.d subroot, {top_siblings} p{top_steps} from b0 b{top_joins}),
+proofs as (select a.doc_id, a.d leaf, coalesce(a.changed, a.d) f, a.g g, {leaf_siblings} p{leaf_steps} from a0 a{leaf_joins}),
+u0 as (select proofs.* exclude (p), upper_tree.* exclude (p), proofs.p || upper_tree.p p, root.d root from proofs join upper_tree on proofs.g = name, root){up}
+select doc_id, leaf, subroot, root, sha256(p) proof_sha256, f folded_root, f = root verified from u{len(names)}
+"""
+
+
 #: The others hold trained models, token ids or a partition that SQL cannot state; tests compare them
 #: with plain Python.
 ORACLES: dict[str, str] = {
     "op2_repeats": REPEATS_SQL,
     "op5_decontaminate": DECONTAMINATE_SQL,
     "op9_jaccard": JACCARD_SQL,
+    "op11_merkle": merkle_sql(),
 }
