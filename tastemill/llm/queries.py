@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, decontaminate, fertility, jaccard, langid, merkle, pii, pitman_yor, repeats, sharding, toxicity, url_trees
+from tastemill.llm import bond, bpe, decontaminate, fertility, jaccard, langid, merkle, pii, pitman_yor, repeats, sharding, toxicity, url_trees
 from tastemill.llm.common import remainder, table
 from tastemill.session import tune
 
@@ -68,6 +68,12 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verdicts(documents(spark, folder, *merkle.FIELDS))
 
 
+def op12_bond(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(tune(spark), folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 URL_RULES = [
     url_trees.Rule("allow", "org", "/"),
     url_trees.Rule("block", "example.org", "/es/"),
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_bond": op12_bond,
     "op13_url_trees": op13_url_trees,
 }
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -196,6 +203,18 @@ select doc_id, leaf, subroot, root, sha256(p) proof_sha256, f folded_root, f = r
 """
 
 
+BOND_SQL = """
+with e as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+  list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r ar, a.vec_id anchor_id, a.l = e.l same, e.r, e.vec_id, list_dot_product(a.v, e.v)::bigint score from e a, e where a.vec_id % 50 = 0 and a.r <> e.r),
+p as (select * from s where same qualify row_number() over (partition by ar order by score desc, vec_id, r) <= 5),
+f as (select p.anchor_id, p.vec_id positive_id, n.vec_id negative_id, p.score positive_score, n.score negative_score,
+  row_number() over (partition by p.ar, p.r order by n.score desc, n.vec_id, n.r) k
+  from p join s n on n.ar = p.ar and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, k::int "rank", negative_id, positive_score, negative_score from f where k <= 3
+"""
+
 #: The others hold trained models, token ids or a partition that SQL cannot state; tests compare them
 #: with plain Python.
 ORACLES: dict[str, str] = {
@@ -203,4 +222,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": DECONTAMINATE_SQL,
     "op9_jaccard": JACCARD_SQL,
     "op11_merkle": merkle_sql(),
+    "op12_bond": BOND_SQL,
 }
