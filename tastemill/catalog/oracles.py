@@ -565,6 +565,8 @@ ORACLES: dict[str, str] = {
     "graph_transitions": sql("""select user_id, item_id, round(1 / du, 6) p_item, round(1 / ds, 6) p_user
         from edges join user_deg using (user_id) join item_deg using (item_id)"""),
     "walk_recommend": sql("select * from walk_top"),
+    "walk_push": sql("select * from walk_top"),
+    "walk_table": sql("select user_id, item_id, round(score, 6) + 0.0 score from walk_cells where user_id % 50 = 0 and score >= 1e-6"),
     "walk_recommend_corrected": sql(walk_lists("ds / du")),
     "eval_hot": sql(evaluation("hot_lists", "order_new", "part", "p_partkey")),
     "eval_hot_corrected": sql(evaluation("hot_lists", "order_new", "part", "p_partkey", "1")),

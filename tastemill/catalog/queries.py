@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.functions import encode
 from tastemill.functions.vectors import unit
 from tastemill.operators import baskets, cooccur, cosine, features, sampling, split
-from tastemill.plans import als, embed, evaluate as ev, factors, item_cf, lottery, popular, rules, svd, walk
+from tastemill.operators.rank import ordering
+from tastemill.plans import als, embed, evaluate as ev, factors, item_cf, lottery, popular, push, rules, svd, walk
 from tastemill.plans.workspace import Workspace, workspace
 from tastemill.session import stage, staging_root
 from tastemill.sources import files, sinks, tables
@@ -25,16 +27,21 @@ SHIFT_SUPPORT, SHIFT_CONFIDENCE = 0.02, 0.05
 WALK_TOLERANCE = 1e-12
 
 
-def query(build: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: shown(build(workspace(spark, folder)))
-    return build
-
-
 def shown(df: DataFrame) -> DataFrame:
     """Lists with their scores rounded; they are ranked on the scores as they are."""
     return rounded(df, *({"score", "sim"} & set(df.columns))) if "rank" in df.columns else df
 
 
+def significant(df: DataFrame) -> DataFrame:
+    """Lists whose scores are too small for fixed decimals, to the bits that they are ranked on."""
+    return df.withColumn("score", ordering(F.col("score")).cast("double"))
+
+
+def query(build: Callable[[Workspace], DataFrame], show: Callable[[DataFrame], DataFrame] = shown) -> Callable[[Workspace], DataFrame]:
+    QUERIES[build.__name__] = lambda spark, folder: show(build(workspace(spark, folder)))
+    return build
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
@@ -549,7 +556,7 @@ def als_predictions(w):
     return rounded(factors.predict_cells(_als(w), w.events.new.select("user_id", "item_id", "rating")), "pred")
 
 
-@query
+@partial(query, show=significant)
 def als_recommend_wide(w):
     """Forty factors from hashed start values."""
     e = w.events
@@ -605,6 +612,22 @@ def walk_recommend_corrected(w):
     return walk.recommend_walk(_walk(w, "corrected"), w.events.users, w.events.items)
 
 
+@query
+def walk_push(w):
+    """The walk's lists by forward push, from the ten best items of each source."""
+    edges = stage(walk.graph_edges(w.events.centred), "graph")
+    scores = push.push_scores(edges, w.events.users, tolerance=WALK_TOLERANCE, top=10)
+    return walk.recommend_walk(scores.select("user_id", "item_id", "score"), w.events.users, w.events.items)
+
+
+@query
+def walk_table(w):
+    """The score table [user, item] of chosen sources: users whose id is divisible by 50."""
+    edges = stage(walk.graph_edges(w.events.centred), "graph")
+    scores = push.push_scores(edges, w.events.users.where("user_id % 50 = 0"), tolerance=1e-9)
+    return rounded(scores.where("score >= 1e-6").select("user_id", "item_id", "score"), "score")
+
+
 EMBED_SIZE, EMBED_MIN_COUNT = 32, 5
 
 
