@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tastemill.session import stage
 
 #: Rows of a block, anchors of a group that scans it together, dimensions between two looks at the bounds.
-BLOCK, GROUP, STEP = 2048, 512, 8
+BLOCK, GROUP, STEP = 4096, 512, 8
 #: Tasks of a scan at most; a task takes several pairs of block and group beyond that.
 TASKS = 20_000
 
@@ -66,7 +66,7 @@ class Block:
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
-    """Rows of integers; shorter vectors are padded with 0. Whole numbers are exact in float64 below 2 ** 53."""
+    """Rows of integers; shorter vectors are padded with 0."""
     offsets = vectors.offsets.to_numpy().astype(np.int64)
     values = vectors.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
@@ -78,19 +78,23 @@ def matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def suited(columns: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both of one width, in float64 where all sums are exact there, else in 64-bit integers."""
+    """Both of one width, in the narrowest type in which all sums are exact whole numbers."""
     width = min(len(columns), anchors.shape[1])
     columns, anchors = columns[:width], anchors[:, :width]
     size = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
     bound = 2 * width * size(columns) * size(anchors)
     if bound >= 1 << 62:
         raise ValueError("scores beyond 64 bits")
-    kind = np.float64 if bound < 1 << 53 else np.int64
+    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
     return columns.astype(kind), anchors.astype(kind)
 
 
-def scan(columns: np.ndarray, limits: tuple, anchor: np.ndarray, alive: np.ndarray, keep: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates that ``keep(lowest, highest)`` never ruled out, and their exact scores."""
+def scan(columns: np.ndarray, limits: tuple, anchor: np.ndarray, alive: np.ndarray, ranges: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that the bounds never ruled out, and their exact scores.
+
+    A score lies between its sum so far plus ``least`` and plus ``most``, which are the same for all
+    candidates; so ``ranges(sums, least, most)`` says which sums stay, as disjoint ranges.
+    """
     order = np.argsort(-np.abs(anchor), kind="stable")
     ends = np.stack([anchor * limits[0], anchor * limits[1]])[:, order]
     rest = np.zeros((2, len(order) + 1), columns.dtype)
@@ -99,9 +103,12 @@ def scan(columns: np.ndarray, limits: tuple, anchor: np.ndarray, alive: np.ndarr
     score = np.zeros(len(alive), columns.dtype)
     for at in range(0, len(order), STEP):
         dims = order[at : at + STEP]
-        score += anchor[dims] @ columns[np.ix_(dims, alive)]
+        if 4 * len(alive) > columns.shape[1]:  # whole columns are read faster than chosen rows
+            score += (anchor[dims] @ columns[dims])[alive]
+        else:
+            score += anchor[dims] @ columns[np.ix_(dims, alive)]
         done = min(at + STEP, len(order))
-        stay = keep(score + rest[0, done], score + rest[1, done])
+        stay = inside(score, ranges(score, rest[0, done].item(), rest[1, done].item()))
         if not stay.all():
             alive, score = alive[stay], score[stay]
             if not len(alive):
@@ -109,31 +116,45 @@ def scan(columns: np.ndarray, limits: tuple, anchor: np.ndarray, alive: np.ndarr
     return alive, score
 
 
+def inside(score: np.ndarray, ranges: list[tuple]) -> np.ndarray:
+    stay = np.zeros(len(score), bool)
+    for low, high in ranges:
+        stay |= (score >= low) if high is None else (score >= low) & (score <= high)
+    return stay
+
+
 def among_best(count: int) -> Callable:
-    """Candidates that may be among the ``count`` best: not surely below as many others."""
+    """Sums that may be among the ``count`` best: not surely below as many others."""
 
-    def keep(low, high):
-        if len(low) <= count:
-            return np.ones(len(low), bool)
-        return high >= np.partition(low, len(low) - count)[len(low) - count]
+    def ranges(score, least, most):
+        if len(score) <= count:
+            return [(score.min(), None)]
+        return [(np.partition(score, len(score) - count)[len(score) - count].item() + least - most, None)]
 
-    return keep
+    return ranges
 
 
 def among_windows(windows: list[tuple[int, int]], count: int) -> Callable:
-    """Candidates that may be among the ``count`` best inside one of the windows."""
+    """Sums that may be among the ``count`` best inside one of the windows."""
 
-    def keep(low, high):
-        stay = np.zeros(len(low), bool)
+    def ranges(score, least, most):
+        found = []
         for a, b in windows:
-            may = (high >= a) & (low <= b)
-            sure = low[(low >= a) & (high <= b)]
-            if len(sure) >= count:
-                may &= high >= np.partition(sure, len(sure) - count)[len(sure) - count]
-            stay |= may
-        return stay
-
-    return keep
+            low = a - most
+            if most - least <= b - a:  # a score can be surely inside
+                sure = score[(score >= a - least) & (score <= b - most)]
+                if len(sure) >= count:
+                    low = max(low, np.partition(sure, len(sure) - count)[len(sure) - count].item() + least - most)
+            found.append((low, b - least))
+        merged = []
+        for low, high in sorted(found):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        return merged
+
+    return ranges
 
 
 def best(block: Block, alive: np.ndarray, score: np.ndarray, count: int) -> list[tuple]:
@@ -160,8 +181,8 @@ def other_labels(block: Block, columns: np.ndarray, anchor: np.ndarray, own: dic
         limits = tuple(x[: len(columns)] for x in block.limits(0, len(block.rows)))
         alive, score = scan(columns, limits, anchor, alive, among_windows(list(windows.values()), task.negatives))
         for positive, (low, high) in windows.items():
-            inside = (score >= low) & (score <= high)
-            for found in best(block, alive[inside], score[inside], task.negatives):
+            fits = inside(score, [(low, high)])
+            for found in best(block, alive[fits], score[fits], task.negatives):
                 yield (own["row"], positive, *found)
 
 
