@@ -35,8 +35,10 @@ class Rule(NamedTuple):
 
 #: The operator's own rule, and that of near-duplicate stages.
 JOIN, NEAR = Rule(3, 100, 90), Rule(5, 100, 80)
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point: a power of two that leaves at most ``PER_GROUP`` shingles of an average set
+#: in a group, from ``GROUPS`` on. Few groups cannot tell long sets apart: counts of very many
+#: shingles are alike whatever the shingles are.
+GROUPS, PER_GROUP = 64, 8
 #: Documents of the sample that tells frequent shingles, least documents of such a shingle, most of them.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 2000, 4, 200_000
 #: Points with one key that one task takes; more are dealt out as pairs of blocks.
@@ -76,35 +78,70 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = JOIN.size) -
     return value, np.searchsorted(owner, np.arange(rows + 1))
 
 
-def points(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def points(value: np.ndarray, offsets: np.ndarray, width: int = GROUPS) -> np.ndarray:
     rows = len(offsets) - 1
     owner = np.repeat(np.arange(rows), np.diff(offsets))
-    return np.bincount(owner * GROUPS + (value % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS).astype(np.int32)
+    return np.bincount(owner * width + (value % np.uint64(width)).astype(np.int64), minlength=rows * width).reshape(rows, width).astype(np.int32)
+
+
+def bands(sizes: np.ndarray, rule: Rule = JOIN) -> np.ndarray:
+    """Band of each size; bounds grow by the largest ratio of sizes that sets which link can have."""
+    return np.ceil(np.log(np.maximum(sizes, 1)) / np.log(rule.part / rule.whole) + 1e-9).astype(np.int64)
+
+
+def resolutions(band: np.ndarray, rule: Rule = JOIN) -> np.ndarray:
+    """Coordinates of the points that meet in a band, from the largest size in it."""
+    largest = (rule.part / rule.whole) ** band.astype(float)
+    return np.maximum(GROUPS, 2 ** np.ceil(np.log2(np.maximum(largest / PER_GROUP, 1))).astype(np.int64))
+
+
+def banded_points(value: np.ndarray, offsets: np.ndarray, band: np.ndarray, rule: Rule = JOIN, but: np.ndarray | None = None) -> list[bytes]:
+    """Each set's packed point at the resolution of its band; empty where that is the one in ``but``."""
+    wide = resolutions(band, rule)
+    if but is not None:
+        wide = np.where(wide == but, 0, wide)
+    out: list[bytes] = [b""] * len(band)
+    for width in np.unique(wide[wide > 0]).tolist():
+        at = np.flatnonzero(wide == width)
+        sizes = offsets[at + 1] - offsets[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        held = value[np.repeat(offsets[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        step = max(1, (1 << 22) // width)  # bounded memory for very wide points
+        for a in range(0, len(at), step):
+            b = min(a + step, len(at))
+            for k, blob in zip(at[a:b], packed(points(held[ends[a] : ends[b]], ends[a : b + 1] - ends[a], width))):
+                out[k] = blob
+    return out
 
 
 def packed(counts: np.ndarray) -> list[bytes]:
-    """Points in as few bytes as their counts need: one, two or four for each coordinate."""
-    return [p.astype(np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int32).tobytes() for p in counts]
+    """Points in as few bytes as their counts need: one, two or four for each coordinate, after their number."""
+    kinds = [np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int32 for p in counts]
+    return [bytes([np.dtype(kind).itemsize]) + p.astype(kind).tobytes() for kind, p in zip(kinds, counts)]
+
+
+def widths(blobs: list[bytes]) -> np.ndarray:
+    return np.array([(len(b) - 1) // b[0] for b in blobs], np.int64)
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.int32}
-    out = np.zeros((len(blobs), GROUPS), np.int32)
-    sizes = np.array([len(b) for b in blobs])
-    for size, kind in kinds.items():
+    """Points of one width."""
+    width = int(widths(blobs[:1])[0]) if blobs else GROUPS
+    out = np.zeros((len(blobs), width), np.int32)
+    sizes = np.array([b[0] for b in blobs])
+    for size, kind in ((1, np.uint8), (2, np.uint16), (4, np.int32)):
         at = np.flatnonzero(sizes == size)
-        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), kind).reshape(-1, GROUPS)
+        out[at] = np.frombuffer(b"".join(blobs[k][1:] for k in at), kind).reshape(-1, width)
     return out
 
 
 def meeting_keys(first: np.ndarray, ends: np.ndarray, sizes: np.ndarray, rule: Rule = JOIN) -> tuple[np.ndarray, np.ndarray]:
     """Keys under which sets that can link meet: a first shingle and a band of sizes.
 
-    The bands' bounds grow by the largest ratio that sets which link can have. A set goes to its own
-    band and to the next, so two sets whose sizes allow a link share a band.
+    A set goes to its own band and to the next, in turn, so two sets whose sizes allow a link share a
+    band.
     """
-    band = np.ceil(np.log(np.maximum(sizes, 1)) / np.log(rule.part / rule.whole) + 1e-9).astype(np.uint64)
-    own = np.repeat(band, np.diff(ends))
+    own = np.repeat(bands(sizes, rule).astype(np.uint64), np.diff(ends))
     both = np.stack([mix(first ^ mix(own)), mix(first ^ mix(own + np.uint64(1)))], axis=1)
     return both.ravel(), 2 * ends
 
@@ -143,28 +180,30 @@ def frequent_shingles(docs: DataFrame, text: str, rows: int = SAMPLE_DOCS, rule:
 
 
 def signatures(docs: DataFrame, text: str = "text", carry: list[str] | None = None, rule: Rule = JOIN) -> DataFrame:
-    """Add ``n_shingles``, ``key`` (digest of the set; null if it is empty), ``point``, ``meets`` (keys)."""
+    """Add ``n_shingles``, ``key`` (digest of the set; null if it is empty), ``firsts`` (the first
+    shingles) and ``points``: at the resolution of the set's band, and of the next if that differs."""
     frequent = frequent_shingles(docs, text, rule=rule)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
     def work():
         def step(batch):
             value, offsets = shingle_sets(*raw(batch.column(text)), rule.size)
-            counts = points(value, offsets)
-            meets, ends = meeting_keys(*firsts(value, offsets, shared.value, rule), np.diff(offsets), rule)
+            band = bands(np.diff(offsets), rule)
+            both = zip(banded_points(value, offsets, band, rule), banded_points(value, offsets, band + 1, rule, resolutions(band, rule)))
+            first, ends = firsts(value, offsets, shared.value, rule)
             cut = offsets.tolist()
             blob = value.tobytes()
             keys = [hashlib.md5(blob[8 * a : 8 * b]).digest() if b > a else None for a, b in zip(cut, cut[1:])]
             return {
                 "n_shingles": np.diff(offsets),
                 "key": pa.array(keys, pa.binary()),
-                "point": pa.array(packed(counts), pa.binary()),
-                "meets": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(meets.astype(np.int64))),
+                "points": pa.array([[a, b] if b else [a] for a, b in both], pa.list_(pa.binary())),
+                "firsts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.astype(np.int64))),
             }
 
         return step
 
-    return map_texts(docs, work, "n_shingles long, key binary, point binary, meets array<long>", text, carry)
+    return map_texts(docs, work, "n_shingles long, key binary, points array<binary>, firsts array<long>", text, carry)
 
 
 # -- the tree ----------------------------------------------------------------------------------------
@@ -253,6 +292,37 @@ def _groups(rows: DataFrame, group: str) -> DataFrame:
     return stage(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"), "jaccard-groups")
 
 
+def _tokens(distinct: DataFrame, rule: Rule) -> DataFrame:
+    """``key``, ``token``, ``next``: the meeting keys of each set; is it that of the next band?"""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("firsts")
+            ends = column.offsets.to_numpy().astype(np.int64)
+            first = column.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+            tokens, cut = meeting_keys(first, ends - ends[0], batch.column("n_shingles").to_numpy(), rule)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            step = 1 << 17
+            for a in range(0, len(tokens), step):
+                part = slice(a, a + step)
+                both = np.arange(a, min(a + step, len(tokens))) % 2 == 1
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at[part])), pa.array(tokens[part].view(np.int64)), pa.array(both)], names=["key", "token", "next"])
+
+    return distinct.select("key", "n_shingles", "firsts").mapInArrow(run, "key binary, token long, next boolean")
+
+
+def _meetings(dealt: DataFrame) -> DataFrame:
+    """Tokens of two sets or more, with their numbers of sets; one token of those with the same sets.
+
+    Near copies share very many first shingles, and meet once under all of them. Most tokens are of one
+    set; these are only counted.
+    """
+    shared = _groups(dealt, "token")
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"_x{k}") for k in (0, 1)]
+    found = _kept(dealt.select("token", "key"), "token", shared).groupBy("token").agg(F.count("*").alias("_n"), *marks).where("_n > 1")
+    return stage(found.groupBy("_n", "_x0", "_x1").agg(F.min("token").alias("token")).select("token", "_n"), "jaccard-groups")
+
+
 def _kept(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose long ``column`` may be among ``values``; a filter of bounded size tells the others.
 
@@ -323,28 +393,51 @@ def _candidate_links(table: pa.Table, names: list[str], rule: Rule):
     """Links by the bound alone: all pairs of small groups, spanning links of larger ones."""
     cut = _bounds(table, names)
     keys = table.column("key").to_pylist()
-    counts = unpacked(table.column("point").to_pylist())
+    blobs = table.column("point").to_pylist()
     sizes = table.column("n_shingles").to_numpy()
+    wide = widths(blobs)
     group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     many = np.diff(cut)
-    for step in range(1, FEW):
-        at = np.flatnonzero((group[step:] == group[:-step]) & (many[group[step:]] <= FEW))
-        for a in range(0, len(at), 1 << 15):
-            left = at[a : a + (1 << 15)]
-            right = left + step
-            total = sizes[left] + sizes[right]
-            good = reaches(np.minimum(sizes[left], sizes[right]), total, rule)
-            left, right, total = left[good], right[good], total[good]
-            good = reaches(np.minimum(counts[left], counts[right]).sum(axis=1), total, rule)
-            if good.any():
-                yield _edges(keys, left[good], right[good])
+    small = many[group] <= FEW
+    for width in np.unique(wide[small]).tolist():  # sets that meet have points of one width
+        rows = np.flatnonzero(small & (wide == width))
+        for a, b in _runs(group[rows], max(1 << 12, (1 << 23) // width)):
+            own = rows[a:b]
+            counts = unpacked([blobs[k] for k in own])
+            for left, right in _close_pairs(counts, sizes[own], group[own], rule):
+                yield _edges(keys, own[left], own[right])
     for g in np.flatnonzero(many > FEW).tolist():
         rows = slice(int(cut[g]), int(cut[g + 1]))
-        left, right = spanning(counts[rows], sizes[rows], rule=rule)
+        left, right = spanning(unpacked(blobs[rows]), sizes[rows], rule=rule)
         if len(left):
             yield _edges(keys[rows], left, right)
 
 
+def _runs(group: np.ndarray, limit: int):
+    """Slices of about ``limit`` rows that divide no group."""
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    cuts = [0] if len(group) else []
+    for b in begins.tolist():
+        if b - cuts[-1] >= limit:
+            cuts.append(b)
+    return zip(cuts, [*cuts[1:], len(group)])
+
+
+def _close_pairs(counts: np.ndarray, sizes: np.ndarray, group: np.ndarray, rule: Rule):
+    """Pairs of rows of a group that the bound lets link; groups have at most ``FEW`` rows, in a row."""
+    piece = max(1, (1 << 21) // counts.shape[1])
+    for step in range(1, FEW):
+        at = np.flatnonzero(group[step:] == group[:-step])
+        left, right = at, at + step
+        good = reaches(np.minimum(sizes[left], sizes[right]), sizes[left] + sizes[right], rule)
+        left, right = left[good], right[good]
+        for a in range(0, len(left), piece):
+            x, y = left[a : a + piece], right[a : a + piece]
+            good = reaches(np.minimum(counts[x], counts[y]).sum(axis=1), sizes[x] + sizes[y], rule)
+            if good.any():
+                yield x[good], y[good]
+
+
 def _verified_links(table: pa.Table, names: list[str], rule: Rule):
     """Spanning links by the shingles themselves."""
     cut = _bounds(table, names)
@@ -366,7 +459,7 @@ def _verified_links(table: pa.Table, names: list[str], rule: Rule):
                 out[k] = rule.part * same >= rule.whole * (len(mine) + len(theirs) - same)
             return out
 
-        left, right = spanning(points(flat, ends), sizes, verify, rule)
+        left, right = spanning(points(flat, ends, int(resolutions(bands(sizes.max(keepdims=True), rule), rule)[0])), sizes, verify, rule)
         if len(left):
             yield _edges(keys[a:b], left, right)
 
@@ -386,12 +479,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", togethe
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carry)
     signed = stage(signatures(docs, carry=["doc_id", *carry], rule=rule), "jaccard-sets")
     rows = signed.where("key IS NOT NULL")
-    one = (F.first(c).alias(c) for c in ("n_shingles", "point", "meets"))
+    one = (F.first(c).alias(c) for c in ("n_shingles", "points", "firsts"))
     distinct = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *one), "jaccard-distinct")
 
-    dealt = distinct.select("key", F.explode("meets").alias("token"))
-    shared = _groups(dealt, "token")
-    dealt = _blocks(_kept(dealt, "token", shared), "token", shared, together).join(distinct.select("key", "n_shingles", "point"), "key")
+    tokens = _tokens(distinct, rule)
+    shared = _meetings(tokens)
+    dealt = _blocks(_kept(tokens, "token", shared), "token", shared, together).join(distinct.select("key", "n_shingles", "points"), "key")
+    dealt = dealt.withColumn("point", F.when(F.col("next"), F.element_at("points", -1)).otherwise(F.element_at("points", 1)))
     rough = components(_by_group(dealt.select("token", "cell", "key", "n_shingles", "point"), ["token", "cell"], partial(_candidate_links, rule=rule), "a binary, b binary"))
 
     # the shingles of the sets in a rough component, from one text of each

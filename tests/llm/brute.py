@@ -121,11 +121,11 @@ def unigram(rows):
         yield d, held[k], len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)
 
 
-def jaccard(rows, part=100, whole=90):
+def jaccard(rows, part=100, whole=90, size=3):
     sets = []
     for _, t in rows:
         w = re.findall(SPACE, lower(t))
-        sets.append({tuple(w[a : a + 3]) for a in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def top(x):

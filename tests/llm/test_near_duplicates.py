@@ -79,3 +79,34 @@ def test_first_shingles_and_bands_meet_at_the_stages_rule():
         first, cut = jaccard.firsts(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.zeros(0, np.uint64), rule)
         if 100 * len(b) >= 80 * len(a) and len(b):
             assert len(np.intersect1d(first[: cut[1]], first[cut[1] :]))
+
+
+def test_unrelated_long_sets_are_told_apart():
+    """In every class of sizes below 1 % of random pairs pass the bound, while links always do."""
+    rule, draw = jaccard.NEAR, np.random.default_rng(6)
+    for size in (30, 100, 300, 600, 1200, 2500, 5000, 12_000, 40_000):
+        band = jaccard.bands(np.array([size]), rule)
+        width = int(jaccard.resolutions(band, rule)[0])
+        sets = [np.unique(draw.integers(0, 1 << 62, size).astype(np.uint64)) for _ in range(40)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        blobs = jaccard.banded_points(np.concatenate(sets), ends, np.repeat(band, 40), rule)
+        assert (jaccard.widths(blobs) == width).all()
+        counts = jaccard.unpacked(blobs)
+        passed = sum(bool(jaccard.reaches(np.minimum(counts[a], counts[b]).sum(), 2 * size, rule)) for a in range(40) for b in range(a))
+        assert passed < 0.01 * 780
+        near = np.concatenate([sets[0][: int(0.9 * size)], sets[1][: size - int(0.9 * size)]])
+        point = jaccard.points(near, np.array([0, len(near)]), width)[0]
+        same = len(np.intersect1d(near, sets[0]))
+        assert rule.part * same >= rule.whole * (len(near) + size - same) and jaccard.reaches(np.minimum(point, counts[0]).sum(), len(near) + size, rule)
+
+
+def test_long_near_copies_among_unrelated_long_texts(spark):
+    """Texts of 3,000 words that share a passage, two of them near copies: one class, the others alone."""
+    draw = np.random.default_rng(2)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(passage + [f"x{v}" for v in draw.integers(0, 1 << 40, 3000)])) for k in range(30)]
+    words = rows[4][1].split()
+    rows.append((99, changed(words, set(draw.choice(len(words), 60, replace=False).tolist()))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs, rule=jaccard.NEAR, together=8).collect()}
+    assert found == {**{k: k for k in range(30)}, 99: 4}

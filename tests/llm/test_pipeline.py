@@ -53,7 +53,7 @@ def test_quality_stage(chain):
 def test_near_duplicate_stage(chain):
     before, after = chain[2][1]
     groups = {}
-    for r, (_, _, least) in zip(before, brute.jaccard([(r["doc_id"], r["text"]) for r in before])):
+    for r, (_, _, least) in zip(before, brute.jaccard([(r["doc_id"], r["text"]) for r in before], size=5, part=100, whole=80)):
         if r["doc_id"] == least:
             groups[repr((r["doc_id"], r["text"]))] = 1
     assert sorted(groups) == texts(after) and len(after) < len(before)
