@@ -189,13 +189,51 @@ def test_pipelines_with_hot_keys(tiny, every_key_is_hot):
     assert low[1] == [(2, 1.0), (3, 1.0), (5, 1.0)]
 
 
-def test_shuffled_product(tiny, monkeypatch):
-    """Item CF without the broadcast of the weights."""
-    monkeypatch.setattr(item_cf, "BROADCAST_ROWS", -1)
+def test_blocked_product(tiny, monkeypatch):
+    """Unrated item CF in the smallest cells: one user, few targets and sums at a time."""
+    for name in ("CELL_RATINGS", "CELL_WEIGHTS", "CELL_SUMS"):
+        monkeypatch.setattr(item_cf, name, 1)
     model = item_cf.ItemCF(tiny.centred, T.tiny_baskets(tiny))
     T.near(lists(item_cf.recommend_unrated(model, tiny.users, tiny.items)), T.UNRATED_LISTS)
 
 
+def test_blocked_product_is_the_plain_one(spark, monkeypatch):
+    """Random ratings and baskets, some of them large, against sums in plain Python; n rows per user and block."""
+    rng = np.random.default_rng(9)
+    rated = {(int(u), int(i)): float(c) for u, i, c in zip(rng.integers(0, 25, 220), rng.integers(0, 40, 220), rng.normal(0, 1, 220).round(3))}
+    rows = {(int(b), int(i)) for b, i in zip(rng.integers(0, 30, 160), rng.integers(0, 40, 160))} | {(99, i) for i in range(0, 40, 2)}
+    size = {b: sum(x == b for x, _ in rows) for b, _ in rows}
+    ratings = stage(spark.createDataFrame([(u, i, 1.0, 0, c) for (u, i), c in rated.items()], "user_id long, item_id long, rating double, ts long, centred double"), "r")
+    baskets = stage(spark.createDataFrame([(b, 0, i, size[b]) for b, i in rows], "user_id long, basket_no long, item_id long, basket_size long"), "b")
+    raters = {i: sum(x == i for _, x in rated) for i in range(40)}
+    weight = {}
+    for b in size:
+        held = [i for x, i in rows if x == b]
+        for i in held:
+            for j in held:
+                if i != j and raters[i] and raters[j]:
+                    weight[i, j] = weight.get((i, j), 0) + 1 / (raters[i] * raters[j]) ** 0.5
+    want = {}
+    for (u, j), c in rated.items():
+        for (i, k), w in weight.items():
+            if k == j and (u, i) not in rated:
+                want[u, i] = want.get((u, i), 0.0) + w * c
+    for chunk, ratings_of, weights_of, sums in ((256, 2_000_000, 4_000_000, 2_000_000), (8, 30, 20, 50)):
+        monkeypatch.setattr(item_cf, "CELL_RATINGS", ratings_of)
+        monkeypatch.setattr(item_cf, "CELL_WEIGHTS", weights_of)
+        monkeypatch.setattr(item_cf, "CELL_SUMS", sums)
+        model = item_cf.ItemCF(ratings, baskets, chunk)
+        assert model.has_large == (chunk == 8)
+        got = {(r["user_id"], r["item_id"]): r["score"] for r in model.predict_unrated().collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        best = model.predict_unrated(top=2).collect()
+        lists_of = lists(rank.top_n(spark.createDataFrame(best), 2))
+        for u in range(25):
+            mine = sorted(((-np.float32(s), i) for (v, i), s in want.items() if v == u and s > 1e-12))[:2]
+            assert [i for i, _ in lists_of.get(u, [])] == [i for _, i in mine]
+        assert len(best) < len(want)
+
+
 def test_walk_from_either_side(tiny):
     """Few sources use the user side, many the item side; the scores agree."""
     edges = walk.graph_edges(tiny.centred)
