@@ -1,41 +1,65 @@
 """Operator 7: a hierarchical Pitman-Yor language model, its seating sampled by Gibbs.
 
-Words are customers of one restaurant. Its dishes come from restaurants of bytes, one for each
-context of two bytes, which share parents: the contexts of one byte, and these the empty context,
-above which all bytes are equally likely. So a word never seen still has a probability, spelled.
-Each sweep seats the customers of every dish anew, given the other restaurants: a customer opens a
-table in proportion to the parent's probability, and each table is a customer of the parent.
-Predictive probabilities are averaged over the kept sweeps.
+Three kinds of restaurants. Words are customers of the restaurant of the word before them; these
+context restaurants share one parent, the restaurant of single words; its dishes come from
+restaurants of bytes, one for each context of two bytes, which share parents down to the empty
+context, above which all bytes are equally likely. So a word never seen still has a probability,
+spelled. Each table of a restaurant is a customer of its parent. The most frequent words (by counts
+over all training texts) have a restaurant each as contexts, rarer ones share ``SHARED`` by hash, so
+the number of restaurants has a bound that does not hang on the input; no word or pair is left out.
 
-Spark counts the words of all training texts and holds them by hash in buckets. A seat depends on
-the word, its count and the sweep through counter-based random numbers, so seatings need no store:
-every task that needs one computes it again. Texts are scored where the words are: each task meets
-the words of a bucket with the documents' uses of them and sends back sums per document.
+Each sweep seats the customers of every dish anew, given the other restaurants: a customer opens a
+table in proportion to the parent's probability. A word's pairs and its own tables are seated in
+``INNER`` turns within a sweep. Predictive probabilities are averaged over the kept sweeps; each
+takes tables and totals from one seating, so the probabilities of all words after a context add up
+to one.
+
+Spark counts the pairs of all training texts and holds them by the hash of the second word in
+buckets. A seat depends on the word, its counts, the totals before and the sweep through
+counter-based random numbers, so seatings need no store: every task that needs one computes it
+again. Only sums come back: tables by context, by cell of bytes, and in all. Texts are scored where
+the words are: each task meets the words of a bucket with the documents' uses of them and sends back
+sums per document.
+
+Null and empty texts are the end alone, after the start. A text is always scored whole, in one block
+however long it is. Rows with equal texts score alike, null ids are carried and count as training
+rows. Without training texts every byte is equally likely. Only the columns named are read; carried
+ones named like a result give way to it.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.llm.common import LOWER, WHITE, mix, raw, received, remainder, run_hashes, share, steps, words
-from tastemill.session import stage
+from tastemill.session import stage, unstage
 
-#: Sweeps, and how many of the last are averaged.
-SWEEPS, KEPT = 5, 3
-#: Strengths, and the discounts of the restaurants of bytes by context length.
+#: Sweeps, how many of the last are averaged, and turns of a word's pairs and tables in a sweep.
+SWEEPS, KEPT, INNER = 8, 3, 2
+#: Strengths of all restaurants, and the discounts of those of bytes by context length.
 STRENGTH = 1.0
 DISCOUNTS = (0.3, 0.5, 0.6)
-#: Customers of a dish that are seated one by one; later ones in blocks of a part of those seated.
-SINGLY, BLOCK = 64, 16
+#: Contexts: 0 is the start of a text, then words with a restaurant of their own, then shared ones.
+CONTEXTS, SHARED = 1 << 16, 1 << 12
+OWN = CONTEXTS - SHARED - 1
+#: Cells of counts per octave by which the frequent words are chosen.
+OCTAVE = 64
+#: A dish's first customers draw their tables from the exact law (so many numbers at a time), later
+#: ones in blocks of a part of those seated.
+EXACT, CELLS, BLOCK = 128, 2_000_000, 16
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 3 << 20
 #: Words are held in this many buckets for each partition of the input, within bounds.
-LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
-#: Words in one row of a bucket.
-ROW_WORDS = 100_000
+LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
+#: Words and pairs in one row of a bucket.
+ROW_WORDS, ROW_PAIRS = 100_000, 1_000_000
+#: A pair is a word's number shifted by this, and its context.
+BITS = 16
 
 
 # -- words of blocks -------------------------------------------------------------------------------
@@ -57,83 +81,142 @@ def scatter(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else ends, ends
 
 
+class Contexts:
+    """The words with a restaurant of their own, by hash."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        shared = 1 + OWN + (hashes % np.uint64(SHARED)).astype(np.int64)
+        if not len(self.hashes):
+            return shared
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, 1 + at, shared)
+
+
 class Block:
-    """The distinct words of a slice of rows and where they occur; the end of a text is the empty word."""
+    """The distinct words and pairs of a slice of rows and where they occur.
+
+    The end of a text is the empty word. A pair is a word with the context that the word before it
+    makes; without ``contexts`` all words have context 0.
+    """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, contexts: Contexts | None = None):
         data, offsets = raw(column)
         self.data = LOWER[data]
         starts, ends, first = words(self.data, offsets, ~WHITE[self.data])
-        rows = len(offsets) - 1
+        rows, n = len(offsets) - 1, len(starts)
         starts = np.concatenate([starts, np.zeros(rows, np.int64)])
         ends = np.concatenate([ends, np.zeros(rows, np.int64)])
         self.row = np.concatenate([np.repeat(np.arange(rows), np.diff(first)), np.arange(rows)])
         self.tokens = np.diff(first) + 1
-        self.hashes, where, self.use = np.unique(run_hashes(self.data, starts, ends), return_index=True, return_inverse=True)
+        self.hashes, where, use = np.unique(run_hashes(self.data, starts, ends), return_index=True, return_inverse=True)
         self.starts, self.sizes = starts[where], (ends - starts)[where]
+        pairs = use.astype(np.int64) << BITS
+        if contexts is not None:
+            after = contexts.of(self.hashes)[use]
+            filled = np.flatnonzero(first[1:] > first[:-1])
+            before = np.zeros(n + rows, np.int64)
+            before[1:n] = after[: max(0, n - 1)]
+            before[first[filled]] = 0
+            before[n + filled] = after[first[filled + 1] - 1]
+            pairs |= before
+        self.pairs, self.use = np.unique(pairs, return_inverse=True)
 
     def text(self, chosen: np.ndarray) -> np.ndarray:
         return gather(self.data, self.starts[chosen], self.sizes[chosen])
 
+    def by_bucket(self, buckets: int):
+        """For each bucket with words: its number, its words, and its pairs in the words' order."""
+        own = bucket_of(self.hashes, buckets)
+        of_pair = own[self.pairs >> BITS]
+        order, pair_order = np.argsort(own, kind="stable"), np.argsort(of_pair, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(buckets + 1))
+        pair_cut = np.searchsorted(of_pair[pair_order], np.arange(buckets + 1))
+        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            yield b, order[cut[b] : cut[b + 1]], pair_order[pair_cut[b] : pair_cut[b + 1]]
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    def packed(self, chosen: np.ndarray, pairs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Words of a bucket as text, pairs of each, and the pairs' contexts."""
+        sizes = np.searchsorted(chosen, self.pairs[pairs] >> BITS)
+        return self.text(chosen).tobytes(), np.bincount(sizes, minlength=len(chosen)), self.pairs[pairs] & (1 << BITS) - 1
 
 
-def _by_bucket(block: Block, chosen: np.ndarray, buckets: int):
-    own = bucket_of(block.hashes[chosen], buckets)
-    order = np.argsort(own, kind="stable")
-    own = own[order]
-    cut = np.searchsorted(own, np.arange(buckets + 1))
-    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        yield b, chosen[order[cut[b] : cut[b + 1]]]
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
 
 
 # -- vocabulary --------------------------------------------------------------------------------------
 
 
 class Merge:
-    """Sums counts of words; holds each distinct word once."""
+    """Sums counts of pairs; holds each distinct word and pair once."""
 
     def __init__(self):
-        self.parts: list[tuple[bytes, np.ndarray]] = []
+        self.parts: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, text: bytes, counts: np.ndarray) -> None:
-        self.parts.append((text, counts))
-        self.waiting += len(text)
-        if self.waiting > max(16 << 20, 2 * len(self.parts[0][0])):
+    @staticmethod
+    def weight(text: bytes, contexts: np.ndarray) -> int:
+        return len(text) + 16 * len(contexts)
+
+    def add(self, text: bytes, sizes: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((text, sizes, contexts, counts))
+        self.waiting += self.weight(text, contexts)
+        if self.waiting > max(16 << 20, 2 * self.weight(self.parts[0][0], self.parts[0][2])):
             self.parts, self.waiting = [self.result()], 0
 
-    def result(self) -> tuple[bytes, np.ndarray]:
+    def result(self) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
-            return b"", np.zeros(0, np.int64)
-        data, starts, ends = scatter(b"".join(t for t, _ in self.parts))
-        hashes = run_hashes(data, starts, ends)
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        keep = order[first]
-        return gather(data, starts[keep], (ends - starts)[keep]).tobytes(), np.add.reduceat(counts[order], first)
+            return b"", *(np.zeros(0, np.int64),) * 3
+        if len(self.parts) == 1:
+            return self.parts[0]
+        data, starts, ends = scatter(b"".join(p[0] for p in self.parts))
+        sizes, contexts, counts = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2, 3))
+        _, keep, word = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        pairs = np.repeat(word.astype(np.int64) << BITS, sizes) | contexts
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        pairs = pairs[first]
+        text = gather(data, starts[keep], (ends - starts)[keep]).tobytes()
+        return text, np.bincount(pairs >> BITS, minlength=len(keep)), pairs & (1 << BITS) - 1, np.add.reduceat(counts[order], first)
 
 
-def _rows(bucket: int, text: bytes, counts: np.ndarray):
-    data, starts, ends = scatter(text)
-    for a in range(0, len(counts), ROW_WORDS):
-        part = slice(a, a + ROW_WORDS)
-        own = data[starts[a] : ends[part][-1] + 1].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([own], pa.binary()), pa.array([counts[part].astype("<i8").tobytes()], pa.binary())], names=["bucket", "words", "counts"])
+def _packed(sizes: np.ndarray, contexts: np.ndarray) -> tuple[bytes, bytes]:
+    return sizes.astype("<u4").tobytes(), contexts.astype("<u2").tobytes()
 
 
-def vocabulary(docs: DataFrame, buckets: int, text: str = "text", train: str = "train") -> DataFrame:
-    """``bucket``, ``words``, ``counts``: every word of the training texts in one row of its bucket.
+def _unpacked(sizes: bytes, contexts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(contexts, "<u2").astype(np.int64)
 
-    Words are told apart by 64-bit hashes. Each task sums its blocks before the shuffle, so a word
-    that is a third of all tokens is one entry per task.
+
+PAIRS = "bucket int, words binary, sizes binary, contexts binary, counts binary"
+
+
+def _rows(bucket: int, text: bytes, sizes: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
+    data, starts, ends = scatter(text)
+    until = np.cumsum(sizes)
+    block = np.arange(len(sizes)) // ROW_WORDS + (until - sizes) // ROW_PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        own, at = data[starts[a] : ends[b - 1] + 1].tobytes(), slice(until[a] - sizes[a], until[b - 1])
+        values = [own, *_packed(sizes[a:b], contexts[at]), counts[at].astype("<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "words", "sizes", "contexts", "counts"])
+
+
+def vocabulary(docs: DataFrame, buckets: int, contexts: Broadcast | None = None, text: str = "text", train: str = "train") -> DataFrame:
+    """``bucket``, ``words``, ``sizes``, ``contexts``, ``counts``: every pair of the training texts once.
+
+    A row holds words of its bucket, and for each its contexts with their counts. Without
+    ``contexts`` all are counted in context 0. Words are told apart by 64-bit hashes. Each task sums
+    its blocks before the shuffle, so a word that is a third of all tokens is one entry per task and
+    context.
     """
 
     def count(batches):
+        known = received(contexts) if contexts is not None else None
         held: dict[int, Merge] = {}
         size = 0
         for batch in batches:
@@ -141,13 +224,13 @@ def vocabulary(docs: DataFrame, buckets: int, text: str = "text", train: str = "
                 part = part.filter(part.column(train))
                 if not part.num_rows:
                     continue
-                block = Block(part.column(text))
-                n = np.bincount(block.use, minlength=len(block.hashes))
-                for b, chosen in _by_bucket(block, np.arange(len(block.hashes)), buckets):
-                    own = block.text(chosen).tobytes()
-                    size += len(own)
-                    held.setdefault(b, Merge()).add(own, n[chosen])
-                if size > 32 << 20:
+                block = Block(part.column(text), known)
+                n = np.bincount(block.use, minlength=len(block.pairs))
+                for b, chosen, pairs in block.by_bucket(buckets):
+                    own = block.packed(chosen, pairs)
+                    size += Merge.weight(own[0], pairs)
+                    held.setdefault(b, Merge()).add(*own, n[pairs])
+                if size > 96 << 20:
                     for b, m in held.items():
                         yield from _rows(b, *m.result())
                     held, size = {}, 0
@@ -157,18 +240,51 @@ def vocabulary(docs: DataFrame, buckets: int, text: str = "text", train: str = "
     def merge(batches):
         last, held = None, Merge()
         for batch in batches:
-            for b, t, c in zip(*(batch.column(n).to_pylist() for n in ("bucket", "words", "counts"))):
+            for b, t, s, k, c in zip(*(batch.column(n).to_pylist() for n in ("bucket", "words", "sizes", "contexts", "counts"))):
                 if b != last and last is not None:
                     yield from _rows(last, *held.result())
                     held = Merge()
                 last = b
-                held.add(t, np.frombuffer(c, "<i8"))
+                held.add(t, *_unpacked(s, k), np.frombuffer(c, "<i8"))
         if last is not None:
             yield from _rows(last, *held.result())
 
-    schema = "bucket int, words binary, counts binary"
-    counted = docs.select(text, train).mapInArrow(count, schema)
-    return counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
+    counted = docs.select(text, train).mapInArrow(count, PAIRS)
+    return counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, PAIRS)
+
+
+def frequent(vocab: DataFrame) -> Contexts:
+    """The words that are contexts of their own: those above the count that leaves at most ``OWN``.
+
+    Words are counted by cells of their counts (``OCTAVE`` in each doubling) first, so only cells and
+    the chosen words' hashes come to the driver.
+    """
+
+    def cells(counts: bytes) -> np.ndarray:
+        return np.floor(np.log2(np.frombuffer(counts, "<i8")) * OCTAVE).astype(np.int64)
+
+    def sizes(batches):
+        for batch in batches:
+            for c in batch.column("counts").to_pylist():
+                cell, n = np.unique(cells(c), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    found = vocab.mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    edge, total = 1 << 62, 0
+    for row in sorted(found, key=lambda r: -r["cell"]):
+        total += row["n"]
+        if total > OWN:
+            break
+        edge = row["cell"]
+
+    def chosen(batches):
+        for batch in batches:
+            for t, c in zip(*(batch.column(n).to_pylist() for n in ("words", "counts"))):
+                hashes = run_hashes(*scatter(t))[cells(c) >= edge]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+
+    hashes = vocab.mapInArrow(chosen, "hash long").toArrow().column("hash").to_numpy()
+    return Contexts(np.ascontiguousarray(hashes).view(np.uint64))
 
 
 # -- seating -------------------------------------------------------------------------------------------
@@ -180,46 +296,94 @@ def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def seat(counts: np.ndarray, open_weight: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers sat down one after another.
+@lru_cache(maxsize=None)
+def log_seatings(discount: float) -> np.ndarray:
+    """log of the total weight of the ways that c customers of a dish sit at t tables, as [c, t - 1].
+
+    A table of s customers weighs (1 - d)(2 - d)...(s - 1 - d): generalised Stirling numbers.
+    """
+    out = np.full((EXACT + 1, EXACT), -np.inf)
+    out[1, 0] = 0
+    t = np.arange(1, EXACT + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, EXACT):
+            join = np.where(t <= c, np.log(np.maximum(c - t * discount, 1e-300)) + out[c], -np.inf)
+            out[c + 1] = np.logaddexp(join, np.concatenate([[-np.inf], out[c, :-1]]))
+    return out
+
+
+def seat(counts: np.ndarray, opens: np.ndarray, parent: np.ndarray, discount: float, keys: np.ndarray, turn: int, step: np.ndarray | float = 0.0) -> np.ndarray:
+    """Tables of each dish, drawn from their law given the other dishes' tables.
 
-    ``open_weight`` is (strength + discount * tables of the restaurant) * parent's probability. A
-    customer opens a table with this weight against those seated less discount per table. After
-    ``SINGLY`` customers they come in blocks of 1/BLOCK of those seated: the number of tables a
-    block opens is a Poisson draw at the block's rate, so the work grows with the count's logarithm.
+    With t tables already the next one weighs (opens + discount * t) * (parent + step * t): ``opens``
+    is the strength and the discounts of the other dishes' tables, ``parent`` the dish's probability
+    there without this dish's tables, and ``step`` what each table adds to it. Up to ``EXACT``
+    customers the number of tables is drawn from the exact law. Later ones sit down in turn, and both
+    look ahead: each table is less likely by what the customers to come make of it (see ``ahead``).
+    They come in blocks of 1/BLOCK of those seated, with a Poisson draw at the block's rate, so work
+    grows with the count's logarithm.
     """
     tables = (counts > 0).astype(np.int64)
-    live = np.flatnonzero(counts > 1)
-    seated, turn = 1, sweep << 20
+    step = np.broadcast_to(np.asarray(step, float), counts.shape)
+    first = np.minimum(counts, EXACT)
+    few = np.flatnonzero(counts > 1)
+    few = few[np.argsort(first[few], kind="stable")]
+    cuts = np.flatnonzero(np.diff(first[few])) + 1
+    for group in np.split(few, cuts) if len(few) else []:
+        c = int(first[group[0]])
+        i = np.arange(1, c)
+        for at in range(0, len(group), max(1, CELLS // c)):
+            own = group[at : at + max(1, CELLS // c)]
+            with np.errstate(divide="ignore"):
+                logs = np.log(opens[own, None] + discount * i) + np.log(parent[own, None] + step[own, None] * i)
+            logs += np.log(ahead(c, counts[own], parent[own], discount))[:, None]
+            law = np.zeros((len(own), c))
+            np.cumsum(logs, axis=1, out=law[:, 1:])
+            law += log_seatings(discount)[c, :c]
+            law = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
+            draw = uniform(keys[own], turn << 20) * law[:, -1]
+            tables[own] = np.minimum(1 + (law < draw[:, None]).sum(axis=1), c)
+    live, seated = np.flatnonzero(counts > EXACT), EXACT
     while len(live):
-        block = 1 if seated < SINGLY else max(1, seated // BLOCK)
-        size = np.minimum(block, counts[live] - seated)
-        t = tables[live]
-        chance = open_weight[live] / (open_weight[live] + np.maximum(seated - discount * t, 1e-9))
-        draw = uniform(keys[live], turn + seated)
-        if block == 1:
-            new = (draw < chance).astype(np.int64)
-        else:
-            rate = size * chance
-            part = np.exp(-rate)
-            total, new, k = part.copy(), np.zeros(len(live), np.int64), 0
-            wide = rate > 30
-            while k < 90:
-                more = (draw > total) & ~wide
-                if not more.any():
-                    break
-                k += 1
-                part = part * rate / k
-                total += part
-                new += more
-            new = np.where(wide, np.rint(rate + np.sqrt(rate) * 1.702 ** -1 * np.log(draw / (1 - draw))), new).astype(np.int64)
-            new = np.clip(new, 0, size)
-        tables[live] = t + new
+        block = seated // BLOCK
+        size, t = np.minimum(block, counts[live] - seated), tables[live]
+        weight = (opens[live] + discount * t) * (parent[live] + step[live] * t) * ahead(seated + block / 2, counts[live], parent[live], discount)
+        chance = weight / (weight + seated + size / 2 - discount * t)
+        new = poisson(size * chance, uniform(keys[live], (turn << 20) + seated))
+        tables[live] = t + np.clip(new, 0, size)
         seated += block
         live = live[counts[live] > seated]
     return tables
 
 
+def ahead(seated: float, counts: np.ndarray, parent: np.ndarray, discount: float) -> np.ndarray:
+    """How much less likely one more table is for the customers who come after ``seated``.
+
+    Tables beget tables as a birth process at the discount's rate over log(counts / seated), each
+    birth weighed by the parent's probability p: one table's weight is 1 / (p + (1 - p) * (counts /
+    seated) ** discount).
+    """
+    p = np.clip(parent, 0, 1)
+    return 1 / (p + (1 - p) * np.maximum(counts / seated, 1.0) ** discount)
+
+
+def poisson(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Poisson numbers of uniform ones; rates above 30 by a curve of the same mean and spread."""
+    part = np.exp(-rate)
+    total, found, k = part.copy(), np.zeros(len(rate), np.int64), 0
+    wide = rate > 30
+    while k < 90:
+        more = (draw > total) & ~wide
+        if not more.any():
+            break
+        k += 1
+        part = part * rate / k
+        total += part
+        found += more
+    curve = np.rint(rate + np.sqrt(rate) * 1.702**-1 * np.log(draw / (1 - draw)))
+    return np.where(wide, curve, found).astype(np.int64)
+
+
 class Spelling:
     """Restaurants of bytes: cells (context and byte) with customers, tables and probabilities.
 
@@ -243,10 +407,10 @@ class Spelling:
             for level in (2, 1, 0):
                 cells, n = own.cells[level], customers[level]
                 place = np.unique(cells >> 8, return_inverse=True)[1]
-                known = np.bincount(place, tables[level]) if tables[level] is not None else np.bincount(place, minlength=1)
+                known = tables[level] if tables[level] is not None else np.ones(len(cells), np.int64)
                 parent = own.prob[level - 1][up[level]] if level else np.full(len(cells), 1 / 256)
-                weight = (STRENGTH + DISCOUNTS[level] * known[place]) * parent
-                tables[level] = seat(n, weight, DISCOUNTS[level], mix(cells.astype(np.uint64) + np.uint64(level << 40)), (sweep * rounds + turn) << 2 | level)
+                opens = STRENGTH + DISCOUNTS[level] * (np.bincount(place, known)[place] - known)
+                tables[level] = seat(n, opens, parent, DISCOUNTS[level], mix(cells.astype(np.uint64) + np.uint64(level << 40)), (sweep * rounds + turn) << 2 | level)
                 if level:
                     customers[level - 1] = np.bincount(up[level], tables[level], minlength=len(own.cells[level - 1])).astype(np.int64)
             for level in (0, 1, 2):
@@ -286,80 +450,182 @@ def spell(data: np.ndarray) -> np.ndarray:
     return second << 16 | before << 8 | data
 
 
+class Lexicon:
+    """Words of one bucket, or of a part of one, with their pairs; in the order of hashes."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]):
+        self.data, self.starts, self.ends = scatter(b"".join(r[0] for r in rows))
+        self.hashes = run_hashes(self.data, self.starts, self.ends)
+        sizes, contexts = _unpacked(b"".join(r[1] for r in rows), b"".join(r[2] for r in rows))
+        counts = np.frombuffer(b"".join(r[3] for r in rows), "<i8")
+        order = np.argsort(self.hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs = np.repeat(rank << BITS, sizes) | contexts
+        turn = np.argsort(pairs, kind="stable")
+        self.pairs, self.counts = pairs[turn], counts[turn]
+        self.hashes, self.order, self.kinds = self.hashes[order], order, sizes[order]
+        self.word, self.context = self.pairs >> BITS, self.pairs & (1 << BITS) - 1
+        self.total = self.by_word(self.counts)
+        self.keys = mix(self.hashes[self.word] + (self.context.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, values, minlength=len(self.hashes)).astype(np.int64)
+
+    def log_spelled(self, spelling: Spelling) -> np.ndarray:
+        return spelling.log_words(self.data, self.starts)[self.order]
+
+
+class Totals:
+    """Tables of each context's restaurant, and customers and tables of the restaurant of single words."""
+
+    def __init__(self, context_tables: np.ndarray, customers: int, tables: int):
+        self.context_tables, self.customers, self.tables = context_tables, customers, tables
+
+
+class Sample:
+    """One sweep: the spelling and totals its seats were drawn with, and the totals they came to."""
+
+    def __init__(self, spelling: Spelling, before: Totals, after: Totals, sweep: int):
+        self.spelling, self.before, self.after, self.sweep = spelling, before, after, sweep
+
+
 class Model:
-    """Counts, and for each kept sweep the spelling and the tables of the words' restaurant."""
-
-    def __init__(self, total: int, kinds: int, discount: float):
-        self.total, self.kinds, self.discount = total, kinds, discount
-        self.kept: list[tuple[Spelling, float, int]] = []
-
-    def open(self, tables: float) -> float:
-        return STRENGTH + self.discount * tables
-
-    def seats(self, hashes: np.ndarray, counts: np.ndarray, log_base: np.ndarray, tables: float, sweep: int) -> np.ndarray:
-        return seat(counts, self.open(tables) * np.exp(log_base), self.discount, hashes, sweep)
-
-    def predict(self, data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the averaged predictive probability of each word."""
-        if not len(starts):
-            return np.zeros(0)
-        found = []
-        for spelling, tables, sweep in self.kept:
-            base = spelling.log_words(data, starts)
-            own = self.seats(hashes, counts, base, tables, sweep)
-            known = np.maximum(counts - self.discount * own, 0) / (self.total + STRENGTH)
-            with np.errstate(divide="ignore"):
-                found.append(np.logaddexp(np.log(known), base + np.log(self.open(tables) / (self.total + STRENGTH))))
-        top = np.max(found, axis=0)
-        return (top + np.log(np.mean(np.exp(np.array(found) - top), axis=0))) / np.log(10)
+    """Totals of the counts, discounts, and the kept sweeps. The seats themselves are computed again."""
+
+    def __init__(self, total: int, kinds: int, discounts: tuple[float, float], context_customers: np.ndarray):
+        self.total, self.kinds, self.discounts, self.context_customers = total, kinds, discounts, context_customers
+        self.kept: list[Sample] = []
+        #: Tables of the contexts' restaurants and of that of single words after each sweep.
+        self.trace: list[tuple[int, int]] = []
+
+    def log_single(self, customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray, totals: Totals) -> np.ndarray:
+        """log P of words without a context, of the customers and tables they have there."""
+        single, all_ = self.discounts[0], totals.customers + STRENGTH
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log((customers - single * tables) / all_), spelled + np.log((STRENGTH + single * totals.tables) / all_))
+
+    def seats(self, words: Lexicon, spelled: np.ndarray, given: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of each pair, and customers and tables of each word in the restaurant of single words."""
+        single, pair = self.discounts
+        customers, tables, seated = words.kinds, np.ones(len(words.hashes), np.int64), np.ones(len(words.pairs), np.int64)
+        opens, base = (STRENGTH + pair * given.context_tables)[words.context], np.exp(spelled)
+        for turn in range(INNER):
+            others = customers[words.word] - seated
+            share_ = 1 / np.maximum(given.customers - seated + STRENGTH, STRENGTH)
+            rest = (STRENGTH + single * given.tables) * base[words.word]
+            parent = (others - single * np.minimum(tables[words.word], others) + rest) * share_
+            weight = np.maximum(opens - pair * seated, STRENGTH)
+            seated = seat(words.counts, weight, parent, pair, words.keys, (sweep * INNER + turn) << 1, share_)
+            customers = words.by_word(seated)
+            weight = np.maximum(STRENGTH + single * (given.tables - tables), STRENGTH)
+            tables = seat(customers, weight, base, single, words.hashes, (sweep * INNER + turn) << 1 | 1)
+        return seated, customers, tables
+
+    def predict(self, words: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+        """What pairs have of their own, on average over the sweeps; log P of single words by sweep."""
+        own, single = np.zeros(len(words.pairs)), []
+        for s in self.kept:
+            spelled = words.log_spelled(s.spelling)
+            seated, customers, tables = self.seats(words, spelled, s.before, s.sweep)
+            own += (words.counts - self.discounts[1] * seated) / (self.context_customers[words.context] + STRENGTH)
+            single.append(self.log_single(customers, tables, spelled, s.after))
+        return own / len(self.kept), np.array(single)
+
+    def new_words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log P by sweep of words that no training text has."""
+        none = np.zeros(len(starts))
+        return np.array([self.log_single(none, none, s.spelling.log_words(data, starts), s.after) for s in self.kept])
+
+    def log_back(self) -> np.ndarray:
+        """log of the weight that each context leaves to its parent, by sweep."""
+        return np.array([np.log((STRENGTH + self.discounts[1] * s.after.context_tables) / (self.context_customers + STRENGTH)) for s in self.kept])
+
+
+def log_mean(values: np.ndarray) -> np.ndarray:
+    """log of the mean of exp over the first axis."""
+    top = values.max(axis=0)
+    return top + np.log(np.mean(np.exp(values - top), axis=0))
+
+
+def _cells(parts: np.ndarray, values: np.ndarray):
+    for a in range(0, len(parts), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(parts[a : a + (1 << 16)]), pa.array(values[a : a + (1 << 16)].astype(np.int64))], names=["cell", "n"])
+
+
+def _summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(cell)
+    return cell[order], n[order]
+
+
+def _dense(cell: np.ndarray, n: np.ndarray, first: int, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    inside = (cell >= first) & (cell < first + size)
+    out[cell[inside] - first] = n[inside]
+    return out
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.05))
 
 
 def learn(vocab: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
-    """Run the sweeps over a staged vocabulary.
+    """Run the sweeps over a staged vocabulary of pairs.
 
-    A sweep is one Spark job: each task seats its words given the spelling so far, and the sums of
-    their tables by cell come back (2**24 cells at most). The driver seats the bytes.
+    A sweep is one Spark job: each task seats its words given the totals so far, and the sums of
+    their tables come back: by cell of bytes (2**24 cells at most), by context, and in all. The
+    driver seats the bytes.
     """
     spark = vocab.sparkSession
+    columns = ("words", "sizes", "contexts", "counts")
 
     def totals(batches):
         for batch in batches:
-            for c in batch.column("counts").to_pylist():
+            for s, k, c in zip(*(batch.column(n).to_pylist() for n in columns[1:])):
+                sizes, contexts = _unpacked(s, k)
                 n = np.frombuffer(c, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in (n.sum(), len(n), (n == 1).sum(), (n == 2).sum())], names=["n", "kinds", "ones", "twos"])
-
-    found = vocab.mapInArrow(totals, "n long, kinds long, ones long, twos long")
-    n, kinds, ones, twos = (v or 0 for v in found.agg(*(F.sum(c) for c in ("n", "kinds", "ones", "twos"))).first())
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.05))
-    model, spelling, tables = Model(n, kinds, discount), Spelling(), float(kinds)
-    for sweep in range(sweeps if n else 0):
-        shared = share(spark, (model, spelling, tables))
+                values = [np.bincount(contexts, n, CONTEXTS), np.bincount(contexts, minlength=CONTEXTS)]
+                values.append([len(sizes), (sizes == 1).sum(), (sizes == 2).sum(), (n == 1).sum(), (n == 2).sum()])
+                values = np.concatenate(values)
+                at = np.flatnonzero(values)
+                yield from _cells(at, values[at])
+
+    found = _dense(*_summed(vocab.mapInArrow(totals, "cell long, n long")), 0, 2 * CONTEXTS + 5)
+    customers, kinds = found[:CONTEXTS], found[CONTEXTS : 2 * CONTEXTS]
+    words_, ones, twos, pair_ones, pair_twos = found[2 * CONTEXTS :].tolist()
+    model = Model(int(customers.sum()), words_, (_discount(ones, twos), _discount(pair_ones, pair_twos)), customers)
+    spelling, given = Spelling(), Totals(kinds, int(kinds.sum()), words_)
+    if not model.total:
+        model.kept.append(Sample(spelling, given, given, 0))
+    for sweep in range(sweeps if model.total else 0):
+        shared = share(spark, (model, spelling, given))
 
         def seats(batches, sweep=sweep, shared=shared):
             own, spelled, known = received(shared)
-            sums = np.zeros(0)
-            total = 0
+            sums, context_tables, all_ = np.zeros(1 << 24), np.zeros(CONTEXTS), np.zeros(2)
             for batch in batches:
-                for t, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
-                    data, starts, ends = scatter(t)
-                    hashes, counts = run_hashes(data, starts, ends), np.frombuffer(c, "<i8")
-                    seated = own.seats(hashes, counts, spelled.log_words(data, starts), known, sweep)
-                    total += int(seated.sum())
-                    if not len(sums):
-                        sums = np.zeros(1 << 24)
-                    np.add.at(sums, spell(data), np.repeat(seated, ends - starts + 1))
-            at = np.flatnonzero(sums)
-            at, values = np.concatenate([[-1], at]), np.concatenate([[total], sums[at]])
-            for a in range(0, len(at), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + (1 << 16)]), pa.array(values[a : a + (1 << 16)].astype(np.int64))], names=["cell", "n"])
-
-        cells = vocab.mapInArrow(seats, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cell, count = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
+                for row in zip(*(batch.column(n).to_pylist() for n in columns)):
+                    part = Lexicon([row])
+                    seated, guests, tables = own.seats(part, part.log_spelled(spelled), known, sweep)
+                    context_tables += np.bincount(part.context, seated, CONTEXTS)
+                    all_ += guests.sum(), tables.sum()
+                    in_text = np.empty(len(tables))
+                    in_text[part.order] = tables
+                    np.add.at(sums, spell(part.data), np.repeat(in_text, part.ends - part.starts + 1))
+            for first, values in ((0, sums), (1 << 24, context_tables), ((1 << 24) + CONTEXTS, all_)):
+                at = np.flatnonzero(values)
+                yield from _cells(first + at, values[at])
+
+        cell, count = _summed(vocab.select(*columns).mapInArrow(seats, "cell long, n long"))
+        guests, tables = _dense(cell, count, (1 << 24) + CONTEXTS, 2).tolist()
+        after = Totals(_dense(cell, count, 1 << 24, CONTEXTS), guests, tables)
+        model.trace.append((guests, tables))
         if sweep >= sweeps - kept:
-            model.kept.append((spelling, tables, sweep))
-        order = np.argsort(cell)
-        tables = float(count[order][0])
-        spelling = spelling.sample(cell[order][1:], count[order][1:], sweep)
+            model.kept.append(Sample(spelling, given, after, sweep))
+        spelled = cell < 1 << 24
+        spelling, given = spelling.sample(cell[spelled], count[spelled], sweep), after
         shared.unpersist()
     return model
 
@@ -367,37 +633,36 @@ def learn(vocab: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
 # -- scores ------------------------------------------------------------------------------------------------
 
 
-def _uses(docs: DataFrame, buckets: int, text: str, carry: list[str]) -> DataFrame:
-    """For each block and bucket its words and the documents' uses of them; and a row of the documents."""
+def _uses(docs: DataFrame, buckets: int, contexts: Broadcast, text: str, carry: list[str]) -> DataFrame:
+    """For each block and bucket its words, pairs and the documents' uses of them; and a row of the documents."""
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
 
     def run(batches):
+        known = received(contexts)
         n = TaskContext.get().partitionId() << 32
-        names = ["bucket", "block", "words", "uses", "docs"]
+        names = ["bucket", "block", "words", "sizes", "contexts", "uses", "docs"]
         for batch in batches:
             for part in steps(batch, text, BLOCK_BYTES):
-                block = Block(part.column(text))
+                block = Block(part.column(text), known)
                 docs_ = part.select(carry).append_column("n_tokens", pa.array(block.tokens, pa.int64())).to_struct_array()
                 held = pa.array([docs_.to_pylist()], out_docs)
-                where, bucket_rows = np.zeros(len(block.hashes), np.int64), []
-                for b, chosen in _by_bucket(block, np.arange(len(block.hashes)), buckets):
-                    where[chosen] = np.arange(len(chosen))
-                    bucket_rows.append((b, chosen))
-                own = bucket_of(block.hashes, buckets)[block.use]
-                order = np.argsort(own, kind="stable")
+                place, out = np.zeros(len(block.pairs), np.int64), []
+                chosen = list(block.by_bucket(buckets))
+                for _, _, pairs in chosen:
+                    place[pairs] = np.arange(len(pairs))
+                own = bucket_of(block.hashes, buckets)[block.pairs >> BITS][block.use]
+                order = np.lexsort((block.row, own))
                 cut = np.searchsorted(own[order], np.arange(buckets + 1))
-                place, row = where[block.use].astype("<u4"), block.row.astype("<u4")
-                out_b, out_w, out_u = [], [], []
-                for b, chosen in bucket_rows:
+                place = place[block.use]
+                for b, at_words, pairs in chosen:
                     at = order[cut[b] : cut[b + 1]]
-                    out_b.append(b)
-                    out_w.append(block.text(chosen).tobytes())
-                    out_u.append(np.concatenate([row[at], place[at]]).tobytes())
-                size = len(out_b)
-                documents = pa.concat_arrays([held, pa.nulls(size - 1, out_docs)]) if size > 1 else held
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_b, pa.int32()), pa.array([n] * size, pa.int64()), pa.array(out_w, pa.binary()), pa.array(out_u, pa.binary()), documents], names=names
-                )
+                    t, sizes, before = block.packed(at_words, pairs)
+                    uses = block.row[at].astype("<u4").tobytes() + place[at].astype(_place_type(len(pairs))).tobytes()
+                    out.append((b, n, t, *_packed(sizes, before), uses))
+                columns = list(zip(*out))
+                documents = pa.concat_arrays([held, pa.nulls(len(out) - 1, out_docs)]) if len(out) > 1 else held
+                kinds_ = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds_)), documents], names=names)
                 n += 1
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -406,56 +671,74 @@ def _uses(docs: DataFrame, buckets: int, text: str, carry: list[str]) -> DataFra
     fields = ", ".join(f"`{c}`: {k}" for c, k in kinds.items())
     docs_type = f"array<struct<{fields}, n_tokens: bigint>>"
     out_docs = to_arrow_type(_parse_datatype_string(docs_type))
-    return docs.select(text, *carry).mapInArrow(run, f"bucket int, block long, words binary, uses binary, docs {docs_type}")
+    return docs.select(text, *carry).mapInArrow(run, f"bucket int, block long, words binary, sizes binary, contexts binary, uses binary, docs {docs_type}")
 
 
-def score(docs: DataFrame, vocab: DataFrame, model: Model, buckets: int, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add ``n_tokens``, ``n_known``, ``base_score`` and ``score`` to the carried columns.
+def _place_type(pairs: int) -> str:
+    return "<u2" if pairs <= 1 << 16 else "<u4"
 
-    Null and empty texts have the end alone. A row depends on its text and the model; repeated rows
-    score alike; null ids are carried. Without training texts every byte is equally likely.
-    """
+
+class Scorer:
+    """A bucket's words, ready to score the uses that blocks make of them."""
+
+    def __init__(self, model: Model, back: np.ndarray, rows: list[tuple[bytes, bytes, bytes, bytes]]):
+        self.model, self.back, self.words = model, back, Lexicon(rows)
+        self.own, self.single = model.predict(self.words)
+
+    def sums(self, text: bytes, sizes: bytes, contexts: bytes, uses: bytes) -> np.ndarray:
+        """Base score, score and known tokens of the block's documents, as three rows."""
+        data, starts, ends = scatter(text)
+        hashes = run_hashes(data, starts, ends)
+        sizes, before = _unpacked(sizes, contexts)
+        known, at = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        counts, single = np.zeros(len(hashes), np.int64), np.zeros((len(self.model.kept), len(hashes)))
+        if len(self.words.hashes):
+            at = np.minimum(np.searchsorted(self.words.hashes, hashes), len(self.words.hashes) - 1)
+            known = self.words.hashes[at] == hashes
+            counts[known], single[:, known] = self.words.total[at[known]], self.single[:, at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            fresh, fresh_starts, _ = scatter(gather(data, starts[new], (ends - starts)[new]).tobytes())
+            single[:, new] = self.model.new_words(fresh, fresh_starts)
+        word = np.repeat(np.arange(len(hashes)), sizes)
+        own = np.zeros(len(word))
+        if len(self.words.pairs):
+            pairs = at[word] << BITS | before
+            place = np.minimum(np.searchsorted(self.words.pairs, pairs), len(self.words.pairs) - 1)
+            own = np.where(known[word] & (self.words.pairs[place] == pairs), self.own[place], 0.0)
+        with np.errstate(divide="ignore"):
+            score = np.logaddexp(np.log(own), log_mean(self.back[:, before] + single[:, word])) / np.log(10)
+        base = np.log10((counts + 1) / (self.model.total + self.model.kinds + 1))[word]
+        kind = _place_type(len(word))
+        n = len(uses) // (4 + np.dtype(kind).itemsize)
+        row, use = np.frombuffer(uses, "<u4", n).astype(np.int64), np.frombuffer(uses, kind, n, 4 * n)
+        return np.concatenate([np.bincount(row, v[use]) for v in (base, score, known[word].astype(np.float64))])
+
+
+def score(docs: DataFrame, vocab: DataFrame, model: Model, buckets: int, contexts: Broadcast, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Add ``n_tokens``, ``n_known``, ``base_score`` and ``score`` to the carried columns."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (text, "n_tokens", "n_known", "base_score", "score")]
-    uses = _uses(docs, buckets, text, carry)
+    uses = _uses(docs, buckets, contexts, text, carry)
     docs_type = uses.schema["docs"].dataType.simpleString()
-    rows = vocab.select("bucket", F.lit(-1).cast("long").alias("block"), "words", F.col("counts").alias("uses"), F.expr(f"CAST(NULL AS {docs_type})").alias("docs"))
+    rows = vocab.select("bucket", F.lit(-1).cast("long").alias("block"), "words", "sizes", "contexts", F.col("counts").alias("uses"), F.expr(f"CAST(NULL AS {docs_type})").alias("docs"))
     shared = share(docs.sparkSession, model)
-    floor = model.total + model.kinds + 1
 
     def meet(batches):
         own = received(shared)
+        back = own.log_back()
         last, parts, known = None, [], None
         names = ["block", "bucket", "sums", "docs"]
         for batch in batches:
             held = batch.column("docs")
-            for k, (b, block, t, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "uses")))):
+            for k, (b, block, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "sizes", "contexts", "uses")))):
                 if b != last:
                     last, parts, known = b, [], None
                 if block < 0:
-                    parts.append((t, u))
+                    parts.append(tuple(row))
                     continue
                 if known is None:
-                    data, starts, ends = scatter(b"".join(t for t, _ in parts))
-                    counts = np.frombuffer(b"".join(u for _, u in parts), "<i8")
-                    hashes = run_hashes(data, starts, ends)
-                    order = np.argsort(hashes)
-                    known = hashes[order], counts[order], own.predict(data, starts, hashes, counts)[order]
-                    parts = []
-                data, starts, ends = scatter(t)
-                hashes = run_hashes(data, starts, ends)
-                counts, logs = np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-                if len(known[0]):
-                    at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
-                    same = known[0][at] == hashes
-                    counts[same], logs[same] = known[1][at[same]], known[2][at[same]]
-                new = np.flatnonzero(counts == 0)
-                if len(new):
-                    fresh, fresh_starts, _ = scatter(gather(data, starts[new], (ends - starts)[new]).tobytes())
-                    logs[new] = own.predict(fresh, fresh_starts, hashes[new], counts[new]) if own.kept else -np.log10(256) * (ends - starts + 1)[new]
-                row, place = np.frombuffer(u, "<u4").reshape(2, -1).astype(np.int64)
-                plain = np.log10((counts + 1) / floor)
-                top = int(row.max()) + 1
-                sums = np.concatenate([np.bincount(row, v[place], minlength=top) for v in (plain, logs, (counts > 0).astype(np.float64))])
+                    known, parts = Scorer(own, back, parts), []
+                sums = known.sums(*row)
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b], pa.int32()), pa.array([sums.tobytes()], pa.binary()), held.slice(k, 1)], names=names)
 
     dealt = uses.unionByName(rows).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
@@ -500,8 +783,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """What the registered query returns; held out are ids whose crc32 leaves 2 by 7."""
     held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    buckets = bucket_count(docs)
-    vocab = stage(vocabulary(docs.withColumn("train", ~F.col("held_out")), buckets), "pitman-yor-words")
-    model = learn(vocab)
-    found = score(docs, vocab, model, buckets, carry=["doc_id", "held_out"])
+    buckets, train = bucket_count(docs), docs.withColumn("train", ~F.col("held_out"))
+    single = stage(vocabulary(train, buckets), "pitman-yor-words")
+    contexts = share(docs.sparkSession, frequent(single))
+    unstage(single)
+    pairs = stage(vocabulary(train, buckets, contexts), "pitman-yor-pairs")
+    model = learn(pairs)
+    found = score(docs, pairs, model, buckets, contexts, carry=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,5 +1,7 @@
 """The parts of the methods: transform, trees, seating, training, quotas."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -163,19 +165,26 @@ def test_search_finds_short_and_long_patterns():
     assert found == want and len(want) > 14
 
 
-def test_seating_follows_the_process():
-    """Mean number of tables against customers seated one by one."""
-    draw = np.random.default_rng(6)
-    for n, weight, discount in ((40, 3.0, 0.5), (700, 5.0, 0.6)):
-        got = pitman_yor.seat(np.full(4000, n), np.full(4000, weight), discount, np.arange(4000, dtype=np.uint64) * np.uint64(977), 3)
-        want = []
-        for _ in range(400):
-            t = 1
-            for k in range(1, n):
-                t += draw.random() < weight / (weight + k - discount * t)
-            want.append(t)
-        assert abs(got.mean() - np.mean(want)) < 0.06 * np.mean(want)
-    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.5, np.zeros(2, np.uint64), 0).tolist() == [0, 1]
+def test_seating_follows_the_law():
+    """Mean number of tables against the law summed in plain Python, below and above the exact route's bound."""
+    keys = np.arange(4000, dtype=np.uint64) * np.uint64(977)
+    for n, opens, parent, discount in ((40, 3.0, 0.9, 0.5), (100, 40.0, 0.01, 0.7), (700, 5.0, 0.2, 0.6), (3000, 200.0, 0.02, 0.8)):
+        ways = [0.0]
+        for c in range(1, n):
+            join = [w + math.log(c - (t + 1) * discount) for t, w in enumerate(ways)] + [-math.inf]
+            opened = [-math.inf, *ways]
+            ways = [max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b) for a, b in zip(join, opened)][:400]
+        law, weight = [], 0.0
+        for t, w in enumerate(ways):
+            law.append(w + weight)
+            weight += math.log((opens + discount * (t + 1)) * parent)
+        top = max(law)
+        law = [math.exp(v - top) for v in law]
+        want = sum((t + 1) * v for t, v in enumerate(law)) / sum(law)
+        got = pitman_yor.seat(np.full(4000, n), np.full(4000, opens), np.full(4000, parent), discount, keys, 3).mean()
+        assert abs(got - want) < (0.03 if n <= pitman_yor.EXACT else 0.06) * want, (n, got, want)
+    none = np.zeros(2, np.uint64)
+    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), np.ones(2), 0.5, none, 0).tolist() == [0, 1]
 
 
 def test_spelling_is_a_distribution():
