@@ -32,6 +32,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -52,10 +53,12 @@ OCTAVE = 64
 #: A dish's first customers draw their tables from the exact law (so many numbers at a time), later
 #: ones in blocks of a part of those seated.
 EXACT, CELLS, BLOCK = 128, 2_000_000, 16
+#: Below this, probabilities are summed as logarithms.
+LEAST = 1e-290
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 3 << 20
 #: Words are held in this many buckets for each partition of the input, within bounds.
-LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Words and pairs in one row of a bucket.
 ROW_WORDS, ROW_PAIRS = 100_000, 1_000_000
 #: A pair is a word's number shifted by this, and its context.
@@ -95,6 +98,17 @@ class Contexts:
         return np.where(self.hashes[at] == hashes, 1 + at, shared)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and for each value the number of its like."""
+    codes, found = pd.factorize(values)
+    where = np.empty(len(found), np.int64)
+    where[codes] = np.arange(len(values))
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], where[order], rank[codes]
+
+
 class Block:
     """The distinct words and pairs of a slice of rows and where they occur.
 
@@ -111,18 +125,19 @@ class Block:
         ends = np.concatenate([ends, np.zeros(rows, np.int64)])
         self.row = np.concatenate([np.repeat(np.arange(rows), np.diff(first)), np.arange(rows)])
         self.tokens = np.diff(first) + 1
-        self.hashes, where, use = np.unique(run_hashes(self.data, starts, ends), return_index=True, return_inverse=True)
+        self.hashes, where, use = distinct(run_hashes(self.data, starts, ends))
         self.starts, self.sizes = starts[where], (ends - starts)[where]
-        pairs = use.astype(np.int64) << BITS
-        if contexts is not None:
+        if contexts is None:
+            self.pairs, self.use = np.arange(len(self.hashes)) << BITS, use
+        else:
+            pairs = use << BITS
             after = contexts.of(self.hashes)[use]
             filled = np.flatnonzero(first[1:] > first[:-1])
             before = np.zeros(n + rows, np.int64)
             before[1:n] = after[: max(0, n - 1)]
             before[first[filled]] = 0
             before[n + filled] = after[first[filled + 1] - 1]
-            pairs |= before
-        self.pairs, self.use = np.unique(pairs, return_inverse=True)
+            self.pairs, _, self.use = distinct(pairs | before)
 
     def text(self, chosen: np.ndarray) -> np.ndarray:
         return gather(self.data, self.starts[chosen], self.sizes[chosen])
@@ -144,7 +159,7 @@ class Block:
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16)
 
 
 # -- vocabulary --------------------------------------------------------------------------------------
@@ -174,9 +189,9 @@ class Merge:
             return self.parts[0]
         data, starts, ends = scatter(b"".join(p[0] for p in self.parts))
         sizes, contexts, counts = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2, 3))
-        _, keep, word = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        pairs = np.repeat(word.astype(np.int64) << BITS, sizes) | contexts
-        order = np.argsort(pairs, kind="stable")
+        _, keep, word = distinct(run_hashes(data, starts, ends))
+        pairs = np.repeat(word << BITS, sizes) | contexts
+        order = np.argsort(pairs)
         pairs = pairs[order]
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         pairs = pairs[first]
@@ -192,6 +207,17 @@ def _unpacked(sizes: bytes, contexts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(contexts, "<u2").astype(np.int64)
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpacked_counts(packed: bytes, pairs: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, pairs).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<i8", -1, pairs) if len(packed) > pairs else 0
+    return counts
+
+
 PAIRS = "bucket int, words binary, sizes binary, contexts binary, counts binary"
 
 
@@ -202,7 +228,7 @@ def _rows(bucket: int, text: bytes, sizes: np.ndarray, contexts: np.ndarray, cou
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         own, at = data[starts[a] : ends[b - 1] + 1].tobytes(), slice(until[a] - sizes[a], until[b - 1])
-        values = [own, *_packed(sizes[a:b], contexts[at]), counts[at].astype("<i8").tobytes()]
+        values = [own, *_packed(sizes[a:b], contexts[at]), _packed_counts(counts[at])]
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "words", "sizes", "contexts", "counts"])
 
 
@@ -245,7 +271,8 @@ def vocabulary(docs: DataFrame, buckets: int, contexts: Broadcast | None = None,
                     yield from _rows(last, *held.result())
                     held = Merge()
                 last = b
-                held.add(t, *_unpacked(s, k), np.frombuffer(c, "<i8"))
+                sizes, contexts = _unpacked(s, k)
+                held.add(t, sizes, contexts, _unpacked_counts(c, len(contexts)))
         if last is not None:
             yield from _rows(last, *held.result())
 
@@ -260,13 +287,13 @@ def frequent(vocab: DataFrame) -> Contexts:
     the chosen words' hashes come to the driver.
     """
 
-    def cells(counts: bytes) -> np.ndarray:
-        return np.floor(np.log2(np.frombuffer(counts, "<i8")) * OCTAVE).astype(np.int64)
+    def cells(sizes: bytes, counts: bytes) -> np.ndarray:
+        return np.floor(np.log2(_unpacked_counts(counts, len(sizes) // 4)) * OCTAVE).astype(np.int64)
 
     def sizes(batches):
         for batch in batches:
-            for c in batch.column("counts").to_pylist():
-                cell, n = np.unique(cells(c), return_counts=True)
+            for s, c in zip(*(batch.column(n).to_pylist() for n in ("sizes", "counts"))):
+                cell, n = np.unique(cells(s, c), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     found = vocab.mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
@@ -279,8 +306,8 @@ def frequent(vocab: DataFrame) -> Contexts:
 
     def chosen(batches):
         for batch in batches:
-            for t, c in zip(*(batch.column(n).to_pylist() for n in ("words", "counts"))):
-                hashes = run_hashes(*scatter(t))[cells(c) >= edge]
+            for t, s, c in zip(*(batch.column(n).to_pylist() for n in ("words", "sizes", "counts"))):
+                hashes = run_hashes(*scatter(t))[cells(s, c) >= edge]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
 
     hashes = vocab.mapInArrow(chosen, "hash long").toArrow().column("hash").to_numpy()
@@ -444,6 +471,8 @@ class Spelling:
 
 def spell(data: np.ndarray) -> np.ndarray:
     """Cells of all bytes of spaced words: a space stands for both the start and the end of a word."""
+    if not len(data):
+        return np.zeros(0, np.int64)
     before = np.concatenate([[0x20], data[:-1]]).astype(np.int64)
     second = np.concatenate([[0x20, 0x20], data[:-2]]).astype(np.int64)[: len(data)]
     second[before == 0x20] = 0x20
@@ -456,24 +485,47 @@ class Lexicon:
     def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]):
         self.data, self.starts, self.ends = scatter(b"".join(r[0] for r in rows))
         self.hashes = run_hashes(self.data, self.starts, self.ends)
-        sizes, contexts = _unpacked(b"".join(r[1] for r in rows), b"".join(r[2] for r in rows))
-        counts = np.frombuffer(b"".join(r[3] for r in rows), "<i8")
-        order = np.argsort(self.hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        pairs = np.repeat(rank << BITS, sizes) | contexts
-        turn = np.argsort(pairs, kind="stable")
-        self.pairs, self.counts = pairs[turn], counts[turn]
-        self.hashes, self.order, self.kinds = self.hashes[order], order, sizes[order]
-        self.word, self.context = self.pairs >> BITS, self.pairs & (1 << BITS) - 1
-        self.total = self.by_word(self.counts)
-        self.keys = mix(self.hashes[self.word] + (self.context.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-
-    def by_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, values, minlength=len(self.hashes)).astype(np.int64)
+        self.kinds, self.context = _unpacked(b"".join(r[1] for r in rows), b"".join(r[2] for r in rows))
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(_unpacked_counts(r[3], len(r[2]) // 2) for r in rows)])
+        place, self.cells = pd.factorize(spell(self.data))
+        self.place = place.astype(np.int32)
+        self.order = np.arange(len(self.hashes))
+        if len(rows) > 1:
+            self._sort()
+        self.word = np.repeat(np.arange(len(self.kinds), dtype=np.int32), self.kinds)
+        self.total = np.bincount(self.word, self.counts, len(self.kinds)).astype(np.int64)
+        #: Pairs with several customers; others have one table, whatever the sweep.
+        self.several = np.flatnonzero(self.counts > 1)
+        mark = (self.context[self.several].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        self.keys = mix(self.hashes[self.word[self.several]] + mark)
+
+    def _sort(self) -> None:
+        """Rows of a bucket are each in order, not one after another."""
+        self.order = np.argsort(self.hashes, kind="stable")
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        turn = np.argsort(np.repeat(rank << BITS, self.kinds) | self.context)
+        self.hashes, self.kinds = self.hashes[self.order], self.kinds[self.order]
+        self.context, self.counts = self.context[turn], self.counts[turn]
+
+    def pairs(self) -> np.ndarray:
+        return self.word.astype(np.int64) << BITS | self.context
+
+    def all_tables(self, seated: np.ndarray) -> np.ndarray:
+        tables = np.ones(len(self.counts), np.int64)
+        tables[self.several] = seated
+        return tables
 
     def log_spelled(self, spelling: Spelling) -> np.ndarray:
-        return spelling.log_words(self.data, self.starts)[self.order]
+        if not len(self.starts):
+            return np.zeros(0)
+        return np.add.reduceat(np.log(spelling.probability(self.cells))[self.place], self.starts)[self.order]
+
+    def by_cell(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of the restaurants of bytes: sums of the words' tables over ``cells``."""
+        in_text = np.empty(len(tables))
+        in_text[self.order] = tables
+        return np.bincount(self.place, np.repeat(in_text, self.ends - self.starts + 1), len(self.cells))
 
 
 class Totals:
@@ -506,36 +558,41 @@ class Model:
             return np.logaddexp(np.log((customers - single * tables) / all_), spelled + np.log((STRENGTH + single * totals.tables) / all_))
 
     def seats(self, words: Lexicon, spelled: np.ndarray, given: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each pair, and customers and tables of each word in the restaurant of single words."""
+        """Tables of each pair with several customers; customers and tables of each word alone."""
         single, pair = self.discounts
-        customers, tables, seated = words.kinds, np.ones(len(words.hashes), np.int64), np.ones(len(words.pairs), np.int64)
-        opens, base = (STRENGTH + pair * given.context_tables)[words.context], np.exp(spelled)
+        word = words.word[words.several]
+        seated, customers, tables = np.ones(len(word), np.int64), words.kinds, np.ones(len(words.hashes), np.int64)
+        opens, base = (STRENGTH + pair * given.context_tables)[words.context[words.several]], np.exp(spelled)
+        rest = (STRENGTH + single * given.tables) * base[word]
         for turn in range(INNER):
-            others = customers[words.word] - seated
-            share_ = 1 / np.maximum(given.customers - seated + STRENGTH, STRENGTH)
-            rest = (STRENGTH + single * given.tables) * base[words.word]
-            parent = (others - single * np.minimum(tables[words.word], others) + rest) * share_
+            others = customers[word] - seated
+            step = 1 / np.maximum(given.customers - seated + STRENGTH, STRENGTH)
+            parent = (others - single * np.minimum(tables[word], others) + rest) * step
             weight = np.maximum(opens - pair * seated, STRENGTH)
-            seated = seat(words.counts, weight, parent, pair, words.keys, (sweep * INNER + turn) << 1, share_)
-            customers = words.by_word(seated)
+            seated = seat(words.counts[words.several], weight, parent, pair, words.keys, (sweep * INNER + turn) << 1, step)
+            customers = words.kinds + np.bincount(word, seated - 1, len(tables)).astype(np.int64)
             weight = np.maximum(STRENGTH + single * (given.tables - tables), STRENGTH)
             tables = seat(customers, weight, base, single, words.hashes, (sweep * INNER + turn) << 1 | 1)
         return seated, customers, tables
 
     def predict(self, words: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         """What pairs have of their own, on average over the sweeps; log P of single words by sweep."""
-        own, single = np.zeros(len(words.pairs)), []
+        mean, logs = np.zeros(len(words.several)), []
         for s in self.kept:
             spelled = words.log_spelled(s.spelling)
             seated, customers, tables = self.seats(words, spelled, s.before, s.sweep)
-            own += (words.counts - self.discounts[1] * seated) / (self.context_customers[words.context] + STRENGTH)
-            single.append(self.log_single(customers, tables, spelled, s.after))
-        return own / len(self.kept), np.array(single)
+            mean += seated / len(self.kept)
+            logs.append(self.log_single(customers, tables, spelled, s.after))
+        own = words.counts - self.discounts[1]
+        own[words.several] -= self.discounts[1] * (mean - 1)
+        return own / (self.context_customers[words.context] + STRENGTH), np.array(logs)
 
     def new_words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log P by sweep of words that no training text has."""
         none = np.zeros(len(starts))
-        return np.array([self.log_single(none, none, s.spelling.log_words(data, starts), s.after) for s in self.kept])
+        place, cells = pd.factorize(spell(data))
+        spelled = (np.add.reduceat(np.log(s.spelling.probability(cells))[place], starts) for s in self.kept)
+        return np.array([self.log_single(none, none, found, s.after) for s, found in zip(self.kept, spelled)])
 
     def log_back(self) -> np.ndarray:
         """log of the weight that each context leaves to its parent, by sweep."""
@@ -585,7 +642,7 @@ def learn(vocab: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
         for batch in batches:
             for s, k, c in zip(*(batch.column(n).to_pylist() for n in columns[1:])):
                 sizes, contexts = _unpacked(s, k)
-                n = np.frombuffer(c, "<i8")
+                n = _unpacked_counts(c, len(contexts))
                 values = [np.bincount(contexts, n, CONTEXTS), np.bincount(contexts, minlength=CONTEXTS)]
                 values.append([len(sizes), (sizes == 1).sum(), (sizes == 2).sum(), (n == 1).sum(), (n == 2).sum()])
                 values = np.concatenate(values)
@@ -609,18 +666,16 @@ def learn(vocab: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
                 for row in zip(*(batch.column(n).to_pylist() for n in columns)):
                     part = Lexicon([row])
                     seated, guests, tables = own.seats(part, part.log_spelled(spelled), known, sweep)
-                    context_tables += np.bincount(part.context, seated, CONTEXTS)
+                    context_tables += np.bincount(part.context[part.several], seated - 1, CONTEXTS)
                     all_ += guests.sum(), tables.sum()
-                    in_text = np.empty(len(tables))
-                    in_text[part.order] = tables
-                    np.add.at(sums, spell(part.data), np.repeat(in_text, part.ends - part.starts + 1))
+                    sums[part.cells] += part.by_cell(tables)
             for first, values in ((0, sums), (1 << 24, context_tables), ((1 << 24) + CONTEXTS, all_)):
                 at = np.flatnonzero(values)
                 yield from _cells(first + at, values[at])
 
         cell, count = _summed(vocab.select(*columns).mapInArrow(seats, "cell long, n long"))
         guests, tables = _dense(cell, count, (1 << 24) + CONTEXTS, 2).tolist()
-        after = Totals(_dense(cell, count, 1 << 24, CONTEXTS), guests, tables)
+        after = Totals(kinds + _dense(cell, count, 1 << 24, CONTEXTS), guests, tables)
         model.trace.append((guests, tables))
         if sweep >= sweeps - kept:
             model.kept.append(Sample(spelling, given, after, sweep))
@@ -651,7 +706,7 @@ def _uses(docs: DataFrame, buckets: int, contexts: Broadcast, text: str, carry:
                 for _, _, pairs in chosen:
                     place[pairs] = np.arange(len(pairs))
                 own = bucket_of(block.hashes, buckets)[block.pairs >> BITS][block.use]
-                order = np.lexsort((block.row, own))
+                order = np.argsort(own, kind="stable")
                 cut = np.searchsorted(own[order], np.arange(buckets + 1))
                 place = place[block.use]
                 for b, at_words, pairs in chosen:
@@ -682,8 +737,10 @@ class Scorer:
     """A bucket's words, ready to score the uses that blocks make of them."""
 
     def __init__(self, model: Model, back: np.ndarray, rows: list[tuple[bytes, bytes, bytes, bytes]]):
-        self.model, self.back, self.words = model, back, Lexicon(rows)
-        self.own, self.single = model.predict(self.words)
+        words = Lexicon(rows)
+        self.model, self.back, self.hashes, self.total, self.pairs = model, back, words.hashes, words.total, words.pairs()
+        self.own, self.single = model.predict(words)
+        self.weight = np.ascontiguousarray(np.exp(back).T)
 
     def sums(self, text: bytes, sizes: bytes, contexts: bytes, uses: bytes) -> np.ndarray:
         """Base score, score and known tokens of the block's documents, as three rows."""
@@ -692,22 +749,25 @@ class Scorer:
         sizes, before = _unpacked(sizes, contexts)
         known, at = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
         counts, single = np.zeros(len(hashes), np.int64), np.zeros((len(self.model.kept), len(hashes)))
-        if len(self.words.hashes):
-            at = np.minimum(np.searchsorted(self.words.hashes, hashes), len(self.words.hashes) - 1)
-            known = self.words.hashes[at] == hashes
-            counts[known], single[:, known] = self.words.total[at[known]], self.single[:, at[known]]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            counts[known], single[:, known] = self.total[at[known]], self.single[:, at[known]]
         new = np.flatnonzero(~known)
         if len(new):
             fresh, fresh_starts, _ = scatter(gather(data, starts[new], (ends - starts)[new]).tobytes())
             single[:, new] = self.model.new_words(fresh, fresh_starts)
         word = np.repeat(np.arange(len(hashes)), sizes)
         own = np.zeros(len(word))
-        if len(self.words.pairs):
+        if len(self.pairs):
             pairs = at[word] << BITS | before
-            place = np.minimum(np.searchsorted(self.words.pairs, pairs), len(self.words.pairs) - 1)
-            own = np.where(known[word] & (self.words.pairs[place] == pairs), self.own[place], 0.0)
-        with np.errstate(divide="ignore"):
-            score = np.logaddexp(np.log(own), log_mean(self.back[:, before] + single[:, word])) / np.log(10)
+            place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            own = np.where(known[word] & (self.pairs[place] == pairs), self.own[place], 0.0)
+        plain = np.ascontiguousarray(np.exp(single).T)
+        plain = own + np.einsum("ij,ij->i", self.weight[before], plain[word]) / len(single)
+        far = np.flatnonzero(plain < LEAST)
+        score = np.log10(np.maximum(plain, LEAST))
+        score[far] = log_mean(self.back[:, before[far]] + single[:, word[far]]) / np.log(10)
         base = np.log10((counts + 1) / (self.model.total + self.model.kinds + 1))[word]
         kind = _place_type(len(word))
         n = len(uses) // (4 + np.dtype(kind).itemsize)
@@ -730,7 +790,9 @@ def score(docs: DataFrame, vocab: DataFrame, model: Model, buckets: int, context
         names = ["block", "bucket", "sums", "docs"]
         for batch in batches:
             held = batch.column("docs")
-            for k, (b, block, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "sizes", "contexts", "uses")))):
+            columns = [batch.column(c) for c in ("bucket", "block", "words", "sizes", "contexts", "uses")]
+            for k in range(batch.num_rows):
+                b, block, *row = (c[k].as_py() for c in columns)
                 if b != last:
                     last, parts, known = b, [], None
                 if block < 0:

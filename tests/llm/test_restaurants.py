@@ -49,6 +49,7 @@ def test_probabilities_add_up(learnt):
     single, pair = model.discounts
     for s in model.kept:
         seated, customers, tables = model.seats(words, words.log_spelled(s.spelling), s.before, s.sweep)
+        seated = words.all_tables(seated)
         assert np.array_equal(np.bincount(words.context, seated, py.CONTEXTS), s.after.context_tables)
         assert (customers.sum(), tables.sum()) == (s.after.customers, s.after.tables)
         assert (seated <= words.counts).all() and (tables <= customers).all() and (tables >= 1).all()
@@ -93,7 +94,7 @@ def test_seats_agree_with_a_plain_sampler():
     contexts = [k for w in names for k in sorted(c for c, v in pairs if v == w)]
     counts = [pairs[k, w] for w in names for k in sorted(c for c, v in pairs if v == w)]
     packed = py._packed(np.array(sizes), np.array(contexts))
-    lexicon = py.Lexicon([(text, *packed, np.array(counts, "<i8").tobytes())])
+    lexicon = py.Lexicon([(text, *packed, py._packed_counts(np.array(counts)))])
     single, pair, base = 0.5, 0.6, 1 / 20
     customers = np.bincount(contexts, counts, py.CONTEXTS)
     model = py.Model(sum(counts), len(names), (single, pair), customers)
@@ -102,6 +103,7 @@ def test_seats_agree_with_a_plain_sampler():
     trace = []
     for sweep in range(400):
         seated, guests, tables = model.seats(lexicon, spelled, given, sweep)
+        seated = lexicon.all_tables(seated)
         given = py.Totals(np.bincount(lexicon.context, seated, py.CONTEXTS), int(guests.sum()), int(tables.sum()))
         trace.append((given.customers, given.tables))
     got = np.mean(trace[50:], axis=0)
@@ -140,3 +142,15 @@ def test_seats_agree_with_a_plain_sampler():
                     enter(high[w], single, opening * base)
         want.append((sum(map(len, low.values())), sum(map(len, high.values()))))
     assert got == pytest.approx(np.mean(want[50:], axis=0), rel=0.1), (got, np.mean(want[50:], axis=0))
+
+
+def test_counts_are_packed():
+    for counts in ([], [1, 2, 254], [255, 1, 10**12, 256, 3]):
+        counts = np.array(counts, np.int64)
+        assert np.array_equal(py._unpacked_counts(py._packed_counts(counts), len(counts)), counts)
+
+
+def test_very_long_words_have_a_score(spark):
+    rows = [(k, "plain words in rows") for k in range(20)] + [(105, "plain " + "qz" * 20_000)]  # held out
+    found = {r["doc_id"]: r["score"] for r in py.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.isfinite(found[105]) and found[105] < -10_000
