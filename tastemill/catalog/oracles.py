@@ -242,6 +242,19 @@ cte("tag_scores", f"""
 select user_id, t.item_id, list_inner_product(c.vec, t.vec) score from (select user_id, {UNIT} vec from tag_context) c cross join tag_vec t
 """)
 cte("tag_lists", top("select * from tag_scores"))
+cte("tag_mean", """
+select user_id, list(x order by pos) vec from (
+  select user_id, pos, avg(x) x from (
+    select user_id, unnest(vec) x, unnest(range(0, len(vec))) pos from order_recent join tag_vec using (item_id)) group by 1, 2) group by 1
+""")
+cte("tag_likely", """
+select user_id, item_id, exp(s) / sum(exp(s)) over (partition by user_id) p from (
+  select user_id, t.item_id, list_inner_product(c.vec, t.vec) s from tag_mean c cross join tag_vec t)
+""")
+cte("draw_ranges", """
+select item_id, sum(w) over (order by item_id) high, high - w low, sum(w) over () total from (
+  select item_id, round(pow(count(*), 0.75) * 10000)::bigint w from gap_baskets group by 1 having count(*) >= 5)
+""")
 
 # --- rules --------------------------------------------------------------------------------
 
@@ -525,6 +538,11 @@ ORACLES: dict[str, str] = {
     "embedding_status": sql("""select status, count(*) n_users from (
         select case when c_custkey not in (select user_id from order_recent) then 1 when n is null then 2 when n < 10 then 3 else 0 end status
         from customer left join (select user_id, count(*) n from tag_lists group by 1) on user_id = c_custkey) group by 1"""),
+    "output_probabilities": sql("""select user_id, cast(rank as integer) rank, item_id, round(p, 9) score from (
+        select *, row_number() over (partition by user_id order by p::float desc, item_id) rank from tag_likely) where rank <= 10"""),
+    "negative_samples": sql("""select user_id, cast(slot as integer) slot, item_id from (
+        select *, ('0x' || substr(md5(user_id || '-' || slot), 1, 15))::bigint % (select max(total) from draw_ranges) spot
+        from (select c_custkey user_id, unnest(range(0, 5)) slot from customer)) join draw_ranges on spot >= low and spot < high"""),
     "eval_embedding": sql(evaluation("tag_lists", "order_new", "part", "p_partkey")),
     "user_cuts": sql("select user_id, round(cut, 3) cut from order_cut"),
     "split_old": sql("select user_id, item_id, rating, ts from order_old"),

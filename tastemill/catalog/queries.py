@@ -9,10 +9,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.functions import encode
+from tastemill.functions.encode import hex_number
 from tastemill.functions.vectors import unit
 from tastemill.operators import baskets, cooccur, cosine, features, sampling, split
 from tastemill.operators.rank import ordering
-from tastemill.plans import als, embed, evaluate as ev, factors, item_cf, lottery, popular, push, rules, svd, walk
+from tastemill.plans import als, cbow, embed, evaluate as ev, factors, item_cf, lottery, popular, push, rules, svd, walk
 from tastemill.plans.workspace import Workspace, workspace
 from tastemill.session import stage, staging_root
 from tastemill.sources import files, sinks, tables
@@ -682,6 +683,38 @@ def embedding_status(w):
     return embed.status_counts(embed.list_status(w.users, w.orders.recent, embedding_recommend(w)))
 
 
+def _cbow(w) -> DataFrame:
+    return cbow.train(w.gap_baskets, BASKET, EMBED_SIZE, EMBED_MIN_COUNT, epochs=3)
+
+
+@query
+def negative_samples(w):
+    """Five items for each user, drawn by their counts in baskets to the power 3/4."""
+    vocab = cbow.vocabulary(w.gap_baskets, EMBED_MIN_COUNT)
+    text = F.concat_ws("-", F.col("user_id").cast("string"), F.col("slot").cast("string"))
+    wanted = w.users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slot"))
+    return cbow.Guide(vocab).draw(wanted.withColumn("ticket", hex_number(text)), "ticket").select("user_id", "slot", "item_id")
+
+
+@query
+def cbow_vectors(w):
+    """Input and output vectors of the items in at least five baskets."""
+    return _cbow(w)
+
+
+@partial(query, show=significant)
+def cbow_recommend(w):
+    """The likeliest items after the mean of the recent ones, with their probabilities."""
+    return cbow.recommend(w.orders.recent, _cbow(w), EMBED_SIZE)
+
+
+@partial(query, show=lambda lists: rounded(lists, "score", digits=9))
+def output_probabilities(w):
+    """The same on given vectors, which stand for inputs and outputs."""
+    given = _tag_directions(w)
+    return cbow.probabilities(cbow.contexts(w.orders.recent, given, tables.VECTOR_SIZE), given, tables.VECTOR_SIZE)
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 
@@ -755,3 +788,8 @@ def eval_walk(w):
 @query
 def eval_w2v(w):
     return ev.evaluate(_embedding_lists(w), w.orders.new, w.items, w.item_vectors)
+
+
+@query
+def eval_cbow(w):
+    return ev.evaluate(cbow.recommend(w.orders.recent, _cbow(w), EMBED_SIZE), w.orders.new, w.items, w.item_vectors)

@@ -41,15 +41,21 @@ def dense_candidates(
     floor: float | None = None,
     seen: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
+    mass: bool = False,
 ) -> DataFrame:
     """(row, item, score): for each row its ``n`` best items of each block of the catalogue.
 
+    With ``mass`` there is a fourth column: on the first of these rows the logarithm of the sum of
+    exp(score) over the whole block, else null. It does not go with ``floor`` or ``seen``.
+
     ``rows`` has (row, vec), ``catalogue`` (item, vec), ``seen`` (row, item) pairs that are
     left out. Rows and items are hashed into blocks of at most ``block_bytes``; each pair of
     blocks is one group and scored in one task as a small dense product, with the seen
     items masked there. Nothing passes through the driver, and what leaves is at most
     ``n`` rows per row and block.
     """
+    if mass and (floor is not None or seen is not None):
+        raise ValueError("the mass of a block is that of all its items")
     rows, catalogue = stage(rows.select(row, "vec"), "score-rows"), stage(catalogue.select(item, "vec"), "score-items")
     blocks = lambda count: max(1, ceil(count * (k + 1) * 8 / block_bytes))
     lines = rows.count()
@@ -66,19 +72,20 @@ def dense_candidates(
         left = left.join(masks.agg(F.collect_set(item).alias("_seen")), [row, "_i"], "left")
     right = catalogue.withColumn("_i", place(item, item_blocks)).withColumn("_r", every(max(1, row_blocks)))
     both = left.groupBy("_r", "_i").cogroup(right.groupBy("_r", "_i"))
-    return both.applyInArrow(_score(row, item, n, k, floor), f"{row} long, {item} long, score double")
+    shape = f"{row} long, {item} long, score double" + (", mass double" if mass else "")
+    return both.applyInArrow(_score(row, item, n, k, floor, mass), shape)
 
 
 def _matrix(table: pa.Table, k: int) -> np.ndarray:
     return table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, k)
 
 
-def _score(row: str, item: str, n: int, k: int, floor: float | None):
+def _score(row: str, item: str, n: int, k: int, floor: float | None, mass: bool = False):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column(item).to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        lines, found, values = [], [], []
+        lines, found, values, masses = [], [], [], []
         if len(ids) and left.num_rows:
             matrix, vectors = _matrix(right, k)[order], _matrix(left, k)
             masks = left.column("_seen").to_pylist()
@@ -86,6 +93,8 @@ def _score(row: str, item: str, n: int, k: int, floor: float | None):
             for start in range(0, len(vectors), step):
                 raw = vectors[start : start + step] @ matrix.T
                 cells = raw.astype(np.float32)
+                peak = raw.max(axis=1)
+                sums = peak + np.log(np.exp(raw - peak[:, None]).sum(axis=1)) if mass else peak
                 if floor is not None:
                     cells[raw < floor - NOISE] = -np.inf
                 for at, (cell, mask) in enumerate(zip(cells, masks[start : start + step])):
@@ -97,8 +106,12 @@ def _score(row: str, item: str, n: int, k: int, floor: float | None):
                     lines.append(np.full(len(best), start + at))
                     found.append(best)
                     values.append(raw[at, best])
+                    masses.append(np.where(np.arange(len(best)) == 0, sums[at], np.nan))
         lines, found = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (lines, found))
         values = np.concatenate(values) if values else np.zeros(0)
-        return pa.table({row: left.column(row).to_numpy()[lines].astype(np.int64), item: ids[found].astype(np.int64), "score": values + 0.0})
+        out = {row: left.column(row).to_numpy()[lines].astype(np.int64), item: ids[found].astype(np.int64), "score": values + 0.0}
+        if mass:
+            out["mass"] = pa.array(np.concatenate(masses) if masses else np.zeros(0), from_pandas=True)
+        return pa.table(out)
 
     return score

@@ -23,7 +23,7 @@ def con():
 # These repeat a model that another query checks; set RUN_SLOW to include them.
 SLOW = {"walk_recommend_corrected", "eval_walk", "als_curve", "eval_item_cf", "rule_recommend_corrected"}
 SLOW |= {"eval_item_cf_mean_shift", "eval_rules_mean_shift", "rule_recommend_mean_shift"}
-SLOW |= {"eval_svd", "eval_w2v", "svd_recommend_corrected", "item_cf_mean_shift"}
+SLOW |= {"eval_svd", "eval_w2v", "svd_recommend_corrected", "item_cf_mean_shift", "eval_cbow"}
 
 
 def fast(names):
