@@ -63,6 +63,10 @@ LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 ROW_WORDS, ROW_PAIRS = 100_000, 1_000_000
 #: A pair is a word's number shifted by this, and its context.
 BITS = 16
+#: Customers up to which the weights of table counts are plain products.
+PRODUCT = 16
+#: Pairs that are seated together.
+PART_PAIRS = 1 << 19
 
 
 # -- words of blocks -------------------------------------------------------------------------------
@@ -361,15 +365,9 @@ def seat(counts: np.ndarray, opens: np.ndarray, parent: np.ndarray, discount: fl
         i = np.arange(1, c)
         for at in range(0, len(group), max(1, CELLS // c)):
             own = group[at : at + max(1, CELLS // c)]
-            with np.errstate(divide="ignore"):
-                logs = np.log(opens[own, None] + discount * i) + np.log(parent[own, None] + step[own, None] * i)
-            logs += np.log(ahead(c, counts[own], parent[own], discount))[:, None]
-            law = np.zeros((len(own), c))
-            np.cumsum(logs, axis=1, out=law[:, 1:])
-            law += log_seatings(discount)[c, :c]
-            law = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
-            draw = uniform(keys[own], turn << 20) * law[:, -1]
-            tables[own] = np.minimum(1 + (law < draw[:, None]).sum(axis=1), c)
+            law = _law(c, opens[own], parent[own], step[own], ahead(c, counts[own], parent[own], discount), discount)
+            draw = uniform(keys[own], turn << 20) * law[-1]
+            tables[own] = np.minimum(1 + (law < draw).sum(axis=0), c)
     live, seated = np.flatnonzero(counts > EXACT), EXACT
     while len(live):
         block = seated // BLOCK
@@ -383,6 +381,29 @@ def seat(counts: np.ndarray, opens: np.ndarray, parent: np.ndarray, discount: fl
     return tables
 
 
+def _law(c: int, opens: np.ndarray, parent: np.ndarray, step: np.ndarray, later: np.ndarray, discount: float) -> np.ndarray:
+    """Running sums of the weights of 1 to c tables for c customers, as [tables - 1, dish].
+
+    Up to ``PRODUCT`` customers plain products cannot overflow, and what underflows has no chance;
+    beyond that the weights are logarithms.
+    """
+    ways = log_seatings(discount)[c, :c]
+    law = np.empty((c, len(opens)))
+    if c <= PRODUCT:
+        ways = np.exp(ways)
+        law[0], weight = ways[0], 1.0
+        for t in range(1, c):
+            weight = weight * ((opens + discount * t) * (parent + step * t) * later)
+            law[t] = law[t - 1] + ways[t] * weight
+        return law
+    i = np.arange(1, c)[:, None]
+    law[0] = 0
+    with np.errstate(divide="ignore"):
+        np.cumsum(np.log((opens + discount * i) * later) + np.log(parent + step * i), axis=0, out=law[1:])
+    law += ways[:, None]
+    return np.cumsum(np.exp(law - law.max(axis=0)), axis=0)
+
+
 def ahead(seated: float, counts: np.ndarray, parent: np.ndarray, discount: float) -> np.ndarray:
     """How much less likely one more table is for the customers who come after ``seated``.
 
@@ -480,9 +501,12 @@ def spell(data: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Words of one bucket, or of a part of one, with their pairs; in the order of hashes."""
+    """Words of one bucket, or of a part of one, with their pairs; in the order of hashes.
 
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]):
+    Without ``ordered`` the words of several rows stay as they come, which is enough to seat them.
+    """
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]], ordered: bool = True):
         self.data, self.starts, self.ends = scatter(b"".join(r[0] for r in rows))
         self.hashes = run_hashes(self.data, self.starts, self.ends)
         self.kinds, self.context = _unpacked(b"".join(r[1] for r in rows), b"".join(r[2] for r in rows))
@@ -490,7 +514,7 @@ class Lexicon:
         place, self.cells = pd.factorize(spell(self.data))
         self.place = place.astype(np.int32)
         self.order = np.arange(len(self.hashes))
-        if len(rows) > 1:
+        if ordered and len(rows) > 1:
             self._sort()
         self.word = np.repeat(np.arange(len(self.kinds), dtype=np.int32), self.kinds)
         self.total = np.bincount(self.word, self.counts, len(self.kinds)).astype(np.int64)
@@ -624,6 +648,22 @@ def _dense(cell: np.ndarray, n: np.ndarray, first: int, size: int) -> np.ndarray
     return out
 
 
+def _together(batches, columns: tuple[str, ...]):
+    """Rows of words in lists of about ``PART_PAIRS`` pairs; words of different rows are not the same."""
+    rows, pairs = [], 0
+    for batch in batches:
+        held = [batch.column(n) for n in columns]
+        for k in range(batch.num_rows):
+            row = tuple(c[k].as_py() for c in held)
+            if rows and pairs + len(row[2]) // 2 > PART_PAIRS:
+                yield rows
+                rows, pairs = [], 0
+            rows.append(row)
+            pairs += len(row[2]) // 2
+    if rows:
+        yield rows
+
+
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.05))
 
@@ -662,13 +702,12 @@ def learn(vocab: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
         def seats(batches, sweep=sweep, shared=shared):
             own, spelled, known = received(shared)
             sums, context_tables, all_ = np.zeros(1 << 24), np.zeros(CONTEXTS), np.zeros(2)
-            for batch in batches:
-                for row in zip(*(batch.column(n).to_pylist() for n in columns)):
-                    part = Lexicon([row])
-                    seated, guests, tables = own.seats(part, part.log_spelled(spelled), known, sweep)
-                    context_tables += np.bincount(part.context[part.several], seated - 1, CONTEXTS)
-                    all_ += guests.sum(), tables.sum()
-                    sums[part.cells] += part.by_cell(tables)
+            for rows in _together(batches, columns):
+                part = Lexicon(rows, ordered=False)
+                seated, guests, tables = own.seats(part, part.log_spelled(spelled), known, sweep)
+                context_tables += np.bincount(part.context[part.several], seated - 1, CONTEXTS)
+                all_ += guests.sum(), tables.sum()
+                sums[part.cells] += part.by_cell(tables)
             for first, values in ((0, sums), (1 << 24, context_tables), ((1 << 24) + CONTEXTS, all_)):
                 at = np.flatnonzero(values)
                 yield from _cells(first + at, values[at])
