@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, functions as F
 from tastemill.llm.common import LOWER, map_texts, mix, raw, received, share, steps
 from tastemill.session import stage
 
-#: Bytes of an n-gram, slots of the filter and slots per n-gram.
+#: Bytes of an n-gram, least slots of the filter, slots per n-gram, and slots for each n-gram of the
+#: language with most: a language's bits then fill at most a quarter.
 GRAM = 5
 SLOTS = 1 << 21
 PROBES = 2
-#: Least count of an n-gram in a language, and its least frequency against the most frequent use.
-LEAST_COUNT = 3
+ROOM = 8
+#: Least count of an n-gram: 3, fewer in languages of fewer n-grams than this; and its least share of
+#: all n-grams of its language, so that at most 1 / LEAST_RATE of them count.
+LEAST_COUNT, SMALL = 3, 100_000
+LEAST_RATE = 4e-7
+#: Least frequency of an n-gram against the language that uses it most.
 LEAST_SHARE = 0.1
-#: Languages in a filter: 64 for each mask word.
+#: Languages that a filter can hold, 64 for each mask word.
 MOST_LANGUAGES = 1024
 UNKNOWN = "und"
 
@@ -40,6 +45,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, size: int = GRAM) -> tuple[np.n
     letter = LETTER[data]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after each run of letters
+    firsts = offsets[:-1][offsets[1:] > offsets[:-1]]
+    keep[firsts] = letter[firsts]  # which does not reach into the next row
     kept = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
     counts = kept[offsets[1:]] - kept[offsets[:-1]]
@@ -118,26 +125,38 @@ def gram_counts(train: DataFrame, size: int) -> DataFrame:
     return train.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def least_count(total: int) -> float:
+    """Least count of an n-gram that tells of a language with ``total`` n-grams."""
+    return float(max(1, min(LEAST_COUNT, LEAST_COUNT * total / SMALL), LEAST_RATE * total))
+
+
 def learn(train: DataFrame, size: int = GRAM, slot_count: int = SLOTS, probes: int = PROBES) -> Filter:
     """Filter from all rows of ``train`` (``text``, ``lang``; rows with a null in either teach nothing).
 
     Each n-gram that is frequent enough in a language, also against the language that uses it most,
     sets that language's bit in its slots. Counting and the choice are Spark's; the driver receives
-    the filter's slots, whose number is fixed.
+    the filter's slots: at least ``slot_count``, more if a language has many n-grams, bounded by
+    ROOM / LEAST_RATE. All languages are learned; more than MOST_LANGUAGES are an error.
     """
     train = train.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     counted = stage(gram_counts(train, size), "grams")
-    sizes = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in totals}
     languages = sorted(sizes)
     words = max(1, (len(languages) + 63) // 64)
-    masks = np.zeros((slot_count, words), np.uint64)
     if languages:
         spark = train.sparkSession
-        known = spark.createDataFrame([(x, k, float(sizes[x])) for k, x in enumerate(languages)], "lang string, place int, total double")
-        rated = counted.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(known), "lang")
+        known = [(x, k, float(sizes[x]), least_count(sizes[x])) for k, x in enumerate(languages)]
+        known = spark.createDataFrame(known, "lang string, place int, total double, least double")
+        rated = counted.join(F.broadcast(known), "lang").where(F.col("n") >= F.col("least"))
         rated = rated.withColumn("rate", F.col("n") / F.col("total"))
         most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
         uses = rated.join(most, "gram").where(F.col("rate") >= LEAST_SHARE * F.col("most"))
+        uses = stage(uses.select("gram", "place"), "grams-used")
+        largest = uses.groupBy("place").count().agg(F.max("count")).first()[0] or 1
+        slot_count = max(slot_count, 1 << (ROOM * largest - 1).bit_length())
         bit = F.expr("shiftleft(1L, cast(pmod(place, 64) AS int))")
         own = lambda w: F.bit_or(F.when(F.floor(F.col("place") / 64) == w, bit).otherwise(F.lit(0).cast("long")))
         masked = uses.groupBy("gram").agg(*(own(w).alias(f"w{w}") for w in range(words)))
@@ -151,8 +170,11 @@ def learn(train: DataFrame, size: int = GRAM, slot_count: int = SLOTS, probes: i
         names = [f"w{w}" for w in range(words)]
         bits = masked.mapInArrow(spread, "slot long, " + ", ".join(f"{n} long" for n in names)).groupBy("slot").agg(*(F.bit_or(n).alias(n) for n in names))
         found = bits.toArrow()  # a row per slot at most
+        masks = np.zeros((slot_count, words), np.uint64)
         for w, n in enumerate(names):
             masks[found.column("slot").to_numpy(), w] = found.column(n).to_numpy().astype(np.int64).view(np.uint64)
+    else:
+        masks = np.zeros((slot_count, words), np.uint64)
     common = max(languages, key=lambda x: (sizes[x], x)) if languages else None
     return Filter(languages, masks, probes, size, common)
 
