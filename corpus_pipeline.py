@@ -75,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each writes its result to the shared folder for the next."""
-    docs = table(tune(spark), sf_dir, "documents")
+    docs = table(tune(spark, TEXT_SETTINGS), sf_dir, "documents")
     for k, (name, work) in enumerate(STAGES):
         docs = work(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.vectors import sums_by
 from tastemill.operators import baskets, cooccur, rank
 from tastemill.plans import als, embed, rules
+from tastemill.session import stage, tune
 from tastemill.sources import files, sinks
 
 from .conftest import lists
@@ -67,6 +68,14 @@ def test_matrix_of_more_than_ten_thousand_columns(spark, tmp_path):
     assert sorted((r["item_id"], r["user_id"], r["rating"]) for r in back.collect()) == sorted(rows)
 
 
+def test_narrow_files_of_wide_rows_are_not_broadcast(spark):
+    wide = stage(spark.range(400_000).select(F.col("id").alias("item_id"), F.array_repeat(F.lit(0.1), 200).alias("vec")), "wide")
+    ids = spark.range(5_000_000).select(F.col("id").alias("item_id"), F.lit(1.5).alias("x"))
+    tune(spark)  # as every query does
+    plan = ids.join(wide, "item_id").agg(F.sum(F.col("vec")[0] * F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_wide_sums(spark):
     draw = np.random.default_rng(2)
     rows = [(k % 3, float(k), draw.random(100).tolist()) for k in range(12)]
