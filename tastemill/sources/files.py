@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tastemill import schema as S
+from tastemill.operators.skew import lookup
 
 
 def read_dat(
@@ -74,15 +75,23 @@ def read_matrix(spark: SparkSession, path: str, row: str, column: str, value: st
 
 
 def read_matrix_blocks(spark: SparkSession, path: str, row: str, column: str, value: str, kind: str = "double") -> DataFrame:
-    """A matrix that was written in blocks of columns, as long rows."""
-    blocks = spark.read.parquet(f"{path}/labels").agg({"block": "max"}).first()[0]
-    found = None
-    for number in range((-1 if blocks is None else blocks) + 1):
-        part = read_matrix(spark, f"{path}/block={number}", row, column, value, kind)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    """A matrix that was written in blocks of columns, as long rows; all blocks are read by one job.
+
+    Each file has its block's header, a line whose first cell is no number.
+    """
+    if spark.read.parquet(f"{path}/labels").isEmpty():
         return spark.createDataFrame([], f"{row} long, {column} long, {value} {kind}")
-    return found
+    lines = spark.read.text(f"{path}/blocks").select("block", "value", F.split("value", ",").alias("_cells"))
+    header = (F.col("_cells")[0] != "") & F.col("_cells")[0].try_cast("double").isNull()
+    label = lambda c: F.coalesce(c.try_cast("long"), c.try_cast("double").cast("long"))
+    labels = lines.where(header).groupBy("block").agg(F.first("_cells").alias("_labels"))
+    labels = labels.select("block", F.transform("_labels", label).alias("_labels"))
+    both = lookup(lines.where(~header), labels, "block", ["value"])
+    number = F.when(F.col("_cells")[0] != "", F.col("_cells")[0]).cast("long")
+    cells = both.select(number.alias(row), F.explode(F.arrays_zip("_labels", "_cells")).alias("_c"))
+    cells = cells.where(F.col("_c._labels").isNotNull() & (F.col("_c._cells") != ""))
+    cells = cells.select(row, F.col("_c._labels").alias(column), F.col("_c._cells").cast("double").alias("_x"))
+    return cells.where(~F.isnan("_x")).select(row, column, F.col("_x").cast(kind).alias(value))
 
 
 def read_baskets(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,23 @@ def test_matrix_of_more_than_ten_thousand_columns(spark, tmp_path):
     assert sorted((r["item_id"], r["user_id"], r["rating"]) for r in back.collect()) == sorted(rows)
 
 
+def test_matrix_of_many_blocks_in_few_jobs(spark, tmp_path, monkeypatch):
+    rows = [(k % 7, k // 3, float(k % 5)) for k in range(2000)] + [(None, 4, 2.5)]
+    cells = spark.createDataFrame(rows, "item_id long, user_id long, rating double").dropDuplicates(["item_id", "user_id"])
+    monkeypatch.setattr(sinks, "PART_CELLS", 3)  # several files for a block
+    tracker, path = spark.sparkContext.statusTracker(), str(tmp_path / "blocks")
+    spark.sparkContext.setJobGroup("matrix", "")
+    sinks.write_matrix(stage(cells, "cells"), path, "item_id", "user_id", "rating", block=5)
+    back = files.read_matrix_blocks(spark, path, "item_id", "user_id", "rating")
+    found = {(r["item_id"], r["user_id"], r["rating"]) for r in back.collect()}
+    jobs = len(tracker.getJobIdsForGroup("matrix"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == set(rows) and back.count() == len(set(rows))
+    assert back.columns == ["item_id", "user_id", "rating"]
+    assert spark.read.parquet(path + "/labels").select("block").distinct().count() == 134
+    assert jobs < 100  # two or more for each block before
+
+
 def test_narrow_files_of_wide_rows_are_not_broadcast(spark):
     wide = stage(spark.range(400_000).select(F.col("id").alias("item_id"), F.array_repeat(F.lit(0.1), 200).alias("vec")), "wide")
     ids = spark.range(5_000_000).select(F.col("id").alias("item_id"), F.lit(1.5).alias("x"))
