@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.functions.vectors import sums_by
-from tastemill.operators import baskets, cooccur, rank
-from tastemill.plans import als, embed, rules
+from tastemill.operators import baskets, cooccur, cosine, dense_top, rank
+from tastemill.plans import als, cbow, embed, rules
 from tastemill.session import stage, tune
 from tastemill.sources import files, sinks
 
@@ -93,6 +93,32 @@ def test_narrow_files_of_wide_rows_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan
 
 
+def test_drawn_rows_are_not_broadcast(spark):
+    guide = cbow.Guide(stage(spark.range(50).select(F.col("id").alias("item_id"), F.lit(3).cast("long").alias("weight")), "weights"))
+    wanted = spark.range(4).select("id", F.explode(F.sequence(F.lit(0), F.lit(16383))).alias("slot")).withColumn("ticket", F.col("slot").cast("long"))
+    drawn = guide.draw(wanted, "ticket")
+    assert "BroadcastHashJoin" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert drawn.count() == 4 * 16384
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    draw, scored = np.random.default_rng(5), []
+    kinds = draw.normal(size=(9, 4))
+    kinds /= np.linalg.norm(kinds, axis=1)[:, None]
+    ids = draw.permutation(60)
+    kind = np.r_[np.zeros(20, int), 1, draw.integers(2, 9, 39)]  # a large group, a lone row
+    frame = stage(spark.createDataFrame([(int(i), kinds[g].tolist()) for i, g in zip(ids, kind)], "item_id long, vec array<double>"), "same")
+    monkeypatch.setattr(cosine, "dense_candidates", lambda rows, *more, **named: (scored.append(rows.count()), dense_top.dense_candidates(rows, *more, **named))[1])
+    got = {}
+    for r in cosine.most_similar(frame, 5, 4).collect():
+        got.setdefault(r["i"], {})[r["rank"]] = (r["j"], round(r["sim"], 6))
+    want = lambda i, g: sorted((-np.float32(kinds[g] @ kinds[h]).round(5), int(j), round(float(kinds[g] @ kinds[h]), 6)) for j, h in zip(ids, kind) if j != i)[:5]
+    for i, g in zip(ids, kind):
+        assert [got[int(i)][k] for k in range(1, 6)] == [(j, pytest.approx(s, abs=2e-6)) for _, j, s in want(i, g)]
+    assert len(got) == 60 and scored == [len(set(kind.tolist()))]
+    assert cosine.most_similar(frame.union(frame.limit(3)), 5, 4).count() == 300  # repeated ids go the plain way
+
+
 def test_wide_sums(spark):
     draw = np.random.default_rng(2)
     rows = [(k % 3, float(k), draw.random(100).tolist()) for k in range(12)]
