@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.llm import bpe, decontaminate, fertility, jaccard, pii
 from tastemill.llm.common import table
-from tastemill.session import stage, tune
+from tastemill.session import TEXT_SETTINGS, stage, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
