@@ -1,6 +1,7 @@
 """The routes for hot keys and oversized groups give the same results as the plain ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,21 @@ def test_blocked_product_is_the_plain_one(spark, monkeypatch):
         assert len(best) < len(want)
 
 
+def test_a_cell_works_where_there_are_neighbours():
+    """60,000 users and targets with one neighbour each: as many products, not users x targets."""
+    n = 60_000
+    of = lambda kind, ids, others, values: {"kind": [kind] * n, "id": ids, "ids": [[i] for i in others], "values": [[v] for v in values]}
+    near = of(item_cf.NEAR, range(n), range(n, 2 * n), [0.5] * n)
+    mine = of(item_cf.VALUES, range(n), range(n), [float(u % 7 - 2) for u in range(n)])
+    shape = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+    table = pa.table({c: [*near[c], *mine[c]] for c in shape.names}, shape)
+    for held in (item_cf.CELL_SUMS, 1000):
+        got = item_cf._cell(table, 2, held).to_pydict()
+        want = [u for u in range(n) if u % 7 > 2]
+        assert got["user_id"] == want and got["item_id"] == [n + u for u in want] and got["score"] == [0.5 * (u % 7 - 2) for u in want]
+        assert item_cf._cell(table, None, held).num_rows == n
+
+
 def test_walk_from_either_side(tiny):
     """Few sources use the user side, many the item side; the scores agree."""
     edges = walk.graph_edges(tiny.centred)
