@@ -127,3 +127,15 @@ def test_wide_sums(spark):
     for g in range(3):
         assert got[g] == pytest.approx(sum(x * np.array(v) for h, x, v in rows if h == g))
     assert sums_by(frame.where(F.lit(False)), ["g"], "vec", 100, "x").count() == 0
+
+
+def test_shuffled_rows_come_in_small_tasks(spark):
+    """A task reads about 16 MB of a shuffle, whatever there is; by Spark's own bound it would read 64 MB."""
+    tune(spark)
+    wide = spark.range(6_000_000).select(F.xxhash64("id").alias("key"), F.hash("id").alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        tasks = wide.repartition("key").select(F.spark_partition_id().alias("at")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert tasks == 4
