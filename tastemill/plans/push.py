@@ -9,6 +9,11 @@ eps = tolerance * (1 - alpha) / degree(source) every score is right to ``toleran
 Only nodes with something to push are touched, so a source costs what it reaches and not nodes
 squared. While the graph is small enough to broadcast (``GRAPH_EDGES``, counted first), tasks push
 batches of sources on it; beyond that the residuals are a table and a round is a join.
+
+Many sources would each cross all edges of the items they reach. Where sources outnumber the items and
+items meet in few pairs (``GRAPH_PAIRS``, counted first), two steps are taken as one, from item to item:
+tasks hold the pairs, and a source starts with what its own first push leaves on its items. The walk from
+item to item keeps degrees within alpha**2 times themselves, so the same bound holds with alpha**2.
 """
 
 from __future__ import annotations
@@ -26,6 +31,11 @@ from tastemill.session import stage, unstage
 
 # Edges (16 bytes each) up to which tasks hold the graph.
 GRAPH_EDGES = 2_000_000
+# Pairs of items with a common user (16 bytes each) up to which tasks hold them, and rows that may be joined
+# for each edge to form them.
+GRAPH_PAIRS, PAIR_ROWS = 4_000_000, 256
+# Sources of one task on pairs. While there are no more items than that, the task keeps what each item as a source gives.
+TASK_SOURCES = 2_000
 # Share of the nodes above which a round works on whole arrays.
 DENSE = 8
 SCORES = "user_id long, item_id long, score double, bound double, held long"
@@ -55,21 +65,31 @@ def pushed(graph: Graph, source: int, alpha: float, eps: float, frontier: int |
     With ``frontier`` only that many of the largest residuals go on after a round; the others are
     dropped, and count in what is left.
     """
-    degree = np.diff(graph.starts)
+    return _settled(graph.starts, graph.ends, None, np.diff(graph.starts), np.array([source]), 1.0, alpha, eps, frontier)
+
+
+def _settled(starts, ends, weights, degree, active, first_amount, alpha, eps, frontier=None) -> tuple[np.ndarray, float, int]:
+    """``pushed`` from ``first_amount`` at each of the nodes ``active``; edge e hands on ``weights[e] / degree`` (None: 1)."""
     n = len(degree)
     estimate, residual, dropped = np.zeros(n), np.zeros(n), np.zeros(n)
-    residual[source] = 1.0
+    residual[active] = first_amount
     least = eps * degree
-    active, held = np.array([source]), np.zeros(n, bool)
+    held = np.zeros(n, bool)
+    held[active] = True
+    active = active[residual[active] > least[active]]
+    edges_of = np.diff(starts)
     while len(active):
         held[active] = True
         amount = residual[active]
         estimate[active] += amount
         residual[active] = 0.0
-        many = degree[active]
-        first = np.repeat(graph.starts[active] - (np.cumsum(many) - many), many)
-        to = graph.ends[first + np.arange(len(first))]
-        share = np.repeat(alpha * amount / many, many)
+        many = edges_of[active]
+        edge = np.repeat(starts[active] - (np.cumsum(many) - many), many)
+        edge += np.arange(len(edge))
+        to = ends[edge]
+        share = np.repeat(alpha * amount / degree[active], many)
+        if weights is not None:
+            share *= weights[edge]
         if DENSE * len(to) > n:
             residual += np.bincount(to, share, n)
             active = np.flatnonzero(residual > least)
@@ -96,6 +116,7 @@ def push_scores(
     top: int | None = None,
     frontier: int | None = None,
     graph_edges: int | None = None,
+    graph_pairs: int | None = None,
 ) -> DataFrame:
     """(user_id, item_id, score, bound, held) of the items that each source reaches, or of its ``top`` best.
 
@@ -104,7 +125,13 @@ def push_scores(
     ``tolerance`` unless ``frontier`` drops residuals. ``held`` counts the nodes with state. Sources
     without edges have no rows. ``edges`` and ``sources`` are tables without repeated rows.
     """
-    if edges.count() > (GRAPH_EDGES if graph_edges is None else graph_edges):
+    count, most = edges.count(), GRAPH_EDGES if graph_edges is None else graph_edges
+    if frontier is None:
+        wanted = stage(sources.select("user_id").distinct(), "push-wanted")
+        pairs = _item_pairs(edges, wanted, count, count > most, GRAPH_PAIRS if graph_pairs is None else graph_pairs)
+        if pairs is not None:
+            return _by_pairs(edges, wanted, pairs, alpha, tolerance, semantics, top)
+    if count > most:
         if frontier is not None:
             raise ValueError("a bounded frontier needs a graph that tasks can hold")
         return _by_rounds(edges, sources, alpha, tolerance, semantics, top)
@@ -129,9 +156,7 @@ def push_scores(
                 score = estimate[users:]
                 if semantics == "reference":
                     score = score * (degree[at] / of_item)
-                found = np.flatnonzero(score > 0)
-                if top is not None and len(found) > top:
-                    found = found[np.lexsort((found, -score[found].astype(np.float32)))[:top]]
+                found = _best(score, top)
                 out.append((np.full(len(found), user), graph.items[found], score[found], np.full(len(found), left * own / (1 - alpha)), np.full(len(found), held)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["user_id", "item_id", "score", "bound", "held"])
@@ -140,6 +165,78 @@ def push_scores(
     return wanted.repartition(max(8, spark.sparkContext.defaultParallelism), "user_id").mapInArrow(run, SCORES)
 
 
+def _best(score: np.ndarray, top: int | None) -> np.ndarray:
+    """Places above 0, or the ``top`` best of them."""
+    found = np.flatnonzero(score > 0)
+    if top is None or len(found) <= top:
+        return found
+    return found[np.lexsort((found, -score[found].astype(np.float32)))[:top]]
+
+
+def _item_pairs(edges: DataFrame, wanted: DataFrame, count: int, large: bool, most: int) -> DataFrame | None:
+    """(item_id, other, weight): the sum of 1 / degree over the users of both; None where pairs do not pay.
+
+    They do if sources outnumber the items, the rows joined for them stay in proportion to the edges, and
+    they are few: at most ``most``, and on a graph that tasks could hold fewer than it has edges both ways.
+    """
+    items = edges.select("item_id").distinct().count()
+    if not 0 < items < wanted.count():
+        return None
+    of_user = stage(edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("degree")), "push-users")
+    if of_user.agg(F.sum(F.col("degree").cast("double") * F.col("degree"))).first()[0] > PAIR_ROWS * count:
+        return None
+    shared = stage(lookup(edges.select("user_id", "item_id"), of_user, "user_id", ["item_id"]), "push-shared")
+    others = edges.select("user_id", F.col("item_id").alias("other"))
+    met = lookup(shared, others, "user_id", ["item_id"]).groupBy("item_id", "other")
+    pairs = stage(met.agg(F.sum(1 / F.col("degree")).alias("weight")), "push-pairs")
+    return pairs if pairs.count() <= (most if large else min(most, 2 * count)) else None
+
+
+def _by_pairs(edges: DataFrame, wanted: DataFrame, pairs: DataFrame, alpha: float, tolerance: float, semantics: str, top: int | None) -> DataFrame:
+    """The same on the pairs of items, which each task holds; ``held`` counts the source and the items with state (of its
+    item with most of them, where each item's own scores are added)."""
+    spark = edges.sparkSession
+    of_item = edges.groupBy("item_id").agg(F.count(F.lit(1)).alias("degree")).toArrow()  # no more than pairs
+    items, degree = (of_item.column(c).to_numpy() for c in range(2))
+    order = np.argsort(items)
+    items, degree = items[order], degree[order]
+    table = pairs.toArrow()  # at most GRAPH_PAIRS rows
+    first, other = (np.searchsorted(items, table.column(c).to_numpy()).astype(np.int32) for c in range(2))
+    order = np.lexsort((other, first))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(items)))])
+    shared = spark.sparkContext.broadcast((items, degree, starts, other[order], table.column(2).to_numpy()[order]))
+
+    def run(batches):
+        items, degree, starts, ends, weights = shared.value
+        settle = lambda at, amount, own: _settled(starts, ends, weights, degree, at, amount, alpha**2, tolerance * (1 - alpha**2) / own)
+        widest = float(len(items) if semantics == "reference" else degree.max())
+        alone: dict[int, tuple[np.ndarray, float, int]] = {}
+        for batch in batches:
+            out = []
+            for user, own_items in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = np.searchsorted(items, np.sort(own_items.values.to_numpy()))
+                own = float(len(at)) if semantics == "reference" else float(degree.max())
+                if len(items) <= TASK_SOURCES:
+                    for node in at.tolist():
+                        if node not in alone:
+                            alone[node] = settle(np.array([node]), 1.0, widest)
+                    given = [alone[node] for node in at.tolist()]
+                    score = sum(g[0] for g in given) * (alpha / len(at))
+                    left, held = sum(g[1] for g in given) * (alpha / len(at)), max(g[2] for g in given)
+                else:
+                    score, left, held = settle(at, alpha / len(at), own)
+                if semantics == "reference":
+                    score = score * (len(at) / degree)
+                found = _best(score, top)
+                out.append((np.full(len(found), user), items[found], score[found], np.full(len(found), left * own / (1 - alpha**2)), np.full(len(found), held + 1)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["user_id", "item_id", "score", "bound", "held"])
+
+    own = edges.join(wanted, "user_id", "left_semi").groupBy("user_id").agg(F.collect_list("item_id").alias("items"))
+    tasks = max(8, spark.sparkContext.defaultParallelism, -(-wanted.count() // TASK_SOURCES))
+    return own.repartition(tasks, "user_id").mapInArrow(run, SCORES)
+
+
 def _by_rounds(edges: DataFrame, sources: DataFrame, alpha: float, tolerance: float, semantics: str, top: int | None) -> DataFrame:
     """The same with residuals in a table (source, side, node, amount); sides take turns."""
     moves = stage(transitions(edges), "push-edges")

@@ -51,6 +51,27 @@ def test_scores(spark, semantics, limit):
             assert exact.get((u, i), 0.0) == pytest.approx(true, abs=1e-9)
 
 
+@pytest.mark.parametrize("semantics", ["reference", "corrected"])
+@pytest.mark.parametrize("limit, kept", [(None, 2000), (10, 2000), (10, 3)], ids=["small graph", "large graph", "many items"])
+def test_many_sources_go_by_pairs_of_items(spark, monkeypatch, semantics, limit, kept):
+    """More sources than items: no source crosses the edges, on graphs of any size, and scores keep their tolerance."""
+    crossed = lambda *a: pytest.fail("a route over all edges was taken")
+    monkeypatch.setattr(push, "_by_rounds", crossed)
+    monkeypatch.setattr(push.Graph, "of", crossed)
+    monkeypatch.setattr(push, "TASK_SOURCES", kept)
+    pairs = made(6, 40, 8, 200) + [(500, 5000)]
+    edges = stage(spark.createDataFrame(pairs, "user_id long, item_id long"), "e")
+    sources = spark.createDataFrame([(u,) for u in [*range(30), 500, 12345]], "user_id long")
+    rows = push.push_scores(edges, sources, tolerance=1e-10, semantics=semantics, graph_edges=limit).collect()
+    got = {(r["user_id"], r["item_id"]): r for r in rows}
+    assert len(got) == len(rows) and {u for u, _ in got} == {u for u, _ in pairs if u < 30 or u == 500}
+    for (u, i), both in closed_form(pairs).items():
+        if u < 30 or u == 500:
+            true = both[semantics == "corrected"]
+            found = got[u, i] if (u, i) in got else {"score": 0.0, "bound": 1e-10}
+            assert -1e-12 <= true - found["score"] <= found["bound"] + 1e-12 and found["bound"] <= 1e-10 * (1 + 1e-9)
+
+
 def test_best_of_each_source(spark):
     edges = stage(spark.createDataFrame(PAIRS, "user_id long, item_id long"), "e")
     sources = spark.createDataFrame([(u,) for u in range(10)], "user_id long")
