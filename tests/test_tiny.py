@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.functions.vectors import unit
-from tastemill.operators import baskets as B, cooccur, cosine, features, mean_shift, split
+from tastemill.operators import baskets as B, cooccur, cosine, features, mean_shift, skew, split
 from tastemill.plans import als, evaluate as ev, factors, item_cf, lottery, popular, rules, svd, walk
 
 from .conftest import DAY, lists, sets
@@ -112,6 +112,19 @@ def test_rules(tiny):
     assert high[2] == [(2, one), (1, half), (4, half), (5, half)]
 
 
+@pytest.mark.parametrize("split", [2_000_000, 3])
+def test_pairs_are_not_written_with_vectors(spark, monkeypatch, split):
+    """Only ids are staged, also where an item has very many pairs; repeated pairs stay."""
+    written, real = [], cosine.stage
+    monkeypatch.setattr(cosine, "stage", lambda df, label: written.append(df.columns) or real(df, label))
+    monkeypatch.setattr(skew, "SPLIT_ROWS", split)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "item_id long, vec array<double>")
+    wanted = [(i, j) for i in range(6) for j in (5, 5, i)] + [(7, 1), (1, None)]
+    got = sorted((r["i"], r["j"], r["sim"]) for r in cosine.pair_cosine(spark.createDataFrame(wanted, "i long, j long"), vectors).collect())
+    assert got == sorted((i, j, i * j + 1.0) for i, j in wanted[:-2])
+    assert written == [["i", "j"]]
+
+
 def test_walk(tiny):
     edges = walk.graph_edges(tiny.centred)
     assert sets(edges) == {1: {1, 3}, 2: {1, 3}, 3: {2, 3}, 4: {6}}
