@@ -8,9 +8,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.operators.rank import top_n, unseen
-from tastemill.operators.skew import lookup
+from tastemill.operators.skew import deal, lookup
 from tastemill.session import stage
 
+# Leads of rules (antecedent and one item) that every task may hold.
+HELD_LEADS = 50_000
+
 
 def smallest_count(share: float, total: int) -> int:
     """Smallest whole count with count / total >= share."""
@@ -87,7 +90,8 @@ def recommend_by_rules(
     """Lists for all users from (user_id, item_id) rows of recent items.
 
     A rule applies if all of its antecedent is recent. An item scores the lowest
-    confidence of the rules that lead to it, or the highest if ``corrected``.
+    confidence of the rules that lead to it, or the highest if ``corrected``. Tasks hold the
+    rules if these are few (counted first), and users are dealt out evenly; many rules are joined.
     """
     best = F.max if semantics == "corrected" else F.min
     per_item = (
@@ -99,8 +103,13 @@ def recommend_by_rules(
     sets = stage(per_item.select("antecedent").distinct().withColumn("set_id", F.monotonically_increasing_id()), "rule-sets")
     need = sets.select("set_id", F.size("antecedent").alias("_need"), F.explode("antecedent").alias("item_id"))
     recent = stage(recent.select("user_id", "item_id").distinct(), "recent")
+    held = per_item.count() <= HELD_LEADS
+
+    def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        return deal(rows, "user_id").join(F.broadcast(table), key) if held else lookup(rows, table, key, ["user_id"])
+
     met = (
-        lookup(recent, need, "item_id", ["user_id"])
+        meet(recent, need, "item_id")
         .groupBy("user_id", "set_id", "_need")
         .agg(F.count(F.lit(1)).alias("_met"))
         .where(F.col("_met") == F.col("_need"))
@@ -108,7 +117,7 @@ def recommend_by_rules(
     )
     met = stage(met, "met-sets")
     scored = (
-        lookup(met, per_item.join(sets, "antecedent").drop("antecedent"), "set_id", ["user_id"])
+        meet(met, per_item.join(sets, "antecedent").drop("antecedent"), "set_id")
         .groupBy("user_id", "item_id")
         .agg(best("confidence").alias("score"))
     )

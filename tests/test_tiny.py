@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.vectors import unit
 from tastemill.operators import baskets as B, cooccur, cosine, features, mean_shift, skew, split
 from tastemill.plans import als, evaluate as ev, factors, item_cf, lottery, popular, rules, svd, walk
+from tastemill.session import stage
 
 from .conftest import DAY, lists, sets
 
@@ -112,6 +113,27 @@ def test_rules(tiny):
     assert high[2] == [(2, one), (1, half), (4, half), (5, half)]
 
 
+def test_rules_for_packed_users(spark, monkeypatch):
+    """Recent items that pack into one small file are met with the rules by many tasks; joined rules give the same."""
+    recent = stage(spark.range(8000).select((F.col("id") % 4000).alias("user_id"), (F.col("id") % 5).alias("item_id")).coalesce(1), "recent")
+    leads = [([i], [(i + 1) % 5], 0.1, 0.2 + i / 10) for i in range(5)] + [([0, 1], [3], 0.1, 0.9)]
+    found = spark.createDataFrame(leads, "antecedent array<long>, consequent array<long>, support double, confidence double")
+    parts, real = [], rules.top_n
+    monkeypatch.setattr(skew, "DEAL_ROWS", 100)
+    monkeypatch.setattr(rules, "top_n", lambda scores, n: parts.append(scores.withColumn("_part", F.spark_partition_id())) or real(scores, n))
+    held = lists(rules.recommend_by_rules(recent, found))
+    assert parts[0].select("_part").distinct().count() > 8
+    monkeypatch.setattr(rules, "HELD_LEADS", 0)
+    assert lists(rules.recommend_by_rules(recent, found)) == held
+    of = {u: {i for i in range(5) if any((x % 4000, x % 5) == (u, i) for x in (u, u + 4000))} for u in range(20)}
+    for u, items in of.items():
+        want = {}
+        for antecedent, (item,), _, confidence in leads:
+            if set(antecedent) <= items:
+                want[item] = min(confidence, want.get(item, 2))
+        assert dict(held[u]) == want
+
+
 @pytest.mark.parametrize("split", [2_000_000, 3])
 def test_pairs_are_not_written_with_vectors(spark, monkeypatch, split):
     """Only ids are staged, also where an item has very many pairs; repeated pairs stay."""
