@@ -1,6 +1,7 @@
 """The parts of the methods: transform, trees, seating, training, quotas."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -277,3 +278,15 @@ def test_groups_stay_together(spark):
     assert sum(len(v) > 1 for v in by_text.values()) <= 0.2 * len(by_text)
     sizes = [sum(r["shard"] == s for r in found) for s in range(8)]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_pieces_and_collections_take_bounded_memory():
+    """A step of text takes some thirty times its bytes; a collection's text does not grow with the input."""
+    data = np.random.default_rng(5).integers(97, 123, 2 << 20).astype(np.uint8)
+    tracemalloc.start()
+    repeats.pieces(data, np.array([0, len(data) // 2, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(data)
+    for size in (0, 10**6, 6 * 10**9, 30 * 10**9):
+        assert size / repeats.bucket_count(size) <= repeats.BUCKET_BYTES
